@@ -6,6 +6,10 @@ from pyspark.sql import Column, functions as F
 
 from vectorloom.schemas import ERROR
 
+# The wording of the messages callers see.
+UNAVAILABLE = " model server unavailable: "
+TOKENIZE_FAILED = ": tokenize failed: "
+
 
 def classify_failure(outcome: Column, model: Column) -> Column:
     """``struct<status, detail>`` for a failed outcome, null for a good one.
@@ -14,9 +18,8 @@ def classify_failure(outcome: Column, model: Column) -> Column:
     a failed tokenisation and any unexpected exception are 500.
     """
     kind, code, message = outcome["kind"], outcome["code"], outcome["message"]
-    # The message formats callers see.
-    unavailable = F.concat(model, F.lit(" model server unavailable: "), message)
-    tokenize = F.concat(model, F.lit(": tokenize failed: "), message)
+    unavailable = F.concat(model, F.lit(UNAVAILABLE), message)
+    tokenize = F.concat(model, F.lit(TOKENIZE_FAILED), message)
     rejected = F.concat(model, F.lit(": "), message)
     status = (
         F.when(kind == "unavailable", 503)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from vectorloom.functions.binding import let
+
 
 def tokenize(text: Column) -> Column:
     """The whitespace-separated words of a text, without special tokens."""
@@ -49,9 +51,9 @@ def fit_text(text: Column, limit: Column, n_special: Column) -> Column:
     room in characters fits and is not tokenised at all; that covers most texts.
     """
     room = F.greatest(F.lit(0), limit - n_special)
-    words = tokenize(text)
-    return (
-        F.when(F.length(text) + 1 <= 2 * room, text)
-        .when(F.size(words) <= room, text)
-        .otherwise(F.array_join(F.slice(words, F.lit(1), room), " "))
-    )
+
+    def cut(words: Column) -> Column:
+        start = F.array_join(F.slice(words, F.lit(1), room), " ")
+        return F.when(F.size(words) <= room, text).otherwise(start)
+
+    return F.when(F.length(text) + 1 <= 2 * room, text).otherwise(let(tokenize(text), cut))

@@ -8,7 +8,7 @@ from vectorloom.registry import DEFAULT_DIMENSIONS, TASKS
 from vectorloom.schemas import ERROR
 
 
-def _error(status: int, detail: Column | str) -> Column:
+def error(status: int, detail: Column | str) -> Column:
     text = F.lit(detail) if isinstance(detail, str) else detail
     return F.struct(F.lit(status).alias("status"), text.alias("detail")).cast(ERROR)
 
@@ -22,17 +22,17 @@ def check_dimensions(dimensions: Column) -> Column:
     """422 for a width below 1; null counts as "not given"."""
     return F.when(
         effective_dimensions(dimensions) < 1,
-        _error(422, "dimensions: input should be greater than or equal to 1"),
+        error(422, "dimensions: input should be greater than or equal to 1"),
     )
 
 
 def check_payloads(payloads: Column) -> Column:
     """422 unless the payloads are a list of strings; the empty string is fine."""
     return F.when(
-        payloads.isNull(), _error(422, "payloads: input should be a valid list")
+        payloads.isNull(), error(422, "payloads: input should be a valid list")
     ).when(
         F.exists(payloads, lambda p: p.isNull()),
-        _error(422, "payloads: every item should be a valid string"),
+        error(422, "payloads: every item should be a valid string"),
     )
 
 
@@ -40,7 +40,7 @@ def missing_route(model: Column, task: Column) -> Column:
     """404 where model and task do not form an address at all."""
     no_model = model.isNull() | (model == "") | F.contains(model, F.lit("/"))
     no_task = task.isNull() | ~task.isin(*TASKS)
-    return F.when(no_model | no_task, _error(404, "Not Found"))
+    return F.when(no_model | no_task, error(404, "Not Found"))
 
 
 def quoted(name: Column) -> Column:
@@ -59,7 +59,7 @@ def unknown_model(model: Column, is_active: Column, active: list[str]) -> Column
     detail = F.concat(
         F.lit("Unknown model "), quoted(model), F.lit("; available: " + ", ".join(active))
     )
-    return F.when(~is_active, _error(404, detail))
+    return F.when(~is_active, error(404, detail))
 
 
 def request_error(

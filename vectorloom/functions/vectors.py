@@ -1,18 +1,14 @@
 """Vector expressions over ``ARRAY<FLOAT>`` / ``ARRAY<DOUBLE>`` columns.
 
 Sums run in double. A value that a lambda reads repeatedly is bound once through
-``_let``: a plain reference would be evaluated again for every element.
+``let``: a plain reference would be evaluated again for every element.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
+from vectorloom.functions.binding import let
 
 
 def truncate_dims(vector: Column, dimensions: Column) -> Column:
@@ -41,12 +37,12 @@ def l2_normalize(vector: Column) -> Column:
         usable = (norm > 0) & ~F.isnan(norm)
         return F.transform(vector, lambda x: F.when(usable, x.cast("double") / norm).otherwise(0.0))
 
-    return _let(l2_norm(vector), scale)
+    return let(l2_norm(vector), scale)
 
 
 def finalize(vector: Column, dimensions: Column) -> Column:
     """Cut to ``dimensions``, then scale what is left to length 1."""
-    return _let(truncate_dims(vector, dimensions), l2_normalize)
+    return let(truncate_dims(vector, dimensions), l2_normalize)
 
 
 def dot(left: Column, right: Column) -> Column:

@@ -1,0 +1,138 @@
+"""Which texts share a model call: whole requests per lane in arrival order.
+
+A running total per lane decides. Lanes are few and one may hold nearly all rows, so a
+window per lane would run in one task. Instead rows are range-partitioned by lane and
+arrival, summed within each partition, and shifted by the totals of earlier partitions.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F, types as T
+
+from vectorloom.operators.embedding import CALL_TEXTS, DOCUMENT_CHUNK_TEXTS
+from vectorloom.session import attach, materialize
+
+LANE = ("model", "task")
+
+
+def running_total(
+    df: DataFrame, lane: Sequence[str], order: Sequence[str], size: str, name: str = "before"
+) -> DataFrame:
+    """``df`` with the sum of ``size`` over the earlier rows of the same lane.
+
+    ``order`` has to be unique within a lane. Pass narrow rows: they are shuffled once and
+    stored once. The stored copy fixes the partition number that both the rows and the
+    offsets refer to, also if an executor is lost in between.
+    """
+    spark = attach(df.sparkSession)
+    schema = T.StructType(
+        df.schema.fields
+        + [T.StructField("_local", T.LongType()), T.StructField("_part", T.IntegerType())]
+    )
+    local = materialize(
+        df.repartitionByRange(*lane, *order)
+        .sortWithinPartitions(*lane, *order)
+        .mapInArrow(_local_totals(list(lane), size), schema),
+        "running-total",
+    )
+    totals = local.groupBy(*lane, "_part").agg(F.sum(size).alias("_sum"))
+    earlier = Window.partitionBy(*lane).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # At most one row per range partition plus one per lane, whatever the number of rows.
+    offsets = totals.select(
+        *lane, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset")
+    )
+    return local.join(F.broadcast(offsets), [*lane, "_part"]).select(
+        *df.columns, (F.col("_offset") + F.col("_local")).cast("long").alias(name)
+    )
+
+
+def _local_totals(lane: list[str], size: str):
+    """Per partition, sorted by lane: the running total before each row, restarting per lane."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, current, carried = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            sizes = np.asarray(batch.column(size).cast(pa.int64()))
+            starts = _run_starts([batch.column(c) for c in lane], n)
+            local = np.empty(n, np.int64)
+            for begin, end in zip(starts, [*starts[1:], n]):
+                key = tuple(batch.column(c)[begin].as_py() for c in lane)
+                if key != current:
+                    current, carried = key, 0
+                sums = carried + np.cumsum(sizes[begin:end])
+                local[begin:end] = sums - sizes[begin:end]
+                carried = int(sums[-1])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(local), pa.array(np.full(n, part, np.int32))],
+                names=[*batch.schema.names, "_local", "_part"],
+            )
+
+    return run
+
+
+def _run_starts(columns: list[pa.Array], n: int) -> list[int]:
+    """Positions where any of the columns differs from the row before."""
+    changed = np.zeros(n, bool)
+    changed[0] = True
+    for column in columns:
+        codes = pc.rank(column, tiebreaker="dense").to_numpy(zero_copy_only=False)
+        changed[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(changed).tolist()
+
+
+def assign_batches(
+    requests: DataFrame,
+    order: Sequence[str] = ("request_id",),
+    *,
+    lane: Sequence[str] = LANE,
+    size: str = "n_texts",
+    call_texts: int = CALL_TEXTS,
+) -> DataFrame:
+    """Requests with ``before`` (texts ahead in the lane) and ``batch_id``.
+
+    Every batch is lane-pure, holds whole requests in order, and had fewer than
+    ``call_texts`` texts before its last request joined.
+    """
+    return running_total(requests, lane, order, size).withColumn(
+        "batch_id", F.floor(F.col("before") / call_texts)
+    )
+
+
+def batch_plan(assigned: DataFrame, lane: Sequence[str] = LANE, size: str = "n_texts") -> DataFrame:
+    """Requests and texts per batch, and the lane position of its first text."""
+    return assigned.groupBy(*lane, "batch_id").agg(
+        F.count(F.lit(1)).alias("n_requests"),
+        F.sum(size).cast("long").alias("n_texts"),
+        F.min("before").alias("first_text"),
+    )
+
+
+def chunk_plan(
+    batches: DataFrame, lane: Sequence[str] = LANE, chunk_texts: int = DOCUMENT_CHUNK_TEXTS
+) -> DataFrame:
+    """The sub-calls of each batch: document batches in pieces of ``chunk_texts`` in input
+    order, query batches whole. Worked out from batch sizes, without the texts."""
+    step = F.when(F.col("task") == "document", F.lit(chunk_texts).cast("long")).otherwise(
+        F.greatest(F.col("n_texts"), F.lit(1).cast("long"))
+    )
+    last = F.greatest(F.lit(0).cast("long"), F.ceil(F.col("n_texts") / step) - 1)
+    return (
+        batches.withColumn("_step", step)
+        .select(
+            *lane, "batch_id", "n_texts", "_step",
+            F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk_id"),
+        )
+        .select(
+            *lane, "batch_id", "chunk_id",
+            F.least(F.col("_step"), F.col("n_texts") - F.col("chunk_id") * F.col("_step")).alias("n_texts"),
+        )
+    )

@@ -39,7 +39,8 @@ def encode_requests(
 
     ``requests`` holds the key columns and ``model``, ``task``, ``texts`` (prompted and
     cut to the context) and ``dimensions``. The result holds the keys, ``embeddings``
-    (one per text in order, null if the request failed) and ``outcome``. Vectors are cut
+    (one per text in order, null if the request failed) and ``outcome``. A request whose
+    ``texts`` are null is passed by without a call and has no outcome. Vectors are cut
     to the request's own width and scaled to length 1 in double; ``double`` keeps that
     precision in the result, ``normalize=False`` returns them unscaled.
     """
@@ -65,7 +66,7 @@ def encode_requests(
 
 def encode_texts(texts: DataFrame, factory: EncoderFactory, keys: Sequence[str], **options) -> DataFrame:
     """``encode_requests`` for one text per row (column ``text``): ``embedding``, ``outcome``."""
-    single = texts.withColumn("texts", F.array("text"))
+    single = texts.withColumn("texts", F.when(F.col("text").isNotNull(), F.array("text")))
     return encode_requests(single, factory, keys, **options).select(
         *keys, F.get("embeddings", F.lit(0)).alias("embedding"), "outcome"
     )
@@ -78,36 +79,43 @@ def _stage(
         for batch in batches:
             table = pa.Table.from_batches([batch])
             model, task = table["_model"].to_pylist(), table["_task"].to_pylist()
-            sizes = np.asarray(table["_texts"].combine_chunks().value_lengths())
+            sizes = table["_texts"].combine_chunks().value_lengths().to_pylist()
             for rows in _calls(list(zip(model, task)), sizes, call_texts):
                 part = table.take(pa.array(rows))
-                chunk = chunk_texts if task[rows[0]] == "document" else None
-                results = _isolate(
-                    load_encoder(factory, model[rows[0]]), part["_texts"].to_pylist(), chunk
-                )
+                requests = part["_texts"].to_pylist()
+                if sizes[rows[0]] is None:
+                    results = [None] * len(rows)
+                else:
+                    chunk = chunk_texts if task[rows[0]] == "document" else None
+                    results = _isolate(load_encoder(factory, model[rows[0]]), requests, chunk)
                 vectors = _embeddings(results, part["_width"].to_pylist(), dtype, normalize)
-                outcomes = [
-                    ("exception", None, "") if r is None else ("ok", None, None)
-                    if isinstance(r, np.ndarray) else describe_failure(r)
-                    for r in results
-                ]
-                outcome = pa.array(
-                    [dict(zip(("kind", "code", "message"), o)) for o in outcomes], _OUTCOME_ARROW
-                )
+                outcome = pa.array([_outcome(r) for r in results], _OUTCOME_ARROW)
                 columns = [part[k].combine_chunks() for k in keys] + [vectors, outcome]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keys, "embeddings", "outcome"])
 
     return run
 
 
-def _calls(lanes: list[tuple[str, str]], sizes: np.ndarray, call_texts: int) -> Iterator[list[int]]:
+def _outcome(result: np.ndarray | Exception | None) -> dict | None:
+    if result is None:
+        return None
+    ok = isinstance(result, np.ndarray)
+    cells = ("ok", None, None) if ok else describe_failure(result)
+    return dict(zip(("kind", "code", "message"), cells))
+
+
+def _calls(
+    lanes: list[tuple[str, str]], sizes: list[int | None], call_texts: int
+) -> Iterator[list[int]]:
     """Row numbers grouped into calls: one lane each, whole requests in order, closed once
-    the call holds ``call_texts`` texts."""
-    open_calls: dict[tuple[str, str], list[int]] = {}
-    filled: dict[tuple[str, str], int] = {}
-    for row, lane in enumerate(lanes):
+    the call holds ``call_texts`` texts. Rows without texts form groups of their own."""
+    open_calls: dict[tuple[str, str] | None, list[int]] = {}
+    filled: dict[tuple[str, str] | None, int] = {}
+    for row, (lane, size) in enumerate(zip(lanes, sizes)):
+        if size is None:
+            lane, size = None, 1
         open_calls.setdefault(lane, []).append(row)
-        filled[lane] = filled.get(lane, 0) + int(sizes[row])
+        filled[lane] = filled.get(lane, 0) + size
         if filled[lane] >= call_texts:
             yield open_calls.pop(lane)
             del filled[lane]
@@ -142,7 +150,10 @@ def _encode_in_chunks(encoder, texts: list[str], chunk: int | None) -> np.ndarra
 
 
 def _embeddings(
-    results: list[np.ndarray | Exception], widths: list[int], dtype: type, normalize: bool
+    results: list[np.ndarray | Exception | None],
+    widths: list[int | None],
+    dtype: type,
+    normalize: bool,
 ) -> pa.Array:
     """The results as ``list<list<float>>``, null for failed requests."""
     flat, lengths, counts, failed = [], [], [], []
@@ -172,5 +183,6 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     norms = np.sqrt(np.einsum("ij,ij->i", wide, wide))
     usable = norms > 0
     wide[~usable] = 0.0
-    wide[usable] /= norms[usable, None]
+    with np.errstate(invalid="ignore"):
+        wide[usable] /= norms[usable, None]
     return wide

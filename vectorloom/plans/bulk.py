@@ -7,12 +7,13 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vectorloom.encoders import EncoderFactory, HashingFactory
+from vectorloom.functions.failures import classify_failure
 from vectorloom.functions.prompts import apply_prompt
 from vectorloom.functions.tokens import fit_text
-from vectorloom.functions.validation import effective_dimensions
-from vectorloom.operators.embedding import encode_texts
+from vectorloom.operators.embedding import encode_requests, encode_texts
+from vectorloom.operators.requests import first_failures, validate_requests
 from vectorloom.registry import DEFAULT_DIMENSIONS, REGISTRY, TASKS, ModelFacts
-from vectorloom.session import attach
+from vectorloom.session import attach, materialize
 
 
 def stand_in(registry: Sequence[ModelFacts] = REGISTRY, fault_rate: int = 0) -> HashingFactory:
@@ -63,3 +64,82 @@ def embed(
         F.lit(dimensions).alias("dimensions"),
     )
     return encode_texts(prepared, factory or stand_in(registry), keys, **options)
+
+
+def embed_requests(
+    requests: DataFrame,
+    *,
+    keys: Sequence[str] = ("request_id",),
+    active: str | Iterable[str] | None = None,
+    overrides: dict[str, str] | None = None,
+    factory: EncoderFactory | None = None,
+    registry: Sequence[ModelFacts] = REGISTRY,
+    **options,
+) -> DataFrame:
+    """Array-form requests to one outcome row each, in one pass without a shuffle.
+
+    The result holds the keys and ``model, task, build, dimensions, embeddings, status,
+    detail``. Status is 200, or what validation or the encoder reported; failed requests
+    have no embeddings and do not affect others. A request without payloads succeeds with
+    no vectors and no call. Refused requests pass the encoder stage with null texts, so
+    the input is scanned once.
+    """
+    attach(requests.sparkSession)
+    body_error = F.col("body_error") if "body_error" in requests.columns else None
+    valid = validate_requests(requests, active, registry, overrides, body_error)
+    prompted = F.transform("payloads", lambda p: _routed_text(p))
+    kept = [*keys, "model", "task", "build", "dimensions"]
+    callable_ = F.col("error").isNull() & (F.size("payloads") > 0)
+    prepared = valid.select(*kept, "error", F.when(callable_, prompted).alias("texts"))
+    encoded = encode_requests(
+        prepared, factory or stand_in(registry), [*kept, "error"], **options
+    )
+    error = F.coalesce("error", classify_failure(F.col("outcome"), F.col("model")))
+    empty = F.array().cast(encoded.schema["embeddings"].dataType)
+    return encoded.withColumn("error", error).select(
+        *kept,
+        F.when(F.col("error").isNull(), F.coalesce("embeddings", empty)).alias("embeddings"),
+        F.coalesce("error.status", F.lit(200)).alias("status"),
+        F.col("error.detail").alias("detail"),
+    )
+
+
+def encode_request_texts(
+    rows: DataFrame,
+    *,
+    active: str | Iterable[str] | None = None,
+    overrides: dict[str, str] | None = None,
+    factory: EncoderFactory | None = None,
+    registry: Sequence[ModelFacts] = REGISTRY,
+    **options,
+) -> DataFrame:
+    """Long-form requests to one row per payload with its ``embedding`` or its ``error``.
+
+    No shuffle. What a payload's error means for the rest of its request is settled
+    afterwards by :func:`embed_request_texts`. Usable on streams.
+    """
+    attach(rows.sparkSession)
+    single = rows.withColumn("payloads", F.array("payload"))
+    prepared = validate_requests(single, active, registry, overrides).select(
+        "request_id", "payload_index", "model", "task", "build", "dimensions", "error",
+        F.when(F.col("error").isNull(), _routed_text(F.col("payload"))).alias("text"),
+    )
+    keys = ["request_id", "payload_index", "model", "task", "build", "dimensions", "error"]
+    encoded = encode_texts(prepared, factory or stand_in(registry), keys, **options)
+    error = F.coalesce("error", classify_failure(F.col("outcome"), F.col("model")))
+    return encoded.withColumn("error", error).drop("outcome")
+
+
+def embed_request_texts(rows: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """Long-form requests of any size to ``(failures, vectors)``.
+
+    The encoder runs once: its output is stored below ``spark.checkpoint.dir`` and both
+    results are read from there.
+    """
+    return first_failures(materialize(encode_request_texts(rows, **options), "encoded"))
+
+
+def _routed_text(payload: Column) -> Column:
+    """What the encoder sees of a payload of a routed request."""
+    prompted = apply_prompt(payload, F.col("task"), F.col("query_prompt"), F.col("document_prompt"))
+    return fit_text(prompted, F.col("token_limit"), F.col("n_special"))

@@ -103,15 +103,16 @@ def models_table(
         raise ValueError(f"at most {MAX_MODELS} models can be active, got {len(keys)}")
     by_key = {m.key: m for m in registry}
     overrides = overrides or {}
-    rows, args = [], []
+    rows, args = [], {}
     for position, key in enumerate(keys):
         m = by_key[key]
         cells = [
             position, m.key, m.name, m.repo, m.default_build, overrides.get(key) or "", m.native_dim,
             m.query_prompt, m.document_prompt, m.pooling, m.n_ctx, m.start_tokens, m.end_tokens,
         ]
-        rows.append("(" + ", ".join("?" * len(cells)) + ")")
-        args += cells
+        names = [f"m{position}_{i}" for i in range(len(cells))]
+        rows.append("(" + ", ".join(f":{name}" for name in names) + ")")
+        args.update(zip(names, cells))
     table = spark.sql(
         "SELECT * FROM VALUES " + ", ".join(rows) + " AS m(ord, model, name, repo, default_build,"
         " build_override, native_dim, query_prompt, document_prompt, pooling, n_ctx,"
@@ -131,9 +132,9 @@ def models_table(
 
 def quants_table(spark: SparkSession) -> DataFrame:
     """The published quantisations, keyed by their lower-case spelling."""
-    rows = ", ".join("(?)" for _ in QWEN_QUANTS)
     head, tail = QWEN_BUILD_FORMAT
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS q(quant)", args=list(QWEN_QUANTS)).select(
+    names = F.explode(F.array(*[F.lit(q) for q in QWEN_QUANTS])).alias("quant")
+    return spark.range(1).select(names).select(
         F.lower("quant").alias("quant_key"),
         "quant",
         F.concat(F.lit(head), "quant", F.lit(tail)).alias("quant_build"),
