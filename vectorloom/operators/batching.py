@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from vectorloom.functions.binding import int_div
 from vectorloom.operators.embedding import CALL_TEXTS, DOCUMENT_CHUNK_TEXTS
 from vectorloom.session import attach, materialize
 
@@ -26,9 +27,10 @@ def running_total(
 ) -> DataFrame:
     """``df`` with the sum of ``size`` over the earlier rows of the same lane.
 
-    ``order`` has to be unique within a lane. Pass narrow rows: they are shuffled once and
-    stored once. The stored copy fixes the partition number that both the rows and the
-    offsets refer to, also if an executor is lost in between.
+    ``order`` has to be unique within a lane. Pass narrow rows: they are stored, so that
+    range sampling does not compute them twice, shuffled once, and stored again. That copy
+    fixes the partition number that both the rows and the offsets refer to, also if an
+    executor is lost in between.
     """
     spark = attach(df.sparkSession)
     schema = T.StructType(
@@ -36,7 +38,8 @@ def running_total(
         + [T.StructField("_local", T.LongType()), T.StructField("_part", T.IntegerType())]
     )
     local = materialize(
-        df.repartitionByRange(*lane, *order)
+        materialize(df, "sizes")
+        .repartitionByRange(*lane, *order)
         .sortWithinPartitions(*lane, *order)
         .mapInArrow(_local_totals(list(lane), size), schema),
         "running-total",
@@ -45,9 +48,14 @@ def running_total(
     earlier = Window.partitionBy(*lane).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # At most one row per range partition plus one per lane, whatever the number of rows.
     offsets = totals.select(
-        *lane, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset")
+        *[F.col(c).alias(f"_{c}") for c in lane],
+        F.col("_part").alias("_at"),
+        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"),
     )
-    return local.join(F.broadcast(offsets), [*lane, "_part"]).select(
+    same = F.col("_part") == F.col("_at")
+    for c in lane:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return local.join(F.broadcast(offsets), same).select(
         *df.columns, (F.col("_offset") + F.col("_local")).cast("long").alias(name)
     )
 
@@ -84,7 +92,7 @@ def _run_starts(columns: list[pa.Array], n: int) -> list[int]:
     changed = np.zeros(n, bool)
     changed[0] = True
     for column in columns:
-        codes = pc.rank(column, tiebreaker="dense").to_numpy(zero_copy_only=False)
+        codes = np.asarray(pc.rank(column, tiebreaker="dense"))
         changed[1:] |= codes[1:] != codes[:-1]
     return np.flatnonzero(changed).tolist()
 
@@ -103,7 +111,7 @@ def assign_batches(
     ``call_texts`` texts before its last request joined.
     """
     return running_total(requests, lane, order, size).withColumn(
-        "batch_id", F.floor(F.col("before") / call_texts)
+        "batch_id", int_div(F.col("before"), call_texts)
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vectorloom.registry import QWEN, quants_table, resolve_build
+from vectorloom.session import materialize
 
 SPACE = ("model", "build")
 
@@ -92,9 +93,13 @@ def stale_keys(
 
 
 def stale_texts(texts: DataFrame, stale: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """The rows to embed again; adaptive execution broadcasts ``stale`` when it is small."""
+    """The rows to embed again.
+
+    ``stale`` is stored first: after a small change it is small, is broadcast, and the
+    texts are not shuffled.
+    """
     hashed = texts.withColumn("text_hash", text_hash(F.col(text)))
-    return hashed.join(stale, [key, "text_hash"], "left_semi")
+    return hashed.join(materialize(stale, "stale"), [key, "text_hash"], "left_semi")
 
 
 def with_provenance(

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vectorloom.functions.binding import int_div
 from vectorloom.functions.validation import (
     check_dimensions,
     check_payloads,
@@ -18,6 +19,7 @@ from vectorloom.functions.validation import (
     request_error,
 )
 from vectorloom.registry import REGISTRY, ModelFacts, models_table, parse_active
+from vectorloom.session import materialize
 
 # Payload rows of one request that share a join or aggregation key.
 SLICE_ROWS = 4096
@@ -118,28 +120,30 @@ def request_rows(requests: DataFrame) -> DataFrame:
 def first_failures(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Failed requests of long-form ``outcomes`` and the vectors of all others.
 
-    ``outcomes`` holds ``request_id, payload_index, model, error`` and more; it is read several
-    times, so pass a stored table. One failed payload fails its request, with the error
-    that comes first: a body error, then another refusal, then the payloads in order.
+    ``outcomes`` is what ``encode_request_texts`` gives. It is read several times, so pass a
+    stored table. One failed payload fails its request, with the error of the lowest
+    ``error_rank`` and then of the lowest payload index.
 
     The order is packed into one number, so the aggregate is a plain hash aggregate that
-    combines before the shuffle. Failed requests are then matched to payload rows by
-    ``(request_id, slice)``, at most ``SLICE_ROWS`` rows per key however large a request.
+    combines before the shuffle. The failed requests are stored: usually they are few, and
+    their known size lets them be broadcast so that no vector is shuffled. Beyond that,
+    payload rows are matched by ``(request_id, slice)``, at most ``SLICE_ROWS`` rows per
+    key however large a request.
     """
-    status = F.col("error.status")
-    rank = F.when(status == 422, 0).when(status == 404, 1).otherwise(2).cast("long")
-    order = rank * F.lit(1 << 40) + F.col("payload_index").cast("long")
-    failed = (
+    rank = F.col("error_rank")
+    order = rank.cast("long") * F.lit(1 << 40) + F.col("payload_index").cast("long")
+    failed = materialize(
         outcomes.groupBy("request_id")
         .agg(
-            F.min(F.when(status.isNotNull(), order)).alias("first"),
+            F.min(order).alias("first"),
             F.max("payload_index").alias("last_index"),
         )
         .where(F.col("first").isNotNull())
-        .select("request_id", (F.col("first") % (1 << 40)).alias("payload_index"), "last_index")
+        .select("request_id", (F.col("first") % (1 << 40)).alias("payload_index"), "last_index"),
+        "failed",
     )
     failures = (
-        outcomes.where(status.isNotNull())
+        outcomes.where(rank.isNotNull())
         .withColumn("payload_index", F.col("payload_index").cast("long"))
         .join(failed, ["request_id", "payload_index"])
         .select("request_id", "model", "error.status", "error.detail")
@@ -147,14 +151,14 @@ def first_failures(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
     slices = failed.select(
         "request_id",
         F.explode(
-            F.sequence(F.lit(0).cast("long"), F.floor(F.col("last_index") / SLICE_ROWS))
+            F.sequence(F.lit(0).cast("long"), int_div(F.col("last_index"), SLICE_ROWS))
         ).alias("_slice"),
     )
     vectors = (
-        outcomes.where(status.isNull())
-        .withColumn("_slice", F.floor(F.col("payload_index") / SLICE_ROWS))
+        outcomes.where(rank.isNull())
+        .withColumn("_slice", int_div(F.col("payload_index"), SLICE_ROWS))
         .join(slices, ["request_id", "_slice"], "left_anti")
-        .drop("_slice", "error")
+        .drop("_slice", "error", "error_rank")
     )
     return failures, vectors
 
@@ -165,7 +169,7 @@ def regroup_responses(vectors: DataFrame, part_texts: int = 1024) -> DataFrame:
     A request of up to ``part_texts`` payloads is one row (``part`` 0); a larger one
     continues in further parts, so that no row or task holds an unbounded request.
     """
-    part = F.floor(F.col("payload_index") / part_texts)
+    part = int_div(F.col("payload_index"), part_texts)
     items = F.sort_array(F.collect_list(F.struct("payload_index", "embedding")))
     return (
         vectors.groupBy("request_id", part.alias("part"))

@@ -115,19 +115,32 @@ def encode_request_texts(
 ) -> DataFrame:
     """Long-form requests to one row per payload with its ``embedding`` or its ``error``.
 
+    ``error_rank`` is null or says which errors of a request come first: 0 a payload that
+    is not a string, 1 anything else found before encoding, 2 a failed call.
+
     No shuffle. What a payload's error means for the rest of its request is settled
     afterwards by :func:`embed_request_texts`. Usable on streams.
     """
     attach(rows.sparkSession)
     single = rows.withColumn("payloads", F.array("payload"))
+    keys = ["request_id", "payload_index", "model", "task", "build", "dimensions", "error"]
+    own = F.col("payload").isNull() & (F.col("error.status") == 422)
+    rank = F.when(own, 0).when(F.col("error").isNotNull(), 1)
     prepared = validate_requests(single, active, registry, overrides).select(
-        "request_id", "payload_index", "model", "task", "build", "dimensions", "error",
+        *keys,
+        rank.alias("error_rank"),
         F.when(F.col("error").isNull(), _routed_text(F.col("payload"))).alias("text"),
-    )
-    keys = ["request_id", "payload_index", "model", "task", "build", "dimensions", "error"]
-    encoded = encode_texts(prepared, factory or stand_in(registry), keys, **options)
-    error = F.coalesce("error", classify_failure(F.col("outcome"), F.col("model")))
-    return encoded.withColumn("error", error).drop("outcome")
+    )
+    encoded = encode_texts(
+        prepared, factory or stand_in(registry), [*keys, "error_rank"], **options
+    )
+    failure = classify_failure(F.col("outcome"), F.col("model"))
+    return encoded.select(
+        *keys[:-1],
+        "embedding",
+        F.coalesce("error", failure).alias("error"),
+        F.coalesce("error_rank", F.when(failure.isNotNull(), 2)).alias("error_rank"),
+    )
 
 
 def embed_request_texts(rows: DataFrame, **options) -> tuple[DataFrame, DataFrame]:

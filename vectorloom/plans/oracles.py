@@ -87,8 +87,8 @@ _FAULTY = f"""{_MODELS}, {_TURNS}, {_HOLED},
   outcomes AS (SELECT h.conv_id, h.model, n_payloads,
       CASE WHEN n_null > 0 OR width < 1 THEN 422 WHEN h.model = 'nomodel' THEN 404
         WHEN fault IS NOT NULL THEN {_FAULT_STATUS} ELSE 200 END AS status,
-      CASE WHEN n_null > 0 AND NOT coalesce(width < 1, false) THEN 'payloads: every item should be a valid string'
-        WHEN width < 1 THEN 'dims'
+      CASE WHEN n_null > 0 THEN 'payloads: every item should be a valid string'
+        WHEN width < 1 THEN 'dimensions: input should be greater than or equal to 1'
         WHEN h.model = 'nomodel' THEN 'Unknown model ''nomodel''; available: gemma, qwen'
         WHEN fault IS NOT NULL THEN {_FAULT_DETAIL.replace("model ||", "h.model ||")} ELSE '' END AS detail
       FROM heads h LEFT JOIN firsts f USING (conv_id))"""
@@ -211,8 +211,7 @@ SELECT model, 'document' AS task, batch_id, r // 8 AS chunk_id, count(*) AS n_te
 SELECT conv_id, turn // 4 AS part, count(*) AS n_vectors, md5(string_agg(v, '|' ORDER BY turn)) AS md5
 FROM vectors GROUP BY ALL""",
     "failure_isolation": f"""WITH {_FAULTY}
-SELECT conv_id, CAST(status AS BIGINT) AS status,
-  CASE WHEN detail = 'dims' THEN 'dimensions: input should be greater than or equal to 1' ELSE detail END AS detail,
+SELECT conv_id, CAST(status AS BIGINT) AS status, detail,
   CASE WHEN status = 200 THEN n_payloads ELSE 0 END AS n_vectors FROM outcomes""",
     "dead_letters": f"""WITH {_MODELS}, {_DOC_LINES},
   faults AS (SELECT doc_id, line, model, {_fault("dp || payload", 1)} AS fault FROM lines JOIN models USING (model)),

@@ -36,7 +36,7 @@ from vectorloom.plans.bulk import (
     stand_in,
 )
 from vectorloom.registry import GEMMA, REGISTRY, TASKS, models_table
-from vectorloom.session import scratch_path, spread
+from vectorloom.session import materialize, scratch_path, spread
 from vectorloom.sources.requests import parse_requests
 from vectorloom.sources.sinks import write_errors, write_vectors
 from vectorloom.sources.texts import read_texts
@@ -207,12 +207,8 @@ def dot_is_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     centres = pool_mean(vectors, "label", "embedding").select(
         "label", l2_normalize(F.col("pooled")).alias("centre")
     )
-    # One row per label against many: split by a hash of the row so that a label holding
-    # much of the table is joined by many tasks.
-    parts = 16
-    salted = vectors.withColumn("_salt", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-    copies = centres.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return salted.join(copies, ["label", "_salt"]).select(
+    # One stored row per label: broadcast if small, else a join adaptive execution can split.
+    return vectors.join(materialize(centres, "centres"), "label").select(
         "vec_id", F.round(dot(l2_normalize(F.col("embedding")), F.col("centre")), 6).alias("cosine")
     )
 

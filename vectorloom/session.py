@@ -56,7 +56,7 @@ def shared_dir(spark: SparkSession) -> str:
     a fresh temporary folder; a cluster without the setting is an error.
     """
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
         return configured
     if not sc.master.startswith("local"):
@@ -75,7 +75,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
     Cuts the lineage at data that survives lost executors. Used where a frame is
     read more than once and recomputing it is either expensive (model calls) or
-    could give other values (partition ids).
+    could give other values (partition ids). It also gives the optimizer the true size:
+    a join with the stored frame is broadcast only if it is below
+    ``spark.sql.autoBroadcastJoinThreshold``, and otherwise a shuffle join that adaptive
+    execution can split where a key is hot.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
