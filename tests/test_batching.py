@@ -1,0 +1,77 @@
+import random
+
+from pyspark.sql import functions as F
+
+from vectorloom.operators.batching import assign_batches, batch_plan, chunk_plan, running_total
+
+SCHEMA = "request_id long, model string, task string, n_texts int"
+
+
+def _rows(n, seed, sizes):
+    rng = random.Random(seed)
+    lanes = [("gemma", "document")] * 8 + [("gemma", "query"), ("qwen", "query"), ("qwen", None)]
+    rows = [(i, *rng.choice(lanes), rng.choice(sizes)) for i in range(n)]
+    rng.shuffle(rows)
+    return rows
+
+
+def _brute(rows):
+    before, seen = {}, {}
+    for i, model, task, n in sorted(rows):
+        before[i] = seen.get((model, task), 0)
+        seen[model, task] = before[i] + n
+    return before
+
+
+def test_running_total_in_a_dominant_lane(spark):
+    rows = _rows(5000, 1, [0, 1, 1, 5, 40])
+    df = spark.createDataFrame(rows, SCHEMA).repartition(13)
+    got = {r.request_id: r.before for r in running_total(df, ["model", "task"], ["request_id"], "n_texts").collect()}
+    assert got == _brute(rows)
+
+
+def test_running_total_does_not_depend_on_partitions(spark):
+    rows = _rows(400, 2, [1, 2, 3])
+    df = spark.createDataFrame(rows, SCHEMA)
+    results = []
+    for parts in ("1", "3", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            out = running_total(df, ["model", "task"], ["request_id"], "n_texts")
+            results.append(sorted((r.request_id, r.before) for r in out.collect()))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert results[0] == results[1] == results[2] == sorted(_brute(rows).items())
+
+
+def test_batches_hold_whole_requests_below_the_cap(spark):
+    rows = _rows(800, 3, [1, 2, 5, 31, 300])
+    assigned = assign_batches(spark.createDataFrame(rows, SCHEMA), call_texts=256).collect()
+    assert len(assigned) == len(rows)
+    batches = {}
+    for r in sorted(assigned, key=lambda r: r.request_id):
+        batches.setdefault((r.model, r.task, r.batch_id), []).append(r)
+    for members in batches.values():
+        assert sum(m.n_texts for m in members[:-1]) < 256
+    order = sorted(assigned, key=lambda r: (r.model, r.task or "", r.request_id))
+    for a, b in zip(order, order[1:]):
+        if (a.model, a.task) == (b.model, b.task):
+            assert a.batch_id <= b.batch_id
+
+
+def test_lone_large_request_is_one_batch(spark):
+    df = spark.createDataFrame([(1, "gemma", "document", 300)], SCHEMA)
+    plan = batch_plan(assign_batches(df))
+    assert [(r.batch_id, r.n_requests, r.n_texts) for r in plan.collect()] == [(0, 1, 300)]
+
+
+def test_chunks(spark):
+    df = spark.createDataFrame(
+        [("gemma", "document", 0, 20), ("gemma", "query", 0, 20), ("gemma", "document", 1, 8), ("qwen", "document", 0, 0)],
+        "model string, task string, batch_id long, n_texts long",
+    )
+    got = [tuple(r) for r in chunk_plan(df).orderBy("model", "task", "batch_id", "chunk_id").collect()]
+    assert got == [
+        ("gemma", "document", 0, 0, 8), ("gemma", "document", 0, 1, 8), ("gemma", "document", 0, 2, 4),
+        ("gemma", "document", 1, 0, 8), ("gemma", "query", 0, 0, 20), ("qwen", "document", 0, 0, 0),
+    ]

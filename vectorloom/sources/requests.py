@@ -9,6 +9,7 @@ from vectorloom.schemas import REQUEST
 
 # A variant value is limited in size; longer lines are read by the typed parser.
 VARIANT_BYTES = 16 * 1024 * 1024
+_UNLIMITED = {"maxStringLen": str(2**31 - 1)}
 _TYPED = "request_id bigint, model string, task string, payloads array<string>, dimensions bigint"
 
 
@@ -17,13 +18,17 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REQUEST).parquet(path)
 
 
-def read_json_requests(spark: SparkSession, path: str) -> DataFrame:
+def read_json_requests(spark: SparkSession, path: str, **route: str) -> DataFrame:
     """Array-form requests from JSON lines, with the column ``body_error``."""
-    return parse_requests(spark.read.text(path), "value")
+    return parse_requests(spark.read.text(path), "value", **route)
 
 
-def parse_requests(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Parse one JSON request per row; never fails the job.
+def parse_requests(
+    lines: DataFrame, column: str = "value", *, model: str | None = None, task: str | None = None
+) -> DataFrame:
+    """Parse one JSON request per row; never fails the job. Works on streams as well.
+
+    ``model`` and ``task`` address all lines; without them each line names its own.
 
     Parsing through a variant keeps what a declared schema would lose: a width that is
     absent from one that is null, and a string from a number. A width may also be given
@@ -33,12 +38,16 @@ def parse_requests(lines: DataFrame, column: str = "value") -> DataFrame:
     value = F.col(column)
     body = F.try_parse_json(value)
     huge = F.octet_length(value) > VARIANT_BYTES
-    typed = F.when(huge & F.col("_body").isNull(), F.from_json(value, _TYPED))
+    typed = F.when(huge & F.col("_body").isNull(), F.from_json(value, _TYPED, _UNLIMITED))
     parsed = lines.withColumn("_body", body).withColumn("_typed", typed)
 
     def member(name: str, kind: str) -> Column:
         return F.try_variant_get(F.col("_body"), f"$.{name}", kind)
 
+    def address(name: str, given: str | None) -> Column:
+        own = F.coalesce(member(name, "string"), f"_typed.{name}")
+        return (own if given is None else F.lit(given)).alias(name)
+
     payloads, width = member("payloads", "variant"), member("dimensions", "variant")
     parsed = parsed.withColumns(
         {
@@ -56,7 +65,7 @@ def parse_requests(lines: DataFrame, column: str = "value") -> DataFrame:
     )
     # Wider than any vector is the same as the widest, so the exact value does not matter.
     bounded = F.when(number.isNotNull(), F.greatest(F.least(number, F.lit(1e15)), F.lit(-1e15)))
-    integral = number.isNotNull() & (number == F.floor(number))
+    integral = bounded.isNotNull() & (bounded == F.floor(bounded))
     broken = F.col("_body").isNull() & F.col("_typed").isNull()
     not_object = F.col("_typed").isNull() & ~F.startswith(
         F.schema_of_variant(F.col("_body")), F.lit("OBJECT")
@@ -76,8 +85,8 @@ def parse_requests(lines: DataFrame, column: str = "value") -> DataFrame:
     return parsed.select(
         *[c for c in lines.columns if c != column],
         F.coalesce(member("request_id", "bigint"), "_typed.request_id").alias("request_id"),
-        F.coalesce(member("model", "string"), "_typed.model").alias("model"),
-        F.coalesce(member("task", "string"), "_typed.task").alias("task"),
+        address("model", model),
+        address("task", task),
         F.coalesce(
             F.when(listed, member("payloads", "array<string>")), "_typed.payloads"
         ).alias("payloads"),
