@@ -7,15 +7,12 @@ checked without model weights.
 from __future__ import annotations
 
 import hashlib
-import re
 from dataclasses import dataclass
 
 import numpy as np
 
 from vectorloom.encoders.base import EncoderRejected, EncoderUnavailable
 
-# ASCII white space only, the same words as functions.tokens.tokenize.
-_WORD = re.compile(r"\S+", re.ASCII)
 _MEMO_SIZE = 1 << 18
 
 
@@ -35,27 +32,30 @@ class HashingFactory:
         return HashingEncoder(dict(self.widths)[model], self.fault_rate)
 
 
+class _Slots(dict):
+    """Per word 2 * component + (1 if the sign is positive), worked out on first use.
+
+    Emptied when full: that bounds the memory, not the results.
+    """
+
+    def __init__(self, width: int):
+        super().__init__()
+        self.width = width
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.md5(word).digest()[:4], "big")
+        slot = ((h >> 1) % self.width) * 2 + (h & 1)
+        if len(self) >= _MEMO_SIZE:
+            self.clear()
+        self[word] = slot
+        return slot
+
+
 class HashingEncoder:
     def __init__(self, width: int, fault_rate: int):
         self.width = width
         self.fault_rate = fault_rate
-        # A memo of word hashes, emptied when full: it bounds memory, not results.
-        self._memo: dict[str, int] = {}
-
-    def _slots(self, words: list[str]) -> list[int]:
-        """Per word 2 * component + (1 if the sign is positive)."""
-        memo, width, digest = self._memo, self.width, hashlib.md5
-        out = []
-        for word in words:
-            slot = memo.get(word)
-            if slot is None:
-                h = int.from_bytes(digest(word.encode()).digest()[:4], "big")
-                slot = ((h >> 1) % width) * 2 + (h & 1)
-                if len(memo) >= _MEMO_SIZE:
-                    memo.clear()
-                memo[word] = slot
-            out.append(slot)
-        return out
+        self._slots = _Slots(width)
 
     def encode(self, texts: list[str]) -> np.ndarray:
         if self.fault_rate:
@@ -63,8 +63,10 @@ class HashingEncoder:
                 self._maybe_fail(text)
         vectors = np.zeros((len(texts), self.width), np.float32)
         for row, text in enumerate(texts):
-            slots = np.array(self._slots(_WORD.findall(text)), np.int64)
-            if slots.size:
+            # Bytes split at ASCII white space only, as functions.tokens.tokenize does.
+            words = text.encode().split()
+            if words:
+                slots = np.fromiter(map(self._slots.__getitem__, words), np.int64, len(words))
                 votes = np.bincount(slots, minlength=2 * self.width)
                 vectors[row] = votes[1::2] - votes[0::2]
         return vectors

@@ -44,16 +44,22 @@ def truncate_tokens(tokens: Column, limit: Column, prefix: Column, suffix: Colum
     return F.when(F.size(tokens) <= limit, tokens).otherwise(F.concat(head, middle, tail))
 
 
-def fit_text(text: Column, limit: Column, n_special: Column) -> Column:
-    """A text whose words and special tokens fit into ``limit``.
+def may_overflow(text: Column, limit: Column, n_special: Column) -> Column:
+    """False only for texts that certainly fit into ``limit``, told by their length.
 
-    Words are at least one character and one separator long, so a text under twice the
-    room in characters fits and is not tokenised at all; that covers most texts.
+    A word is at least one character and one separator, so a text under twice the room in
+    characters fits. That covers most texts and saves tokenising them.
     """
+    return F.length(text) + 1 > 2 * F.greatest(F.lit(0), limit - n_special)
+
+
+def fit_text(text: Column, limit: Column, n_special: Column) -> Column:
+    """A text whose words and special tokens fit into ``limit``."""
     room = F.greatest(F.lit(0), limit - n_special)
 
     def cut(words: Column) -> Column:
         start = F.array_join(F.slice(words, F.lit(1), room), " ")
         return F.when(F.size(words) <= room, text).otherwise(start)
 
-    return F.when(F.length(text) + 1 <= 2 * room, text).otherwise(let(tokenize(text), cut))
+    fits = ~may_overflow(text, limit, n_special)
+    return F.when(fits, text).otherwise(let(tokenize(text), cut))

@@ -155,22 +155,26 @@ def _embeddings(
     dtype: type,
     normalize: bool,
 ) -> pa.Array:
-    """The results as ``list<list<float>>``, null for failed requests."""
-    flat, lengths, counts, failed = [], [], [], []
-    for result, width in zip(results, widths):
-        bad = not isinstance(result, np.ndarray)
-        failed.append(bad)
-        counts.append(0 if bad else len(result))
-        if bad or not len(result):
-            continue
-        cut = result[:, :width]
-        flat.append((_unit(cut) if normalize else cut).astype(dtype).ravel())
-        lengths.append(np.full(len(cut), cut.shape[1], np.int64))
-    values = np.concatenate(flat) if flat else np.zeros(0, dtype)
-    inner_ends = np.cumsum(np.concatenate(lengths)) if lengths else np.zeros(0, np.int64)
-    inner = pa.ListArray.from_arrays(_offsets(inner_ends), pa.array(values))
-    outer_ends = np.cumsum(np.asarray(counts, np.int64))
-    return pa.ListArray.from_arrays(_offsets(outer_ends), inner, mask=pa.array(failed))
+    """The results as ``list<list<float>>``, null for failed requests.
+
+    Rows are scaled together with all others of their width, not request by request.
+    """
+    good = [isinstance(r, np.ndarray) for r in results]
+    counts = np.array([len(r) if ok else 0 for r, ok in zip(results, good)], np.int64)
+    blocks = [r for r in results if isinstance(r, np.ndarray) and len(r)]
+    block = np.concatenate(blocks) if blocks else np.zeros((0, 0))
+    native = block.shape[1]
+    lengths = np.repeat(np.array([min(w or 0, native) for w in widths], np.int64), counts)
+    ends = np.cumsum(lengths)
+    values = np.empty(int(lengths.sum()), dtype)
+    for width in np.unique(lengths):
+        rows = np.flatnonzero(lengths == width)
+        cut = block[rows, :width]
+        places = (ends[rows] - width)[:, None] + np.arange(width)
+        values[places] = _unit(cut) if normalize else cut
+    inner = pa.ListArray.from_arrays(_offsets(ends), pa.array(values))
+    failed = pa.array([not ok for ok in good])
+    return pa.ListArray.from_arrays(_offsets(np.cumsum(counts)), inner, mask=failed)
 
 
 def _offsets(ends: np.ndarray) -> pa.Array:

@@ -57,21 +57,12 @@ def long_count_checks(rows: DataFrame, vectors: DataFrame) -> DataFrame:
     )
 
 
-def truncation_report(tokens: DataFrame, *group: str) -> DataFrame:
-    """Totals over ``n_tokens`` / ``kept_tokens`` columns."""
-    lost = F.col("n_tokens") - F.col("kept_tokens")
-    return tokens.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n_texts"),
-        F.count_if(lost > 0).alias("n_truncated"),
-        F.sum(lost).cast("long").alias("tokens_lost"),
-    )
-
-
 def status_rollup(
     outcomes: DataFrame,
     active: str | Sequence[str] | None = None,
     registry: Sequence[ModelFacts] = REGISTRY,
     overrides: dict[str, str] | None = None,
+    backend: str = "cpu",
 ) -> DataFrame:
     """Readiness per active model from the ``model, status, detail`` of finished requests.
 
@@ -96,6 +87,7 @@ def status_rollup(
     per_model = models.join(F.broadcast(counts), "model", "left").select(
         "ord", "model", "name", F.col("build").alias("file"),
         F.col("native_dim").alias("dimension"), F.col("default_dim").alias("default_dimension"),
+        F.lit("cpu" if backend == "cpu" else "gpu").alias("device"), F.lit(backend).alias("backend"),
         F.coalesce("n_ok", zero).alias("n_ok"),
         F.coalesce("n_failed", zero).alias("n_failed"),
         F.when(F.col("n_unreachable") > 0, "unreachable")

@@ -137,6 +137,10 @@ SELECT vec_id, CAST(len(v) AS BIGINT) AS dims, round({_weighted("v")} / {_norm("
   centre AS (SELECT label, i, avg(x) AS m FROM comps GROUP BY label, i)
 SELECT vec_id, round(sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))), 6) AS cosine
 FROM comps JOIN centre USING (label, i) GROUP BY vec_id""",
+    "sql_functions": f"""WITH v AS (SELECT vec_id, embedding[1:16] AS v FROM embeddings),
+  n AS (SELECT vec_id, v, {_norm("v")} AS n FROM v)
+SELECT vec_id, CAST(len(v) AS BIGINT) AS dims, round(CAST(v[1] AS DOUBLE) / n, 6) AS x_first,
+  CAST(1.0 AS DOUBLE) AS norm, round(n, 6) AS kept FROM n""",
     "pool_mean": """WITH comps AS (SELECT label, unnest(range(len(embedding))) AS i,
       CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
   mean AS (SELECT label, i, avg(x) AS m FROM comps GROUP BY label, i)
@@ -191,6 +195,10 @@ SELECT doc_id, model, CAST(n_ctx AS BIGINT) AS n_ctx, CAST(len(w) + special AS B
       len(regexp_extract_all(dp || text, '\\S+')) + special AS n FROM documents, models)
 SELECT model, lang, count(*) AS n_texts, count(*) FILTER (n > n_ctx - 1) AS n_truncated,
   CAST(sum(greatest(0, n - (n_ctx - 1))) AS BIGINT) AS tokens_lost FROM counted GROUP BY model, lang""",
+    "truncation_log": f"""WITH {_MODELS}, counted AS (SELECT doc_id, model, n_ctx,
+      len(regexp_extract_all(dp || text, '\\S+')) + special AS n FROM documents, models)
+SELECT doc_id, model, CAST(n AS BIGINT) AS n_tokens, CAST(n_ctx - 1 AS BIGINT) AS kept_tokens,
+  CAST(n_ctx - 1 AS BIGINT) AS token_limit FROM counted WHERE n > n_ctx - 1""",
     "batch_plan": f"""WITH {_TURNS},
   sizes AS (SELECT conv_id, model, task, count(*) AS n FROM turns WHERE model <> 'nomodel' GROUP BY ALL),
   placed AS (SELECT *, CAST(sum(n) OVER (PARTITION BY model, task ORDER BY conv_id) - n AS BIGINT) AS before FROM sizes)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vectorloom.functions.prompts import apply_prompt
-from vectorloom.functions.tokens import kept_tokens, tokenize, truncate_tokens
+from vectorloom.functions.sql import register_sql_functions
+from vectorloom.functions.tokens import tokenize, truncate_tokens
 from vectorloom.functions.validation import effective_dimensions
 from vectorloom.functions.vectors import dot, finalize, l2_normalize
 from vectorloom.operators.batching import assign_batches, batch_plan, chunk_plan
@@ -17,7 +18,6 @@ from vectorloom.operators.quality import (
     all_vectors_pass,
     long_count_checks,
     status_rollup,
-    truncation_report,
     vector_checks,
 )
 from vectorloom.operators.requests import (
@@ -28,6 +28,7 @@ from vectorloom.operators.requests import (
     validate_request_texts,
     validate_requests,
 )
+from vectorloom.operators.tokens import token_usage, truncation_report, truncations
 from vectorloom.plans.bulk import (
     embed,
     embed_request_texts,
@@ -54,6 +55,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Documents for work that is heavy per row, see :func:`spread`."""
+    return spread(_table(spark, sf_dir, "documents").select(*columns))
+
+
 def _checksum(vector: Column) -> Column:
     """A position-weighted sum of the components."""
     weighted = F.transform(vector, lambda x, i: x * (i % 7 + 1))
@@ -100,7 +106,7 @@ def _turn_requests(turns: DataFrame) -> DataFrame:
 
 def _document_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Array form: one request per document, its lines as payloads."""
-    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    docs = _documents(spark, sf_dir, "doc_id", "text", "lang")
     return docs.select(
         F.col("doc_id").alias("request_id"),
         F.when(F.col("lang") == "en", "qwen").otherwise("gemma").alias("model"),
@@ -213,6 +219,16 @@ def dot_is_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_sql_functions(spark)
+    return spark.sql(
+        """SELECT vec_id, size(v) AS dims, round(v[0], 6) AS x_first, round(l2_norm(v), 6) AS norm,
+             round(dot_product(v, truncate_dims(embedding, 16)), 6) AS kept
+           FROM (SELECT vec_id, embedding, finalize_vector(embedding, 16) AS v FROM {vectors})""",
+        vectors=_table(spark, sf_dir, "embeddings"),
+    ).withColumn("dims", F.col("dims").cast("long"))
+
+
 def pool_mean_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     pooled = pool_mean(_table(spark, sf_dir, "embeddings"), "label", "embedding")
     return pooled.select(
@@ -238,7 +254,7 @@ def prompted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             *[F.struct(F.lit(m.key).alias("model"), F.lit(t).alias("task")) for m in REGISTRY for t in TASKS]
         )
     )
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", lanes.alias("lane"))
+    docs = _documents(spark, sf_dir, "doc_id", "text").select("*", lanes.alias("lane"))
     routed = route(docs.select("doc_id", "text", "lane.model", "lane.task"))
     prompted = apply_prompt(F.col("text"), F.col("task"), F.col("query_prompt"), F.col("document_prompt"))
     return routed.select("doc_id", "model", "task", prompted.alias("p")).select(
@@ -318,7 +334,7 @@ def json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     n = F.size(tokenize(F.concat(F.lit(GEMMA.document_prompt), "text"))) + 2
     return docs.select("doc_id", n.cast("long").alias("n_tokens")).withColumn(
         "fits", F.col("n_tokens") <= GEMMA.n_ctx - 1
@@ -344,7 +360,8 @@ def truncated_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
             for model, n_ctx, prefix, suffix in cases
         ]
     )
-    words = _table(spark, sf_dir, "documents").select("doc_id", tokenize(F.col("text")).alias("words"))
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    words = docs.select("doc_id", tokenize(F.col("text")).alias("words"))
     return (
         words.select("doc_id", "words", F.explode(variants).alias("v"))
         .select("doc_id", "v.*", F.concat("v.prefix", "words", "v.suffix").alias("tokens"))
@@ -358,15 +375,21 @@ def truncated_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truncation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select(
-        "text", "lang", F.explode(F.array(*[F.lit(m.key) for m in REGISTRY])).alias("model")
-    )
-    routed = route(docs)
-    n_tokens = F.size(tokenize(F.concat("document_prompt", "text"))) + F.col("n_special")
-    counted = routed.select("model", "lang", n_tokens.alias("n_tokens"), "token_limit", "n_special").withColumn(
-        "kept_tokens", kept_tokens(F.col("n_tokens"), F.col("token_limit"), F.col("n_special"))
-    )
-    return truncation_report(counted, "model", "lang")
+    usage = token_usage(_documents_per_model(spark, sf_dir), "text")
+    return truncation_report(usage, "model", "lang")
+
+
+def truncation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = truncations(_documents_per_model(spark, sf_dir), "text")
+    counts = [F.col(c).cast("long").alias(c) for c in ("n_tokens", "kept_tokens", "token_limit")]
+    return cut.select("doc_id", "model", *counts)
+
+
+def _documents_per_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir, "doc_id", "text", "lang").select(
+        "doc_id", "text", "lang", F.lit("document").alias("task"),
+        F.explode(F.array(*[F.lit(m.key) for m in REGISTRY])).alias("model"),
+    )
 
 
 # --- batches --------------------------------------------------------------------------
@@ -572,6 +595,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "multi_width": multi_width,
     "default_width": default_width,
     "dot_is_cosine": dot_is_cosine,
+    "sql_functions": sql_functions,
     "pool_mean": pool_mean_by_label,
     "pool_last": pool_last_by_label,
     "prompted_texts": prompted_texts,
@@ -582,6 +606,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "token_counts": token_counts,
     "truncate_tokens": truncated_tokens,
     "truncation_report": truncation_totals,
+    "truncation_log": truncation_log,
     "batch_plan": batches_of_conversations,
     "chunk_plan": chunks_of_documents,
     "regroup_responses": regrouped_responses,
