@@ -28,7 +28,7 @@ def test_chunks_keep_order_and_size():
     assert whole.sizes == [20]
 
 
-def test_failing_chunk_keeps_its_status():
+def test_first_failing_chunk_decides_the_error():
     texts = [*TWENTY[:10], "loading", "gone", *TWENTY[10:]]
     with pytest.raises(EncoderRejected) as caught:
         _encode_in_chunks(Numbers(), texts, 8)
@@ -112,7 +112,11 @@ def test_result_does_not_depend_on_partitions_or_batches(spark):
     rows = [(i, "gemma", ("query", "document")[i % 2], [str(i), str(i + 1)], 2) for i in range(200)]
     df = spark.createDataFrame(rows, SCHEMA)
     seen = set()
-    for parts, call, chunk in ((1, 256, 8), (5, 7, 3), (16, 1, 1)):
-        out = encode_requests(df.repartition(parts), NumbersFactory(), ["id"], call_texts=call, chunk_texts=chunk)
-        seen.add(tuple(sorted((r.id, str(r.embeddings)) for r in out.collect())))
-    assert len(seen) == 1
+    for parts, arrow, call, chunk in ((1, 10000, 256, 8), (5, 3, 7, 3), (16, 1, 1, 1), (2, 50, 30, 8)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", arrow)
+        try:
+            out = encode_requests(df.repartition(parts), NumbersFactory(), ["id"], call_texts=call, chunk_texts=chunk)
+            seen.add(tuple(sorted((r.id, str(r.embeddings)) for r in out.collect())))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(seen) == 1 and len(next(iter(seen))) == 200

@@ -23,25 +23,22 @@ def kept_tokens(n_tokens: Column, limit: Column, n_special: Column) -> Column:
 
 
 def truncate_tokens(tokens: Column, limit: Column, prefix: Column, suffix: Column) -> Column:
-    """Cut ``tokens`` to ``limit`` while keeping its special tokens and the start of the text.
+    """Cut ``tokens`` to ``limit`` by dropping the end of the text, not the special tokens.
 
-    ``prefix`` and ``suffix`` are kept only where the sequence has them. They are never
-    cut themselves, so a limit below their number is exceeded.
+    What stays is the front of the sequence and, where the sequence ends with ``suffix``,
+    that suffix. The front is as long as the limit allows but never shorter than a
+    ``prefix`` the sequence starts with, so a limit below the number of special tokens is
+    exceeded.
     """
-    n_suffix = F.size(suffix)
-    starts = F.slice(tokens, F.lit(1), F.size(prefix)) == prefix
-    ends = (
-        F.when(
-            (n_suffix > 0) & (F.size(tokens) >= n_suffix),
-            F.slice(tokens, F.size(tokens) - n_suffix + 1, n_suffix) == suffix,
-        )
-    ).otherwise(False)
-    nothing = F.slice(tokens, F.lit(1), F.lit(0))
-    head = F.when(starts, prefix).otherwise(nothing)
-    tail = F.when(ends, suffix).otherwise(nothing)
-    room = F.greatest(F.lit(0), limit - F.size(head) - F.size(tail))
-    middle = F.slice(tokens, F.size(head) + 1, room)
-    return F.when(F.size(tokens) <= limit, tokens).otherwise(F.concat(head, middle, tail))
+    size, n_prefix, n_suffix = F.size(tokens), F.size(prefix), F.size(suffix)
+    starts = F.slice(tokens, F.lit(1), n_prefix) == prefix
+    back = F.slice(tokens, F.greatest(F.lit(1), size - n_suffix + 1), n_suffix)
+    n_front = F.when(starts, n_prefix).otherwise(0)
+    n_back = F.when(back == suffix, n_suffix).otherwise(0)
+    front = F.slice(tokens, F.lit(1), F.greatest(n_front, limit - n_back))
+    return F.when(size <= limit, tokens).otherwise(
+        F.concat(front, F.slice(back, F.lit(1), n_back))
+    )
 
 
 def may_overflow(text: Column, limit: Column, n_special: Column) -> Column:

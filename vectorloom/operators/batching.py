@@ -7,17 +7,13 @@ arrival, summed within each partition, and shifted by the totals of earlier part
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
 from vectorloom.functions.binding import int_div
 from vectorloom.operators.embedding import CALL_TEXTS, DOCUMENT_CHUNK_TEXTS
-from vectorloom.session import attach, materialize
+from vectorloom.session import materialize
 
 LANE = ("model", "task")
 
@@ -28,75 +24,39 @@ def running_total(
     """``df`` with the sum of ``size`` over the earlier rows of the same lane.
 
     ``order`` has to be unique within a lane. Pass narrow rows: they are stored, so that
-    range sampling does not compute them twice, shuffled once, and stored again. That copy
-    fixes the partition number that both the rows and the offsets refer to, also if an
-    executor is lost in between.
+    range sampling does not compute them twice, range-partitioned, and stored again with
+    their partition number. From then on that number is data, the same for rows and
+    offsets also if an executor is lost in between; windows run per partition and lane.
     """
-    spark = attach(df.sparkSession)
-    schema = T.StructType(
-        df.schema.fields
-        + [T.StructField("_local", T.LongType()), T.StructField("_part", T.IntegerType())]
-    )
-    local = materialize(
+    ranged = materialize(
         materialize(df, "sizes")
         .repartitionByRange(*lane, *order)
-        .sortWithinPartitions(*lane, *order)
-        .mapInArrow(_local_totals(list(lane), size), schema),
-        "running-total",
+        .withColumn("_part", F.spark_partition_id()),
+        "ranged",
     )
-    totals = local.groupBy(*lane, "_part").agg(F.sum(size).alias("_sum"))
-    earlier = Window.partitionBy(*lane).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # At most one row per range partition plus one per lane, whatever the number of rows.
-    offsets = totals.select(
-        *[F.col(c).alias(f"_{c}") for c in lane],
-        F.col("_part").alias("_at"),
-        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"),
+    earlier_parts = Window.partitionBy(*lane).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier_rows = Window.partitionBy("_part", *lane).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    # One row per range partition plus one per lane: stored, so that Spark broadcasts it by
+    # its true size. A shuffle join would be even as well, partition by partition.
+    totals = ranged.groupBy(*lane, "_part").agg(F.sum(size).alias("_sum"))
+    offsets = materialize(
+        totals.select(
+            *[F.col(c).alias(f"_{c}") for c in lane],
+            F.col("_part").alias("_at"),
+            F.coalesce(F.sum("_sum").over(earlier_parts), zero).alias("_offset"),
+        ),
+        "offsets",
     )
     same = F.col("_part") == F.col("_at")
     for c in lane:
         same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return local.join(F.broadcast(offsets), same).select(
+    local = ranged.withColumn("_local", F.coalesce(F.sum(size).over(earlier_rows), zero))
+    return local.join(offsets, same).select(
         *df.columns, (F.col("_offset") + F.col("_local")).cast("long").alias(name)
     )
 
 
-def _local_totals(lane: list[str], size: str):
-    """Per partition, sorted by lane: the running total before each row, restarting per lane."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, current, carried = TaskContext.get().partitionId(), None, 0
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            sizes = np.asarray(batch.column(size).cast(pa.int64()))
-            starts = _run_starts([batch.column(c) for c in lane], n)
-            local = np.empty(n, np.int64)
-            for begin, end in zip(starts, [*starts[1:], n]):
-                key = tuple(batch.column(c)[begin].as_py() for c in lane)
-                if key != current:
-                    current, carried = key, 0
-                sums = carried + np.cumsum(sizes[begin:end])
-                local[begin:end] = sums - sizes[begin:end]
-                carried = int(sums[-1])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(local), pa.array(np.full(n, part, np.int32))],
-                names=[*batch.schema.names, "_local", "_part"],
-            )
-
-    return run
-
-
-def _run_starts(columns: list[pa.Array], n: int) -> list[int]:
-    """Positions where any of the columns differs from the row before."""
-    changed = np.zeros(n, bool)
-    changed[0] = True
-    for column in columns:
-        codes = np.asarray(pc.rank(column, tiebreaker="dense"))
-        changed[1:] |= codes[1:] != codes[:-1]
-    return np.flatnonzero(changed).tolist()
-
-
 def assign_batches(
     requests: DataFrame,
     order: Sequence[str] = ("request_id",),

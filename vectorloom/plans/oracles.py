@@ -257,6 +257,9 @@ SELECT CAST(label AS BIGINT) AS index_id, count(DISTINCT model || '/' || build)
   count(DISTINCT model || '/' || build) > 1 AS mixed FROM built GROUP BY label""",
     "stale_vectors": """SELECT doc_id, md5(text) AS text_hash FROM documents d WHERE NOT EXISTS (
   SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1 AND l.toxic = 0)""",
+    "refresh_vectors": """SELECT doc_id,
+  CAST(CASE WHEN EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 0) THEN 2 ELSE 1 END AS BIGINT) AS n_stored,
+  CAST(1 AS BIGINT) AS n_current FROM documents d""",
     "vector_table": f"""WITH {_MODELS}, {_TURNS},
   src AS (SELECT conv_id, turn, model, build, native, room, coalesce(width, 768) AS asked,
       least(coalesce(width, 768), native) AS width, {_PROMPTED} text AS seen

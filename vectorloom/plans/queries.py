@@ -36,6 +36,7 @@ from vectorloom.plans.bulk import (
     encode_request_texts,
     stand_in,
 )
+from vectorloom.plans.refresh import current_vectors, refresh
 from vectorloom.registry import GEMMA, REGISTRY, TASKS, models_table
 from vectorloom.session import materialize, scratch_path, spread
 from vectorloom.sources.requests import parse_requests
@@ -533,6 +534,28 @@ def stale_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stale.select(F.col("id").alias("doc_id"), "text_hash")
 
 
+def refreshed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector table made when the documents of low quality still had another text, brought
+    up to date: those have two vectors then, of which one is current."""
+    docs = _documents(spark, sf_dir, "doc_id", "text").withColumnRenamed("doc_id", "id")
+    low = _table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("id"))
+    before = docs.join(low.distinct().withColumn("low", F.lit(True)), "id", "left").select(
+        "id", F.when(F.col("low"), F.concat("text", F.lit(" old"))).otherwise(F.col("text")).alias("text")
+    )
+    path = scratch_path(spark, "refreshed")
+    for texts in (before, docs):
+        refresh(texts, path, "gemma", "document", 64)
+    table = spark.read.parquet(path)
+    space = {"model": "gemma", "build": GEMMA.default_build, "dimensions": 64}
+    current = current_vectors(docs, table, **space).select("id", F.lit(1).alias("current"))
+    return (
+        table.select("id", F.lit(0).alias("current"), F.lit(1).alias("stored"))
+        .unionByName(current.withColumn("stored", F.lit(0)))
+        .groupBy(F.col("id").alias("doc_id"))
+        .agg(F.sum("stored").alias("n_stored"), F.sum("current").alias("n_current"))
+    )
+
+
 def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written by model, build and width, then read back."""
     encoded = encode_request_texts(_conversation_requests(spark, sf_dir))
@@ -619,6 +642,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "canonical_build": canonical_builds_of_documents,
     "space_guard": mixed_spaces,
     "stale_vectors": stale_documents,
+    "refresh_vectors": refreshed_vectors,
     "vector_table": vector_table,
     "stream_embed": stream_embed,
     "stream_dead_letters": stream_dead_letters,
