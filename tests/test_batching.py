@@ -1,6 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
 
 from vectorloom.operators.batching import assign_batches, batch_plan, chunk_plan, running_total
 

@@ -57,8 +57,9 @@ def test_space_guard(spark):
 
 def test_stale_vectors(spark):
     texts = spark.createDataFrame([(i, f"text {i // 2}") for i in range(8)], "id long, text string")
-    made = texts.select("id", text_hash(F.col("text")).alias("text_hash")).crossJoin(
-        spark.createDataFrame([("gemma", "b1", 768), ("qwen", "q1", 768)], "model string, build string, dimensions int")
+    spaces = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(b).alias("build")) for m, b in (("gemma", "b1"), ("qwen", "q1"))])
+    made = texts.select(
+        "id", text_hash(F.col("text")).alias("text_hash"), F.lit(768).alias("dimensions"), F.inline(spaces)
     )
     changed = F.when(F.col("id") == 3, F.lit("old")).otherwise(F.col("text_hash"))
     table = made.where("id <> 5").withColumn("text_hash", changed)

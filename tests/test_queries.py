@@ -1,6 +1,5 @@
 """Every registered query against its SQL, and the shape of its plan."""
 
-import os
 import re
 
 import duckdb

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vectorloom.registry import QWEN, quants_table, resolve_build
-from vectorloom.session import materialize
 
 SPACE = ("model", "build")
 
@@ -95,18 +92,8 @@ def stale_keys(
 def stale_texts(texts: DataFrame, stale: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """The rows to embed again.
 
-    ``stale`` is stored first: after a small change it is small, is broadcast, and the
-    texts are not shuffled.
+    Pass ``stale`` stored (:func:`vectorloom.session.materialize`): after a small change it
+    is then known to be small, is broadcast, and the texts are not shuffled.
     """
     hashed = texts.withColumn("text_hash", text_hash(F.col(text)))
-    return hashed.join(materialize(stale, "stale"), [key, "text_hash"], "left_semi")
-
-
-def with_provenance(
-    vectors: DataFrame, model: Column, build: Column, dimensions: Column, columns: Sequence[str] = ()
-) -> DataFrame:
-    """The provenance columns every stored vector carries."""
-    kept = [F.col(c) for c in (columns or vectors.columns)]
-    return vectors.select(
-        *kept, model.alias("model"), build.alias("build"), dimensions.cast("int").alias("dimensions")
-    )
+    return hashed.join(stale, [key, "text_hash"], "left_semi")

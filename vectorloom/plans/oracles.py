@@ -221,6 +221,13 @@ FROM vectors GROUP BY ALL""",
     "failure_isolation": f"""WITH {_FAULTY}
 SELECT conv_id, CAST(status AS BIGINT) AS status, detail,
   CASE WHEN status = 200 THEN n_payloads ELSE 0 END AS n_vectors FROM outcomes""",
+    "written_responses": f"""WITH {_MODELS},
+  payloads AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'gemma' WHEN 1 THEN 'qwen' END AS model,
+      unnest([0, 1]) AS position, unnest([text, left(text, length(text) // 2)]) AS payload FROM benchmark),
+  src AS (SELECT item_id, position, native, room, 128 AS width, qp || payload AS seen FROM payloads JOIN models USING (model)),
+  {_hashed("item_id, position")}, {_digest("item_id, position")}
+SELECT item_id, CAST(position AS BIGINT) AS position, coalesce(nnz, 0) AS nnz, coalesce(round(chk, 6), 0) AS chk
+FROM src LEFT JOIN digest USING (item_id, position)""",
     "dead_letters": f"""WITH {_MODELS}, {_DOC_LINES},
   faults AS (SELECT doc_id, line, model, {_fault("dp || payload", 1)} AS fault FROM lines JOIN models USING (model)),
   firsts AS (SELECT doc_id, model, arg_min(fault, line) AS fault FROM faults WHERE fault IS NOT NULL GROUP BY ALL)

@@ -40,7 +40,7 @@ from vectorloom.plans.refresh import current_vectors, refresh
 from vectorloom.registry import GEMMA, REGISTRY, TASKS, models_table
 from vectorloom.session import materialize, scratch_path, spread
 from vectorloom.sources.requests import parse_requests
-from vectorloom.sources.sinks import write_errors, write_vectors
+from vectorloom.sources.sinks import write_errors, write_responses, write_vectors
 from vectorloom.sources.texts import read_texts
 from vectorloom.streaming.jobs import (
     embed_stream,
@@ -445,6 +445,24 @@ def failure_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def written_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses as JSON lines, read back: two payloads per request, the item and its half."""
+    items = spread(_table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    half = F.left(F.col("text"), F.floor(F.length("text") / 2).cast("int"))
+    requests = items.select(
+        F.col("item_id").alias("request_id"),
+        F.when(F.col("item_id") % 3 == 0, "gemma").when(F.col("item_id") % 3 == 1, "qwen").otherwise("nomodel").alias("model"),
+        F.lit("query").alias("task"), F.array("text", half).alias("payloads"),
+        F.lit(128).cast("long").alias("dimensions"),
+    )
+    path = scratch_path(spark, "responses")
+    write_responses(embed_requests(requests, double=True), path)
+    responses = spark.read.schema("request_id long, embeddings array<array<double>>").json(path)
+    return responses.select(
+        F.col("request_id").alias("item_id"), F.posexplode("embeddings").alias("position", "v")
+    ).select("item_id", F.col("position").cast("long").alias("position"), *_digest(F.col("v")))
+
+
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = _document_requests(spark, sf_dir)
     outcomes = embed_requests(requests, factory=stand_in(fault_rate=1))
@@ -634,6 +652,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunk_plan": chunks_of_documents,
     "regroup_responses": regrouped_responses,
     "failure_isolation": failure_isolation,
+    "written_responses": written_responses,
     "dead_letters": dead_letters,
     "validate_vectors": validate_vectors,
     "vectors_pass": vectors_pass,

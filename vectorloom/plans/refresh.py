@@ -17,6 +17,9 @@ from vectorloom.sources.sinks import write_vectors
 
 _STORED = "id long, text_hash string, embedding array<float>, model string, build string, dimensions int"
 
+# Texts per core up to which spreading them evenly is worth shuffling them.
+FEW_TEXTS = 10_000
+
 
 def refresh(
     texts: DataFrame,
@@ -47,8 +50,13 @@ def refresh(
             raise
         stored = spark.createDataFrame([], _STORED)
     space = {"model": model, "build": build, "dimensions": dimensions}
-    stale = stale_keys(texts, stored, **space)
+    stale = materialize(stale_keys(texts, stored, **space), "stale")
     todo = stale_texts(texts.select("id", "text"), stale)
+    cores = spark.sparkContext.defaultParallelism
+    if stale.count() <= cores * FEW_TEXTS:
+        # Few texts, perhaps all from a few input splits: deal them out evenly. More texts
+        # keep every core busy as they are, and are not shuffled.
+        todo = todo.repartition(cores)
     encoded = materialize(
         embed(todo, "text", model, task, dimensions, keys=["id", "text_hash"],
               factory=factory, registry=registry, **options),
