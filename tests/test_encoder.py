@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.encoders import EncoderRejected, HashingFactory
 from vectorloom.functions import classify_failure
+from vectorloom.operators import embedding
 from vectorloom.operators.embedding import _calls, _encode_in_chunks, _isolate, encode_requests
 
 TWENTY = [str(i) for i in range(1, 21)]
@@ -99,6 +100,14 @@ def test_a_lost_vector_fails_the_request(spark):
     assert got[1].error.status == 500 and "1 vectors for 2 texts" in got[1].error.detail
 
 
+def test_a_request_too_large_for_a_row_is_an_error(monkeypatch):
+    monkeypatch.setattr(embedding, "ROW_BYTES", 100)
+    block = np.ones((10, 4), np.float32)
+    assert isinstance(embedding._storable(block, 3, np.float32), ValueError)
+    assert embedding._storable(block, 2, np.float32) is block
+    assert isinstance(embedding._storable(block, 2, np.float64), ValueError)
+
+
 def test_hashing_encoder_values():
     encoder = HashingFactory((("m", 768),))("m")
     a, empty, twice = encoder.encode(["abc", " ", "abc x abc"])

@@ -19,6 +19,8 @@ from vectorloom.schemas import OUTCOME
 # Texts per call, and per document sub-call.
 CALL_TEXTS = 256
 DOCUMENT_CHUNK_TEXTS = 8
+# What fits into one row; larger requests are for embed_request_texts.
+ROW_BYTES = 2**31 - 2**20
 
 _OUTCOME_ARROW = pa.struct(
     [("kind", pa.string()), ("code", pa.int32()), ("message", pa.string())]
@@ -81,14 +83,16 @@ def _stage(
             model, task = table["_model"].to_pylist(), table["_task"].to_pylist()
             sizes = table["_texts"].combine_chunks().value_lengths().to_pylist()
             for rows in _calls(list(zip(model, task)), sizes, call_texts):
-                part = table.take(pa.array(rows))
-                requests = part["_texts"].to_pylist()
+                part = _pick(table, rows)
+                widths = part["_width"].to_pylist()
                 if sizes[rows[0]] is None:
                     results = [None] * len(rows)
                 else:
                     chunk = chunk_texts if task[rows[0]] == "document" else None
-                    results = _isolate(load_encoder(factory, model[rows[0]]), requests, chunk)
-                vectors = _embeddings(results, part["_width"].to_pylist(), dtype, normalize)
+                    encoder = load_encoder(factory, model[rows[0]])
+                    results = _isolate(encoder, part["_texts"].to_pylist(), chunk)
+                    results = [_storable(r, w, dtype) for r, w in zip(results, widths)]
+                vectors = _embeddings(results, widths, dtype, normalize)
                 outcome = pa.array([_outcome(r) for r in results], _OUTCOME_ARROW)
                 columns = [part[k].combine_chunks() for k in keys] + [vectors, outcome]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keys, "embeddings", "outcome"])
@@ -96,6 +100,24 @@ def _stage(
     return run
 
 
+def _pick(table: pa.Table, rows: list[int]) -> pa.Table:
+    """The given rows, without a copy if they are neighbours."""
+    if rows[-1] - rows[0] + 1 == len(rows):
+        return table.slice(rows[0], len(rows))
+    return table.take(pa.array(rows))
+
+
+def _storable(
+    result: np.ndarray | Exception, width: int, dtype: type
+) -> np.ndarray | Exception:
+    """A request whose vectors cannot be one row is an error, not a corrupt row."""
+    if isinstance(result, np.ndarray) and result.size:
+        size = len(result) * min(width, result.shape[1]) * np.dtype(dtype).itemsize
+        if size > ROW_BYTES:
+            return ValueError("the vectors of this request exceed one row; pass it in long form")
+    return result
+
+
 def _outcome(result: np.ndarray | Exception | None) -> dict | None:
     if result is None:
         return None
