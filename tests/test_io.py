@@ -9,7 +9,7 @@ from vectorloom.plans.bulk import embed_requests, encode_request_texts
 from vectorloom.schemas import REQUEST, REQUEST_TEXT
 from vectorloom.session import scratch_path, shared_dir
 from vectorloom.sources.requests import parse_requests
-from vectorloom.sources.sinks import write_errors, write_responses, write_vectors
+from vectorloom.sources.sinks import write_outcomes, write_vectors
 from vectorloom.sources.texts import read_texts
 from vectorloom.streaming.jobs import embed_stream, embed_stream_with_dead_letters, read_request_stream
 
@@ -21,8 +21,7 @@ def _outcomes(spark):
 
 def test_responses_and_dead_letters(spark, tmp_path):
     good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
-    write_responses(_outcomes(spark), good)
-    write_errors(_outcomes(spark), bad)
+    write_outcomes(_outcomes(spark), good, bad)
     lines = [json.loads(line) for name in os.listdir(good) if name.endswith(".json") for line in open(f"{good}/{name}")]
     assert sorted((r["request_id"], r["embeddings"]) for r in lines) == [
         (i, [[float(i), 1.0], [1.0, 1.0]]) for i in range(9) if i % 3

@@ -4,6 +4,7 @@ import pytest
 from fakes import NumbersFactory
 from pyspark.sql import functions as F
 
+from vectorloom.operators import requests as request_operators
 from vectorloom.operators.requests import (
     SLICE_ROWS,
     first_failures,
@@ -101,7 +102,7 @@ def test_long_form_agrees_with_array_form(spark):
     assert {i: tuple(e) for i, e in heads.items() if e} == failed
 
 
-def test_one_request_holding_most_rows(spark):
+def test_one_request_holding_most_rows(spark, monkeypatch):
     """A request over several slices fails as a whole; one that does not keeps every vector."""
     n = 2 * SLICE_ROWS + 10
 
@@ -116,10 +117,13 @@ def test_one_request_holding_most_rows(spark):
     counts = {r.request_id: r.n for r in vectors.groupBy("request_id").agg(F.count("*").alias("n")).collect()}
     assert counts == {2: n, 3: 1}
     # The same without broadcasting the failed requests.
+    monkeypatch.setattr(request_operators, "FEW_REQUESTS", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         failures, vectors = first_failures(encoded)
-        assert failures.count() == 2 and vectors.count() == n + 1
+        assert "Broadcast" not in vectors._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.request_id, r.status) for r in failures.collect()) == [(1, 500), (4, 503)]
+        assert vectors.count() == n + 1 and vectors.where("request_id in (1, 4)").count() == 0
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     parts = regroup_responses(vectors.where("request_id = 2"), part_texts=1000).orderBy("part").collect()

@@ -23,6 +23,8 @@ from vectorloom.session import materialize
 
 # Payload rows of one request that share a join or aggregation key.
 SLICE_ROWS = 4096
+# Failed requests that are broadcast: two integers each, about 16 MB in all.
+FEW_REQUESTS = 1_000_000
 
 
 def route(
@@ -124,43 +126,42 @@ def first_failures(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
     stored table. One failed payload fails its request, with the error of the lowest
     ``error_rank`` and then of the lowest payload index.
 
-    The order is packed into one number, so the aggregate is a plain hash aggregate that
-    combines before the shuffle. The failed requests are stored: usually they are few, and
-    their known size lets them be broadcast so that no vector is shuffled. Beyond that,
-    payload rows are matched by ``(request_id, slice)``, at most ``SLICE_ROWS`` rows per
-    key however large a request.
+    Only failed rows are aggregated, and their order is one number, so this is a plain hash
+    aggregate that combines before its shuffle. Up to ``FEW_REQUESTS`` failed requests are
+    broadcast and no vector is shuffled. Beyond that, payload rows are matched by
+    ``(request_id, slice)``, at most ``SLICE_ROWS`` rows per key however large a request.
     """
     rank = F.col("error_rank")
     order = rank.cast("long") * F.lit(1 << 40) + F.col("payload_index").cast("long")
     failed = materialize(
-        outcomes.groupBy("request_id")
-        .agg(
-            F.min(order).alias("first"),
-            F.max("payload_index").alias("last_index"),
-        )
-        .where(F.col("first").isNotNull())
-        .select("request_id", (F.col("first") % (1 << 40)).alias("payload_index"), "last_index"),
+        outcomes.where(rank.isNotNull())
+        .groupBy("request_id")
+        .agg((F.min(order) % (1 << 40)).alias("payload_index")),
         "failed",
     )
+    few = failed.count() <= FEW_REQUESTS
     failures = (
         outcomes.where(rank.isNotNull())
         .withColumn("payload_index", F.col("payload_index").cast("long"))
-        .join(failed, ["request_id", "payload_index"])
+        .join(F.broadcast(failed) if few else failed, ["request_id", "payload_index"])
         .select("request_id", "model", "error.status", "error.detail")
     )
-    slices = failed.select(
-        "request_id",
-        F.explode(
-            F.sequence(F.lit(0).cast("long"), int_div(F.col("last_index"), SLICE_ROWS))
-        ).alias("_slice"),
-    )
-    vectors = (
-        outcomes.where(rank.isNull())
-        .withColumn("_slice", int_div(F.col("payload_index"), SLICE_ROWS))
-        .join(slices, ["request_id", "_slice"], "left_anti")
-        .drop("_slice", "error", "error_rank")
+    good = outcomes.where(rank.isNull())
+    if few:
+        ids = F.broadcast(failed.select("request_id"))
+        return failures, good.join(ids, "request_id", "left_anti").drop("error", "error_rank")
+    slices = (
+        _sliced(outcomes)
+        .select("request_id", "_slice")
+        .distinct()
+        .join(failed.select("request_id"), "request_id", "left_semi")
     )
-    return failures, vectors
+    vectors = _sliced(good).join(slices, ["request_id", "_slice"], "left_anti")
+    return failures, vectors.drop("_slice", "error", "error_rank")
+
+
+def _sliced(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_slice", int_div(F.col("payload_index"), SLICE_ROWS))
 
 
 def regroup_responses(vectors: DataFrame, part_texts: int = 1024) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from vectorloom.session import materialize
+
 VECTOR_LAYOUT = ("model", "build", "dimensions")
 
 
@@ -34,3 +36,13 @@ def write_errors(outcomes: DataFrame, path: str, *, mode: str = "append") -> Non
     """``request_id, status, detail`` of the requests that failed."""
     bad = outcomes.where(F.col("status") != 200).select("request_id", "status", "detail")
     bad.write.mode(mode).parquet(path)
+
+
+def write_outcomes(
+    outcomes: DataFrame, responses: str, errors: str, *, format: str = "json", mode: str = "append"
+) -> None:
+    """Both of the above from one run: outcomes are stored first, so that no text is encoded
+    twice and a request cannot end up in both tables or in neither."""
+    stored = materialize(outcomes, "outcomes")
+    write_responses(stored, responses, format=format, mode=mode)
+    write_errors(stored, errors, mode=mode)
