@@ -4,11 +4,11 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from vectorloom.encoders import EncoderRejected, EncoderUnavailable, TokenizeFailed
+from vectorloom.encoders import EncoderRejected, EncoderUnavailable, TokenEncoder, TokenizeFailed
 
 
 class Numbers:
-    """The text "N" embeds as [N, 1]; some words make the call fail."""
+    """A numeral becomes the vector (its value, 1); some words make the call fail."""
 
     def __init__(self):
         self.sizes = []
@@ -58,3 +58,23 @@ class ShortFactory:
 
     def encode(self, texts):
         return np.ones((len(texts) - 1, 2), np.float32)
+
+
+class CharacterEncoder(TokenEncoder):
+    """Characters as tokens between a start (1) and an end (2): counts, first and last id."""
+
+    n_ctx, prefix, suffix = 11, (1,), (2,)
+
+    def tokenize(self, texts):
+        if any("\x00" in t for t in texts):
+            raise ValueError("bad byte")
+        return [[1, *map(ord, t), 2] for t in texts]
+
+    def encode_tokens(self, sequences):
+        return np.array([[len(s), s[0], s[-2], s[-1]] for s in sequences], np.float32)
+
+
+@dataclass(frozen=True)
+class CharacterFactory:
+    def __call__(self, model):
+        return CharacterEncoder()

@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from fakes import NumbersFactory
+from fakes import CharacterFactory, NumbersFactory
 from pyspark.sql import functions as F
 
 from vectorloom.operators import requests as request_operators
@@ -160,3 +160,18 @@ def test_embed_arguments(spark):
     got = {r.id: r for r in embed(texts, "text", "gemma", "query", 5).collect()}
     assert len(got[1].embedding) == 5 and got[1].outcome.kind == "ok"
     assert got[2].embedding is None and got[2].outcome is None
+
+
+def test_encoder_with_its_own_tokenizer(spark):
+    """Whole texts arrive, are cut by their own tokens, and white space is left alone."""
+    texts = spark.createDataFrame([(1, "a  b"), (2, "x" * 50 + "y"), (3, "\x00")], "id long, text string")
+    got = {r.id: r for r in embed(texts, "text", "qwen", "document", 9, factory=CharacterFactory(),
+                                  truncate=False, normalize=False).collect()}
+    assert got[1].embedding == [6.0, 1.0, float(ord("b")), 2.0]
+    assert got[2].embedding == [10.0, 1.0, float(ord("x")), 2.0]
+    assert (got[3].outcome.kind, got[3].outcome.message) == ("tokenize", "bad byte")
+    rows = [("qwen", "document", ["a  b", "x" * 50], None), ("qwen", "document", ["\x00"], None)]
+    out = {r.request_id: r for r in embed_requests(
+        _requests(spark, rows), factory=CharacterFactory(), truncate=False, normalize=False).collect()}
+    assert [v[0] for v in out[0].embeddings] == [6.0, 10.0]
+    assert (out[1].status, out[1].detail) == (500, "qwen: tokenize failed: bad byte")

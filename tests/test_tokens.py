@@ -2,6 +2,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from vectorloom.encoders.tokens import fit_sequence
 from vectorloom.functions import fit_text, kept_tokens, tokenize, truncate_tokens
 
 CASES = {
@@ -28,6 +29,7 @@ def test_truncate_cases(spark):
     df = spark.createDataFrame([(k, *v) for k, v in CASES.items()], SCHEMA)
     for row in _cut(df).collect():
         assert row.cut == row.expected, row.name
+        assert fit_sequence(row.t, row.l, row.p, row.s) == row.expected, row.name
 
 
 small_ints = st.lists(st.integers(1, 3), max_size=8)
@@ -47,6 +49,7 @@ def test_truncate_random(spark, rows):
     df = spark.createDataFrame([("", *r, None) for r in rows], SCHEMA)
     for r in _cut(df).collect():
         case = (r.t, r.l, r.p, r.s, r.cut)
+        assert fit_sequence(r.t, r.l, r.p, r.s) == r.cut, case
         if len(r.t) <= r.l:
             assert r.cut == r.t, case
             continue

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from vectorloom.functions import dot, finalize, l2_norm, l2_normalize, truncate_dims
@@ -41,6 +42,22 @@ def test_encoder_side_scaling_agrees_with_the_expression(spark):
     np.testing.assert_allclose(got, _unit(block), atol=1e-12, equal_nan=True)
 
 
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.lists(st.floats(width=32), max_size=6), st.integers(1, 8)), min_size=20, max_size=40))
+def test_finalize_gives_length_one_or_zeros(spark, rows):
+    df = spark.createDataFrame([(i, v, d) for i, (v, d) in enumerate(rows)], "i int, v array<float>, d int")
+    for row in df.select("i", finalize(F.col("v"), F.col("d")).alias("out")).collect():
+        v, d = rows[row.i]
+        cut = np.array(v[:d], np.float64)
+        assert len(row.out) == len(cut)
+        norm = np.sqrt((cut * cut).sum())
+        if np.isfinite(norm) and norm > 0:
+            np.testing.assert_allclose(row.out, cut / norm, atol=1e-12)
+            assert abs(np.linalg.norm(row.out) - 1) < 1e-9
+        elif not np.isinf(norm):
+            assert not any(row.out)
+
+
 def test_finalize_is_idempotent_and_unit(spark, small):
     v = spark.read.parquet(f"{small}/embeddings.parquet").select(finalize(F.col("embedding"), F.lit(24)).alias("v"))
     again = v.select("v", finalize(F.col("v"), F.lit(24)).alias("w"))

@@ -9,6 +9,7 @@ from vectorloom.encoders.base import (
     load_encoder,
 )
 from vectorloom.encoders.hashing import HashingFactory
+from vectorloom.encoders.tokens import TokenEncoder
 
 __all__ = [
     "Encoder",
@@ -16,6 +17,7 @@ __all__ = [
     "EncoderRejected",
     "EncoderUnavailable",
     "HashingFactory",
+    "TokenEncoder",
     "TokenizeFailed",
     "load_encoder",
 ]

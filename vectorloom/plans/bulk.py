@@ -21,11 +21,13 @@ def stand_in(registry: Sequence[ModelFacts] = REGISTRY, fault_rate: int = 0) ->
     return HashingFactory(tuple((m.key, m.native_dim) for m in registry), fault_rate)
 
 
-def model_text(text: Column, facts: ModelFacts, task: str) -> Column:
+def model_text(text: Column, facts: ModelFacts, task: str, truncate: bool = True) -> Column:
     """What the encoder of a model sees of a text: prompt in front, cut to the context."""
     prompted = apply_prompt(
         text, F.lit(task), F.lit(facts.query_prompt), F.lit(facts.document_prompt)
     )
+    if not truncate:
+        return prompted
     return fit_text(prompted, F.lit(facts.n_ctx - 1), F.lit(facts.start_tokens + facts.end_tokens))
 
 
@@ -39,6 +41,7 @@ def embed(
     keys: Iterable[str] | None = None,
     factory: EncoderFactory | None = None,
     registry: Sequence[ModelFacts] = REGISTRY,
+    truncate: bool = True,
     **options,
 ) -> DataFrame:
     """Embed one text per row with one model and task, all known when the job is planned.
@@ -46,6 +49,9 @@ def embed(
     Model facts become literals, so the plan is scan, project, Arrow stage: no join and no
     shuffle. Works on batch and streaming frames. ``keys`` (default: every other column)
     are carried through; the result adds ``embedding`` and ``outcome``.
+
+    Texts are cut to the model's context by words, the stand-in for tokens. Pass
+    ``truncate=False`` to an encoder that cuts by its own tokens, such as a ``TokenEncoder``.
     """
     facts = {m.key: m for m in registry}.get(model)
     if facts is None:
@@ -60,7 +66,7 @@ def embed(
         *keys,
         F.lit(model).alias("model"),
         F.lit(task).alias("task"),
-        model_text(F.col(text_col), facts, task).alias("text"),
+        model_text(F.col(text_col), facts, task, truncate).alias("text"),
         F.lit(dimensions).alias("dimensions"),
     )
     return encode_texts(prepared, factory or stand_in(registry), keys, **options)
@@ -74,6 +80,7 @@ def embed_requests(
     overrides: dict[str, str] | None = None,
     factory: EncoderFactory | None = None,
     registry: Sequence[ModelFacts] = REGISTRY,
+    truncate: bool = True,
     **options,
 ) -> DataFrame:
     """Array-form requests to one outcome row each, in one pass without a shuffle.
@@ -87,7 +94,7 @@ def embed_requests(
     attach(requests.sparkSession)
     body_error = F.col("body_error") if "body_error" in requests.columns else None
     valid = validate_requests(requests, active, registry, overrides, body_error)
-    prompted = F.transform("payloads", lambda p: _routed_text(p))
+    prompted = F.transform("payloads", lambda p: _routed_text(p, truncate))
     kept = [*keys, "model", "task", "build", "dimensions"]
     callable_ = F.col("error").isNull() & (F.size("payloads") > 0)
     prepared = valid.select(*kept, "error", F.when(callable_, prompted).alias("texts"))
@@ -111,6 +118,7 @@ def encode_request_texts(
     overrides: dict[str, str] | None = None,
     factory: EncoderFactory | None = None,
     registry: Sequence[ModelFacts] = REGISTRY,
+    truncate: bool = True,
     **options,
 ) -> DataFrame:
     """Long-form requests to one row per payload with its ``embedding`` or its ``error``.
@@ -129,7 +137,7 @@ def encode_request_texts(
     prepared = validate_requests(single, active, registry, overrides).select(
         *keys,
         rank.alias("error_rank"),
-        F.when(F.col("error").isNull(), _routed_text(F.col("payload"))).alias("text"),
+        F.when(F.col("error").isNull(), _routed_text(F.col("payload"), truncate)).alias("text"),
     )
     encoded = encode_texts(
         prepared, factory or stand_in(registry), [*keys, "error_rank"], **options
@@ -152,7 +160,9 @@ def embed_request_texts(rows: DataFrame, **options) -> tuple[DataFrame, DataFram
     return first_failures(materialize(encode_request_texts(rows, **options), "encoded"))
 
 
-def _routed_text(payload: Column) -> Column:
+def _routed_text(payload: Column, truncate: bool) -> Column:
     """What the encoder sees of a payload of a routed request."""
     prompted = apply_prompt(payload, F.col("task"), F.col("query_prompt"), F.col("document_prompt"))
+    if not truncate:
+        return prompted
     return fit_text(prompted, F.col("token_limit"), F.col("n_special"))
