@@ -1,7 +1,7 @@
 """The registered queries in SQL, for checking the Spark results with another engine.
 
 Written from the definitions, not from the Spark plans: truncation, hashing, widths and
-error rules are spelled out relationally here.
+error rules are spelled out relationally here. ``+ 0`` turns a rounded -0.0 into 0.0.
 """
 
 from __future__ import annotations
@@ -96,15 +96,15 @@ _FAULTY = f"""{_MODELS}, {_TURNS}, {_HOLED},
 ORACLE_SQL: dict[str, str] = {
     "embed_documents": f"""WITH src AS (SELECT doc_id, 768 AS native, 2045 AS room, 256 AS width,
       {_GEMMA_DOC} || text AS seen FROM documents), {_hashed("doc_id")}, {_digest("doc_id")}
-SELECT doc_id, coalesce(nnz, 0) AS nnz, coalesce(round(chk, 6), 0) AS chk
+SELECT doc_id, coalesce(nnz, 0) AS nnz, coalesce(round(chk, 6) + 0, 0) AS chk
 FROM documents LEFT JOIN digest USING (doc_id)""",
     "embed_pages": f"""WITH src AS (SELECT page_id, 4096 AS native, 8190 AS room, 1024 AS width,
       html AS seen FROM pages), {_hashed("page_id")}, {_digest("page_id")}
-SELECT page_id, coalesce(nnz, 0) AS nnz, coalesce(round(chk, 6), 0) AS chk
+SELECT page_id, coalesce(nnz, 0) AS nnz, coalesce(round(chk, 6) + 0, 0) AS chk
 FROM pages LEFT JOIN digest USING (page_id)""",
     "embed_queries": f"""WITH {_MODELS}, src AS (SELECT item_id, model, native, room, 768 AS width,
       qp || text AS seen FROM benchmark, models), {_hashed("item_id, model")}, {_digest("item_id, model")}
-SELECT item_id, model, coalesce(nnz, 0) AS nnz, coalesce(round(chk, 6), 0) AS chk
+SELECT item_id, model, coalesce(nnz, 0) AS nnz, coalesce(round(chk, 6) + 0, 0) AS chk
 FROM src LEFT JOIN digest USING (item_id, model)""",
     "embed_conversations": f"""WITH {_MODELS}, {_TURNS},
   good AS (SELECT t.*, native, room, build, {_PROMPTED} text AS seen
@@ -112,14 +112,14 @@ FROM src LEFT JOIN digest USING (item_id, model)""",
   src AS (SELECT conv_id, turn, native, room, least(coalesce(width, 768), native) AS width, model, build, seen FROM good),
   {_hashed("conv_id, turn")}, {_digest("conv_id, turn")}
 SELECT conv_id, turn, model, build, CAST(width AS BIGINT) AS dims, coalesce(nnz, 0) AS nnz,
-  coalesce(round(chk, 6), 0) AS chk
+  coalesce(round(chk, 6) + 0, 0) AS chk
 FROM src LEFT JOIN digest USING (conv_id, turn)""",
     "response_lists": f"""WITH {_MODELS}, {_DOC_LINES},
   src AS (SELECT doc_id, line, native, room, width, dp || payload AS seen FROM lines JOIN models USING (model)),
   {_hashed("doc_id, line")}, {_digest("doc_id, line")},
   totals AS (SELECT doc_id, sum(chk * (line % 5 + 1)) AS chk FROM digest GROUP BY doc_id)
 SELECT doc_id, CAST(200 AS BIGINT) AS status, CAST(len(lines) AS BIGINT) AS n_vectors, CAST(width AS BIGINT) AS dims,
-  coalesce(round(chk, 5), 0) AS chk
+  coalesce(round(chk, 5) + 0, 0) AS chk
 FROM requests LEFT JOIN totals USING (doc_id)""",
     "truncate_normalize": f"""WITH v AS (SELECT vec_id, embedding[1:16] AS v FROM embeddings),
   n AS (SELECT vec_id, v, {_norm("v")} AS n FROM v)
@@ -226,7 +226,7 @@ SELECT conv_id, CAST(status AS BIGINT) AS status, detail,
       unnest([0, 1]) AS position, unnest([text, left(text, length(text) // 2)]) AS payload FROM benchmark),
   src AS (SELECT item_id, position, native, room, 128 AS width, qp || payload AS seen FROM payloads JOIN models USING (model)),
   {_hashed("item_id, position")}, {_digest("item_id, position")}
-SELECT item_id, CAST(position AS BIGINT) AS position, coalesce(nnz, 0) AS nnz, coalesce(round(chk, 6), 0) AS chk
+SELECT item_id, CAST(position AS BIGINT) AS position, coalesce(nnz, 0) AS nnz, coalesce(round(chk, 6) + 0, 0) AS chk
 FROM src LEFT JOIN digest USING (item_id, position)""",
     "dead_letters": f"""WITH {_MODELS}, {_DOC_LINES},
   faults AS (SELECT doc_id, line, model, {_fault("dp || payload", 1)} AS fault FROM lines JOIN models USING (model)),
@@ -278,7 +278,7 @@ SELECT model, build, CAST(asked AS BIGINT) AS dimensions, count(*) AS n_vectors,
 FROM src LEFT JOIN counts USING (conv_id, turn) GROUP BY model, build, asked""",
     "stream_embed": f"""WITH src AS (SELECT conv_id, turn, 768 AS native, 2045 AS room, 256 AS width,
       {_GEMMA_DOC} || text AS seen FROM conversations), {_hashed("conv_id, turn")}, {_digest("conv_id, turn")}
-SELECT conv_id, turn, coalesce(nnz, 0) AS nnz, coalesce(round(chk, 6), 0) AS chk
+SELECT conv_id, turn, coalesce(nnz, 0) AS nnz, coalesce(round(chk, 6) + 0, 0) AS chk
 FROM conversations LEFT JOIN digest USING (conv_id, turn)""",
     "stream_dead_letters": f"""WITH {_MODELS}, {_TURNS},
   seen AS (SELECT conv_id, turn, t.model, width, {_fault(_PROMPTED + "text", 4)} AS fault
