@@ -78,3 +78,6 @@ class CharacterEncoder(TokenEncoder):
 class CharacterFactory:
     def __call__(self, model):
         return CharacterEncoder()
+
+
+numbers = NumbersFactory()

@@ -69,6 +69,18 @@ def test_stream_gives_what_the_bulk_job_gives(spark, tmp_path):
     assert key(spark.read.parquet(out)) == key(encode_request_texts(frame.union(more)))
 
 
+def test_stream_limited_by_bytes(spark, tmp_path):
+    frame = spark.createDataFrame([(i, "gemma", "query", 4, 0, "x" * 200) for i in range(40)], REQUEST_TEXT)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    frame.repartition(4).write.parquet(source)
+    query = embed_stream(
+        read_request_stream(spark, source, REQUEST_TEXT, bytes_per_trigger="2k"), out, str(tmp_path / "cp")
+    )
+    query.awaitTermination()
+    assert sum(p["numInputRows"] > 0 for p in query.recentProgress) > 1
+    assert spark.read.parquet(out).select("request_id").distinct().count() == 40
+
+
 def test_stream_of_json_lines_with_dead_letters(spark, tmp_path):
     source, out = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
@@ -97,3 +109,18 @@ def test_stream_of_json_lines_with_dead_letters(spark, tmp_path):
 
 def test_scratch_is_below_the_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(shared_dir(spark).rstrip("/") + "/x-")
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Context:
+        master = "spark://somewhere"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 
 from vectorloom.encoders.base import EncoderRejected, EncoderUnavailable
 
-_MEMO_SIZE = 1 << 18
+_MEMO_SIZE = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -61,14 +62,15 @@ class HashingEncoder:
         if self.fault_rate:
             for text in texts:
                 self._maybe_fail(text)
+        # Bytes split at ASCII white space only, as functions.tokens.tokenize does.
+        words = [text.encode().split() for text in texts]
+        lengths = [len(w) for w in words]
+        slots = np.fromiter(
+            map(self._slots.__getitem__, chain.from_iterable(words)), np.int64, sum(lengths)
+        )
         vectors = np.zeros((len(texts), self.width), np.float32)
-        for row, text in enumerate(texts):
-            # Bytes split at ASCII white space only, as functions.tokens.tokenize does.
-            words = text.encode().split()
-            if words:
-                slots = np.fromiter(map(self._slots.__getitem__, words), np.int64, len(words))
-                votes = np.bincount(slots, minlength=2 * self.width)
-                vectors[row] = votes[1::2] - votes[0::2]
+        places = np.repeat(np.arange(len(texts)) * self.width, lengths) + (slots >> 1)
+        np.add.at(vectors.reshape(-1), places, ((slots & 1) * 2 - 1).astype(np.float32))
         return vectors
 
     def _maybe_fail(self, text: str) -> None:
