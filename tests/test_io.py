@@ -74,7 +74,7 @@ def test_stream_limited_by_bytes(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     frame.repartition(4).write.parquet(source)
     query = embed_stream(
-        read_request_stream(spark, source, REQUEST_TEXT, bytes_per_trigger="2k"), out, str(tmp_path / "cp")
+        read_request_stream(spark, source, REQUEST_TEXT, bytes_per_trigger=2000), out, str(tmp_path / "cp")
     )
     query.awaitTermination()
     assert sum(p["numInputRows"] > 0 for p in query.recentProgress) > 1

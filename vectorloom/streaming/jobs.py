@@ -22,12 +22,12 @@ def read_request_stream(
     schema: T.StructType = REQUEST,
     *,
     files_per_trigger: int | None = None,
-    bytes_per_trigger: str | None = None,
+    bytes_per_trigger: int | None = None,
     glob: str | None = None,
     format: str = "parquet",
 ) -> DataFrame:
     """A folder of request files as a stream; how much one batch takes in can be limited by
-    files or by bytes (``"512m"``), but not by both."""
+    files or by bytes, but not by both."""
     reader = spark.readStream.format(format).schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
