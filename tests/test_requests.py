@@ -78,8 +78,10 @@ def test_known_but_inactive_model_is_404(spark):
 
 
 def test_default_width_is_set(spark):
-    frame = _requests(spark, [("qwen", "query", ["x"], None), ("qwen", "query", ["x"], 7)])
-    assert [r.dimensions for r in validate_requests(frame).orderBy("request_id").collect()] == [768, 7]
+    asked = [("qwen", None), ("qwen", 7), ("qwen", 5000), ("gemma", 5000), ("gemma", 10**12)]
+    frame = _requests(spark, [(m, "query", ["x"], d) for m, d in asked])
+    got = [r.dimensions for r in validate_requests(frame).orderBy("request_id").collect()]
+    assert got == [768, 7, 4096, 768, 768]
 
 
 def _long(spark, rows):
@@ -175,3 +177,17 @@ def test_encoder_with_its_own_tokenizer(spark):
         _requests(spark, rows), factory=CharacterFactory(), truncate=False, normalize=False).collect()}
     assert [v[0] for v in out[0].embeddings] == [6.0, 10.0]
     assert (out[1].status, out[1].detail) == (500, "qwen: tokenize failed: bad byte")
+
+
+def test_other_columns_pass_through(spark):
+    rows = spark.range(5).selectExpr(
+        "id", "cast(id as string) as text", "timestamp'2024-01-02 03:04:05' + make_interval(0,0,0,cast(id as int)) as ts",
+        "date'2024-01-02' as d", "timestamp_ntz'2024-01-02 03:04:05' as n", "cast(id as decimal(20,3)) as c",
+        "map('k', id) as m", "array(id, null) as a", "named_struct('x', id, 'y', array('z')) as s",
+        "cast(cast(id as string) as binary) as b", "if(id = 1, null, id > 2) as t", "cast(null as double) as f",
+    )
+    out = embed(rows, "text", "gemma", "query", 3)
+    kept = [c for c in rows.columns if c != "text"]
+    assert out.columns == [*kept, "embedding", "outcome"]
+    key = lambda df: sorted(map(str, df.select(*kept).collect()))
+    assert key(out) == key(rows)

@@ -61,7 +61,8 @@ def validate_requests(
     overrides: dict[str, str] | None = None,
     body_error: Column | None = None,
 ) -> DataFrame:
-    """Routed array-form requests with ``error`` (null if fine) and the width to use.
+    """Routed array-form requests with ``error`` (null if fine) and the width they get:
+    what was asked for or the default, at most the model's own.
 
     ``body_error`` is an error found while parsing, reported before the checks made here.
     """
@@ -75,7 +76,9 @@ def validate_requests(
     return (
         route(requests, active, registry, overrides)
         .withColumn("error", error)
-        .withColumn("dimensions", effective_dimensions(F.col("dimensions")))
+        .withColumn(
+            "dimensions", F.least(effective_dimensions(F.col("dimensions")), F.col("native_dim"))
+        )
     )
 
 

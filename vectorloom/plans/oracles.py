@@ -268,14 +268,13 @@ SELECT CAST(label AS BIGINT) AS index_id, count(DISTINCT model || '/' || build)
   CAST(CASE WHEN EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 0) THEN 2 ELSE 1 END AS BIGINT) AS n_stored,
   CAST(1 AS BIGINT) AS n_current FROM documents d""",
     "vector_table": f"""WITH {_MODELS}, {_TURNS},
-  src AS (SELECT conv_id, turn, model, build, native, room, coalesce(width, 768) AS asked,
-      least(coalesce(width, 768), native) AS width, {_PROMPTED} text AS seen
+  src AS (SELECT conv_id, turn, model, build, native, room, least(coalesce(width, 768), native) AS width, {_PROMPTED} text AS seen
       FROM turns JOIN models USING (model) WHERE width IS NULL OR width >= 1),
   {_hashed("conv_id, turn")},
   counts AS (SELECT conv_id, turn, count(*) AS nnz FROM cut GROUP BY ALL)
-SELECT model, build, CAST(asked AS BIGINT) AS dimensions, count(*) AS n_vectors, CAST(min(width) AS BIGINT) AS width,
+SELECT model, build, CAST(width AS BIGINT) AS dimensions, count(*) AS n_vectors, CAST(width AS BIGINT) AS width,
   CAST(sum(coalesce(nnz, 0)) AS BIGINT) AS nnz
-FROM src LEFT JOIN counts USING (conv_id, turn) GROUP BY model, build, asked""",
+FROM src LEFT JOIN counts USING (conv_id, turn) GROUP BY model, build, width""",
     "stream_embed": f"""WITH src AS (SELECT conv_id, turn, 768 AS native, 2045 AS room, 256 AS width,
       {_GEMMA_DOC} || text AS seen FROM conversations), {_hashed("conv_id, turn")}, {_digest("conv_id, turn")}
 SELECT conv_id, turn, coalesce(nnz, 0) AS nnz, coalesce(round(chk, 6) + 0, 0) AS chk

@@ -40,8 +40,11 @@ def refresh(
     width) is a folder of its own. Returns ``id, status, detail`` of the texts that failed;
     they stay stale and are tried again by the next run.
     """
-    default_build = {m.key: m.default_build for m in registry}.get(model)
-    build = build or default_build
+    facts = {m.key: m for m in registry}.get(model)
+    if facts is None:
+        raise ValueError(f"unknown model {model!r}")
+    build = build or facts.default_build
+    dimensions = min(dimensions, facts.native_dim)
     spark = texts.sparkSession
     try:
         stored = spark.read.schema(_STORED).parquet(path)
