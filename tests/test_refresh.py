@@ -14,12 +14,13 @@ def test_refresh_embeds_only_what_changed(spark, tmp_path):
         failed = refresh(texts, path, "gemma", "query", 2, factory=NumbersFactory(), normalize=False, **options)
         return texts, sorted(tuple(r) for r in failed.collect())
 
-    texts, failed = run([(i, str(i)) for i in range(5)] + [(9, "gone")])
-    assert failed == [(9, 503, "gemma model server unavailable: no route")]
+    texts, failed = run([(i, str(i)) for i in range(5)] + [(9, "gone"), (10, None)])
+    no_text = (10, 422, "payloads: every item should be a valid string")
+    assert failed == [(9, 503, "gemma model server unavailable: no route"), no_text]
     assert spark.read.parquet(path).count() == 5
     # One text edited, one new, the failed one repaired; the rest is left alone.
-    texts, failed = run([(0, "100")] + [(i, str(i)) for i in range(1, 6)] + [(9, "9")])
-    assert failed == [] and spark.read.parquet(path).count() == 8
+    texts, failed = run([(0, "100")] + [(i, str(i)) for i in range(1, 6)] + [(9, "9"), (10, None)])
+    assert failed == [no_text] and spark.read.parquet(path).count() == 8
     now = current_vectors(texts, spark.read.parquet(path), **SPACE)
     assert {r.id: r.embedding[0] for r in now.collect()} == {0: 100.0, 1: 1.0, 2: 2.0, 3: 3.0, 4: 4.0, 5: 5.0, 9: 9.0}
     run([(i, str(i)) for i in range(1, 6)])

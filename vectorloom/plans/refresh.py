@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vectorloom.encoders import EncoderFactory
 from vectorloom.functions.failures import classify_failure
+from vectorloom.functions.validation import check_payloads
 from vectorloom.operators.provenance import stale_keys, stale_texts, text_hash
 from vectorloom.plans.bulk import embed
 from vectorloom.registry import DEFAULT_DIMENSIONS, REGISTRY, ModelFacts
@@ -38,7 +39,7 @@ def refresh(
     A vector is current if text, model, build and width are unchanged, so after a change of
     model or build everything is embedded again and nothing is mixed: each (model, build,
     width) is a folder of its own. Returns ``id, status, detail`` of the texts that failed;
-    they stay stale and are tried again by the next run.
+    they stay stale and are tried again by the next run. A null text is a 422.
     """
     facts = {m.key: m for m in registry}.get(model)
     if facts is None:
@@ -46,35 +47,50 @@ def refresh(
     build = build or facts.default_build
     dimensions = min(dimensions, facts.native_dim)
     spark = texts.sparkSession
-    try:
-        stored = spark.read.schema(_STORED).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        stored = spark.createDataFrame([], _STORED)
     space = {"model": model, "build": build, "dimensions": dimensions}
-    stale = materialize(stale_keys(texts, stored, **space), "stale")
-    todo = stale_texts(texts.select("id", "text"), stale)
-    cores = spark.sparkContext.defaultParallelism
-    if stale.count() <= cores * FEW_TEXTS:
-        # Few texts, perhaps all from a few input splits: deal them out evenly. More texts
-        # keep every core busy as they are, and are not shuffled.
-        todo = todo.repartition(cores)
+    todo = texts.select("id", "text").where(F.col("text").isNotNull())
+    stored = _stored_space(spark, path, space)
+    if stored is None:
+        # The first build of a space embeds everything: nothing to compare or shuffle.
+        todo = todo.withColumn("text_hash", text_hash(F.col("text")))
+    else:
+        stale = materialize(stale_keys(todo, stored, **space), "stale")
+        todo = stale_texts(todo, stale)
+        cores = spark.sparkContext.defaultParallelism
+        if stale.count() <= cores * FEW_TEXTS:
+            # Few texts, perhaps all from a few input splits: deal them out evenly. More
+            # texts keep every core busy as they are, and are not shuffled.
+            todo = todo.repartition(cores)
     encoded = materialize(
         embed(todo, "text", model, task, dimensions, keys=["id", "text_hash"],
               factory=factory, registry=registry, **options),
         "refreshed",
     )
     good = encoded.where(F.col("outcome.kind") == "ok").select("id", "text_hash", "embedding")
-    write_vectors(good.withColumns({k: F.lit(v) for k, v in space.items()}), path)
-    error = classify_failure(F.col("outcome"), F.lit(model))
+    write_vectors(good.withColumns({c: F.lit(v) for c, v in space.items()}), path)
+    failed = encoded.select("id", classify_failure(F.col("outcome"), F.lit(model)).alias("error"))
+    missing = check_payloads(F.array("text"))
+    empty = texts.where(F.col("text").isNull()).select("id", missing.alias("error"))
     return (
-        encoded.select("id", error.alias("error"))
-        .where(F.col("error").isNotNull())
+        failed.where(F.col("error").isNotNull())
+        .unionByName(empty)
         .select("id", "error.status", "error.detail")
     )
 
 
+def _stored_space(spark: SparkSession, path: str, space: dict[str, object]) -> DataFrame | None:
+    """The vectors of a space, or None if there are none yet."""
+    try:
+        stored = spark.read.schema(_STORED).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    for column, value in space.items():
+        stored = stored.where(F.col(column) == value)
+    return None if stored.isEmpty() else stored
+
+
 def current_vectors(
     texts: DataFrame, vectors: DataFrame, *, model: str, build: str, dimensions: int
 ) -> DataFrame:
