@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vectorloom.llm.bpe import op3_bpe
 from vectorloom.llm.simhash import op6_simhash
 from vectorloom.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bpe": op3_bpe,
     "op6_simhash": op6_simhash,
     "op8_toxicity": op8_toxicity,
 }
