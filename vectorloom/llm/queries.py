@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vectorloom.llm.bpe import op3_bpe
+from vectorloom.llm.lines import OP5_SQL, op5_lines
 from vectorloom.llm.simhash import op6_simhash
 from vectorloom.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
+    "op5_lines": op5_lines,
     "op6_simhash": op6_simhash,
     "op8_toxicity": op8_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_lines": OP5_SQL,
+}
