@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vectorloom.llm.bpe import op3_bpe
+from vectorloom.llm.decontaminate import OP2_SQL, op2_decontaminate
 from vectorloom.llm.lines import OP5_SQL, op5_lines
 from vectorloom.llm.simhash import op6_simhash
 from vectorloom.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
     "op3_bpe": op3_bpe,
     "op5_lines": op5_lines,
     "op6_simhash": op6_simhash,
@@ -19,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": OP2_SQL,
     "op5_lines": OP5_SQL,
 }
