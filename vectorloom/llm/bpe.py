@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections import OrderedDict
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ WINDOW = 32  # bytes that the rolling hash sees
 CUT_BITS = 10  # a chunk has about 2**10 bytes
 LEAST, MOST = 256, 16_384  # bytes of a chunk
 SHARED = 8192  # shared chunks in the dictionary that goes to every task
-CACHE_BYTES = 32 << 20  # text of other chunks that a task remembers
+CACHE_BYTES = 16 << 20  # text of other chunks that a task remembers
 _SLICE = 1 << 20
 # The pattern that the byte-level pre-tokenizer of this vocabulary splits by (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -54,9 +55,7 @@ class Codec:
     """
 
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
+        self.path = path
         with open(path, encoding="utf-8") as file:
             stored = json.load(file)
         self.special = {t["content"]: t["id"] for t in stored["added_tokens"] if t["special"]}
@@ -77,6 +76,14 @@ class Codec:
         }
         self.merged = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if in_order and plain else None
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The library's own tokenizer, loaded for the first text that needs it."""
+        loaded = Tokenizer.from_file(self.path)
+        loaded.no_padding()
+        loaded.no_truncation()
+        return loaded
+
     def segment(self, text: str) -> list[int]:
         """Ids of a text without special tokens."""
         if self.merged is None or _OTHER.search(text):
@@ -152,7 +159,7 @@ def _anchors(text: str) -> tuple[int, int] | None:
     return first, last
 
 
-Piece = tuple[str, list[int], str]
+Piece = tuple[str, array, str]
 
 
 class ChunkEncoder:
@@ -171,9 +178,9 @@ class ChunkEncoder:
         text = chunk.decode()
         places = _anchors(text)
         if places is None:
-            return "", [], text
+            return "", array("i"), text
         first, last = places
-        return text[:first], self.codec.segment(text[first:last]), text[last:]
+        return text[:first], array("i", self.codec.segment(text[first:last])), text[last:]
 
     def _lookup(self, chunk: bytes) -> Piece:
         found = self.shared.get(chunk)
@@ -195,7 +202,7 @@ class ChunkEncoder:
         join = ""  # text around a chunk join, from the last anchor on: grows until both sides agree
         for chunk in chunks(data):
             head, inner, tail = self._lookup(chunk)
-            if head or inner:
+            if inner or head:
                 ids += self.codec.segment(join + head)
                 ids += inner
                 join = tail
@@ -266,7 +273,7 @@ def _encode_shared(path: str):
         encoder = ChunkEncoder(codec(path))
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            ids = [np.array(encoder.piece(t)[1], "<i4").tobytes() for t in texts]
+            ids = [encoder.piece(t)[1].tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(ids, pa.binary())], names=["text", "ids"])
 
     return run
@@ -296,7 +303,7 @@ def shared_chunks(docs: DataFrame, text_col: str = "text", path: str | None = No
         text = chunk.decode()
         places = _anchors(text)
         if places:
-            dictionary[chunk] = (text[: places[0]], np.frombuffer(row.ids, "<i4").tolist(), text[places[1] :])
+            dictionary[chunk] = (text[: places[0]], array("i", bytes(row.ids)), text[places[1] :])
     return dictionary
 
 
