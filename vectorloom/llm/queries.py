@@ -12,6 +12,7 @@ from vectorloom.llm.lines import OP5_SQL, op5_lines
 from vectorloom.llm.secrets import op7_secrets
 from vectorloom.llm.simhash import op6_simhash
 from vectorloom.llm.toxicity import op8_toxicity
+from vectorloom.llm.warc import OP10_SQL, op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
@@ -20,9 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_secrets": op7_secrets,
     "op8_toxicity": op8_toxicity,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
     "op5_lines": OP5_SQL,
+    "op10_warc": OP10_SQL,
 }
