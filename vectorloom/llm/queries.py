@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vectorloom.llm.bpe import op3_bpe
 from vectorloom.llm.decontaminate import OP2_SQL, op2_decontaminate
 from vectorloom.llm.lines import OP5_SQL, op5_lines
+from vectorloom.llm.pages import op4_html
 from vectorloom.llm.secrets import op7_secrets
 from vectorloom.llm.simhash import op6_simhash
 from vectorloom.llm.toxicity import op8_toxicity
@@ -17,6 +18,7 @@ from vectorloom.llm.warc import OP10_SQL, op10_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_bpe": op3_bpe,
+    "op4_html": op4_html,
     "op5_lines": op5_lines,
     "op6_simhash": op6_simhash,
     "op7_secrets": op7_secrets,
