@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vectorloom.llm.bpe import op3_bpe
 from vectorloom.llm.decontaminate import OP2_SQL, op2_decontaminate
 from vectorloom.llm.lines import OP5_SQL, op5_lines
+from vectorloom.llm.neighbours import op9_neighbours
 from vectorloom.llm.pages import op4_html
 from vectorloom.llm.secrets import op7_secrets
 from vectorloom.llm.simhash import op6_simhash
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_secrets": op7_secrets,
     "op8_toxicity": op8_toxicity,
+    "op9_neighbours": op9_neighbours,
     "op10_warc": op10_warc,
 }
 
