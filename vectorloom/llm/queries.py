@@ -11,12 +11,14 @@ from vectorloom.llm.decontaminate import OP2_SQL, op2_decontaminate
 from vectorloom.llm.lines import OP5_SQL, op5_lines
 from vectorloom.llm.neighbours import op9_neighbours
 from vectorloom.llm.pages import op4_html
+from vectorloom.llm.pii import op1_pii
 from vectorloom.llm.secrets import op7_secrets
 from vectorloom.llm.simhash import op6_simhash
 from vectorloom.llm.toxicity import op8_toxicity
 from vectorloom.llm.warc import OP10_SQL, op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
     "op3_bpe": op3_bpe,
     "op4_html": op4_html,
