@@ -47,6 +47,7 @@ DROPPED_NAMES = frozenset(
     " sharing social related recommended recommendations widget toolbar pagination pager login copyright topbar outbrain taboola"
     " paywall disclaimer skip".split()
 )
+WORD = re.compile(r"[A-Za-z]+")
 NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 PUNCTUATION = re.compile(r"[,.;:!?…、。，！？；：]")
@@ -78,7 +79,8 @@ def _named_as_boilerplate(attrs: str) -> tuple[str, bool, bool]:
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name in ("class", "id"):
             classes = value if name == "class" else classes
-            named = named or any(w.lower() in DROPPED_NAMES for w in NAME.findall(value))
+            words = [w.lower() for w in WORD.findall(value) + NAME.findall(value)]
+            named = named or not DROPPED_NAMES.isdisjoint(words)
         elif name == "role":
             named = named or value.lower() in DROPPED_ROLES
         elif name == "style":
@@ -224,10 +226,33 @@ def path_scores(blocks: list[Block]) -> dict[str, float]:
     return {path: n * (p + 0.1) for path, n, p in zip(sums, length, marks)}
 
 
+def _marked_content(blocks: list[Block]) -> Element | None:
+    """The article or main element that holds most text outside of links, if there is one:
+    an article, unless it holds less than half of the main element around it."""
+    held: dict[int, tuple[Element, int]] = {}
+    for b in blocks:
+        e: Element | None = b.owner
+        while e is not None:
+            if e.tag in ("article", "main"):
+                held[id(e)] = (e, held.get(id(e), (e, 0))[1] + max(len(b.text) - b.linked, 0))
+            e = e.parent
+    best = None
+    for tag in ("main", "article"):
+        own = [h for h in held.values() if h[0].tag == tag and h[1]]
+        if own:
+            largest = max(own, key=lambda h: h[1])
+            if best is None or not _below(largest[0], best[0]) or 2 * largest[1] >= best[1]:
+                best = largest
+    return best[0] if best else None
+
+
 def main_blocks(blocks: list[Block]) -> list[Block]:
     """The content nodes among the blocks of a page."""
     if not blocks:
         return []
+    marked_up = _marked_content(blocks)
+    if marked_up is not None:
+        blocks = [b for b in blocks if _below(b.owner, marked_up)]
     scores = path_scores(blocks)
     values = [scores[b.owner.path] for b in blocks]
     limit = min(_deviation(values) * 0.5, max(values)) if len(values) > 1 else 0.0
@@ -244,13 +269,8 @@ def main_blocks(blocks: list[Block]) -> list[Block]:
     top = max(chosen, key=lambda b: b.owner.chars).owner
     while top.parent is not None and top.chars < 0.8 * total:
         top = top.parent
-    semantic, e = None, top
-    while e is not None:
-        semantic = e if e.tag in ("article", "main") else semantic
-        if e.tag == "article":
-            break
-        e = e.parent
-    top = semantic or top
+    semantic = marked_up is not None
+    top = marked_up or top
     if top.tag in ("p", "li", *HEADINGS) and top.parent is not None:
         top = top.parent
     inside = [b for b in blocks if _below(b.owner, top)]
@@ -261,7 +281,7 @@ def main_blocks(blocks: list[Block]) -> list[Block]:
         dense = b.linked * 2 >= len(b.text)
         between = order[0] <= k <= order[-1]
         heading = b.owner.tag in HEADINGS
-        if id(b) in marked or heading or (not dense and (semantic is not None or between)):
+        if id(b) in marked or heading or (not dense and (semantic or between)):
             result.append(b)
     return result
 
