@@ -68,7 +68,7 @@ class CharacterEncoder(TokenEncoder):
     def tokenize(self, texts):
         if any("\x00" in t for t in texts):
             raise ValueError("bad byte")
-        return [[1, *map(ord, t), 2] for t in texts]
+        return [list(map(ord, t)) for t in texts]
 
     def encode_tokens(self, sequences):
         return np.array([[len(s), s[0], s[-2], s[-1]] for s in sequences], np.float32)

@@ -1,4 +1,8 @@
+import tracemalloc
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from fakes import FixedFactory, Numbers, NumbersFactory, ShortFactory
 from pyspark.sql import functions as F
@@ -6,9 +10,10 @@ from pyspark.sql import functions as F
 from vectorloom.encoders import EncoderRejected, HashingFactory
 from vectorloom.functions import classify_failure
 from vectorloom.operators import embedding
+from vectorloom.plans.faults import FaultyFactory
 from vectorloom.operators.embedding import _calls, _encode_in_chunks, _isolate, encode_requests
 
-TWENTY = [str(i) for i in range(1, 21)]
+SOME = [str(i) for i in range(3, 30)]
 SCHEMA = "id int, model string, task string, texts array<string>, dimensions int"
 
 
@@ -21,18 +26,18 @@ def _run(spark, rows, factory=NumbersFactory(), **options):
 
 def test_chunks_keep_order_and_size():
     encoder = Numbers()
-    vectors = _encode_in_chunks(encoder, TWENTY, 8)
-    assert encoder.sizes == [8, 8, 4]
-    assert vectors[:, 0].tolist() == [float(t) for t in TWENTY]
+    vectors = _encode_in_chunks(encoder, SOME, 8, 9)
+    assert encoder.sizes == [8, 8, 8, 3]
+    assert vectors.tolist() == [[float(t), 1.0] for t in SOME]
     whole = Numbers()
-    _encode_in_chunks(whole, TWENTY, None)
-    assert whole.sizes == [20]
+    assert _encode_in_chunks(whole, SOME, 256, 1).tolist() == [[float(t)] for t in SOME]
+    assert whole.sizes == [27] and _encode_in_chunks(whole, [], 8, 9).shape == (0, 0)
 
 
 def test_first_failing_chunk_decides_the_error():
-    texts = [*TWENTY[:10], "loading", "gone", *TWENTY[10:]]
+    texts = [*SOME[:10], "loading", "gone", *SOME[10:]]
     with pytest.raises(EncoderRejected) as caught:
-        _encode_in_chunks(Numbers(), texts, 8)
+        _encode_in_chunks(Numbers(), texts, 8, 9)
     assert caught.value.code == 503
 
 
@@ -40,7 +45,7 @@ def test_isolation_spares_neighbours():
     requests = [[str(i)] for i in range(300)]
     requests[17], requests[170] = ["1", "refused", "2"], ["gone"]
     encoder = Numbers()
-    results = _isolate(encoder, requests, None)
+    results = _isolate(encoder, requests, 256, 2)
     bad = [i for i, r in enumerate(results) if isinstance(r, Exception)]
     assert bad == [17, 170]
     assert all(results[i].tolist() == [[float(i), 1.0]] for i in range(300) if i not in bad)
@@ -55,13 +60,15 @@ def test_calls_are_lane_pure_whole_and_in_order():
     for call in calls:
         assert len({lanes[r] for r in call}) == 1 and call == sorted(call)
         assert sum(sizes[r] for r in call[:-1]) < 32
+    large = list(_calls([("m", "query")] * 3, [1, 300, 1], 256))
+    assert large == [[1], [0, 2]]
     lone = list(_calls([("m", "query")] * 3, [300, 1, None], 256))
     assert lone == [[0], [1], [2]]
 
 
 def test_requests_and_failures(spark):
     rows = [
-        (1, "gemma", "document", TWENTY, 2),
+        (1, "gemma", "document", SOME, 2),
         (2, "gemma", "query", ["3", "loading", "gone"], 2),
         (3, "gemma", "query", ["gone"], 2),
         (4, "qwen", "document", ["refused"], 2),
@@ -72,8 +79,9 @@ def test_requests_and_failures(spark):
         (9, "qwen", "query", ["5"], 1),
     ]
     got = _run(spark, rows)
-    assert [v[0] for v in got[1].embeddings] == [float(t) for t in TWENTY] and got[1].error is None
-    errors = {i: tuple(got[i].error) for i in (2, 3, 4, 5, 6)}
+    assert [v[0] for v in got[1].embeddings] == [float(t) for t in SOME] and got[1].error is None
+    errors = {i: tuple(got[i].error)[:2] for i in (2, 3, 4, 5, 6)}
+    assert [got[i].error.kind for i in (2, 3, 4, 5, 6)] == ["rejected", "unavailable", "rejected", "tokenize", "exception"]
     assert errors == {
         2: (503, "gemma: loading"),
         3: (503, "gemma model server unavailable: no route"),
@@ -100,12 +108,43 @@ def test_a_lost_vector_fails_the_request(spark):
     assert got[1].error.status == 500 and "1 vectors for 2 texts" in got[1].error.detail
 
 
-def test_a_request_too_large_for_a_row_is_an_error(monkeypatch):
+def test_a_request_too_large_for_a_row_is_refused_before_it_is_encoded(monkeypatch):
+    encoder = Numbers()
     monkeypatch.setattr(embedding, "ROW_BYTES", 100)
-    block = np.ones((10, 4), np.float32)
-    assert isinstance(embedding._storable(block, 3, np.float32), ValueError)
-    assert embedding._storable(block, 2, np.float32) is block
-    assert isinstance(embedding._storable(block, 2, np.float64), ValueError)
+    monkeypatch.setattr(embedding, "load_encoder", lambda factory, model: encoder)
+    texts = pa.chunked_array([pa.array([[str(i) for i in range(20)]])])
+    (result,) = embedding._call(None, "m", texts, [2], 8, np.float32, {})
+    assert isinstance(result, ValueError) and encoder.sizes == []
+    (result,) = embedding._call(None, "m", texts, [1], 8, np.float32, {})
+    assert result.shape == (20, 1)
+
+
+@dataclass(frozen=True)
+class WideFactory:
+    def __call__(self, model):
+        return self
+
+    def encode(self, texts):
+        return np.ones((len(texts), 4096), np.float32)
+
+
+def test_a_large_request_is_held_at_its_own_width():
+    tracemalloc.start()
+    texts = pa.chunked_array([pa.array([["x"] * 100_000])])
+    (result,) = embedding._call(WideFactory(), "qwen", texts, [8], 256, np.float32, {})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert result.shape == (100_000, 8) and peak < 60e6
+
+
+def test_a_model_that_does_not_load_fails_its_own_requests(spark):
+    factory = FaultyFactory(NumbersFactory(), missing=("qwen",))
+    rows = [(i, ("gemma", "qwen")[i % 2], ("query", "document")[i % 3 % 2], [str(i)], 2) for i in range(12)]
+    got = _run(spark, rows, factory)
+    assert {i: r.error and tuple(r.error) for i, r in got.items()} == {
+        i: (503, "qwen model server unavailable: weights missing", "unavailable") if i % 2 else None for i in range(12)
+    }
+    assert all(got[i].embeddings == [[float(i), 1.0]] for i in range(0, 12, 2))
 
 
 def test_hashing_encoder_values():

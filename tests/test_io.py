@@ -36,7 +36,7 @@ def test_vector_table_layout_prunes(spark, tmp_path, rebalance):
     path = str(tmp_path / "vectors")
     rows = [(i, ("gemma", "qwen")[i % 2], "query", (8, 16)[i % 4 // 2], 0, "1") for i in range(40)]
     encoded = encode_request_texts(spark.createDataFrame(rows, REQUEST_TEXT))
-    write_vectors(encoded.select("request_id", "embedding", "model", "build", "dimensions"), path, rebalance=rebalance)
+    write_vectors(encoded.select("request_id", "embedding", "model", "build", "task", "dimensions"), path, rebalance=rebalance)
     assert sorted(d for d in os.listdir(path) if "=" in d) == ["model=gemma", "model=qwen"]
     one = spark.read.parquet(path).where("model = 'qwen' and dimensions = 16")
     assert one.count() == 10 and one.select(F.max(F.size("embedding"))).first()[0] == 16
@@ -103,8 +103,20 @@ def test_stream_of_json_lines_with_dead_letters(spark, tmp_path):
         assert outcomes.count() == 18
 
     run("cp")
-    # Replaying every batch, as after losing the checkpoint, changes nothing.
-    run("other")
+    # A line that cannot be read leads back to itself.
+    assert '"payloads": [5]' in spark.read.parquet(f"{out}/dead_letters").where("request_id = 5").first().request_line
+    # Another stream does not touch these batches, and has to say that it adds to them.
+    with pytest.raises(ValueError, match="other streams"):
+        run("other")
+    before = spark.read.parquet(f"{out}/outcomes").count()
+    other = tmp_path / "more"
+    other.mkdir()
+    (other / "0.json").write_text(json.dumps({"request_id": 77, "model": "gemma", "task": "query", "payloads": ["7"]}))
+    embed_stream_with_dead_letters(
+        parse_requests(spark.readStream.text(str(other))), out, str(tmp_path / "second"), factory=NumbersFactory(), join_output=True
+    ).awaitTermination()
+    outcomes = spark.read.parquet(f"{out}/outcomes")
+    assert outcomes.count() == before + 1 and outcomes.where("request_id = 77").count() == 1
 
 
 def test_scratch_is_below_the_shared_folder(spark):

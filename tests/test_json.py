@@ -54,13 +54,13 @@ def test_broken_lines_do_not_stop_the_job(spark):
         [(0, "nojson{"), (1, good), (2, "[1]"), (3, ""), (4, "3"), (5, '"x"'), (6, "{}")], "line int, value string"
     )
     out = embed_requests(parse_requests(lines), keys=("line",))
-    assert {r.line: r.status for r in out.collect()} == {0: 404, 1: 200, 2: 404, 3: 404, 4: 404, 5: 404, 6: 404}
+    assert {r.line: r.status for r in out.collect()} == {0: 422, 1: 200, 2: 422, 3: 422, 4: 422, 5: 422, 6: 404}
 
 
 def test_model_from_the_job_for_lines_without_one(spark):
     """Files of one lane leave model and task to the job; then a broken body is a 422."""
     lines = spark.createDataFrame([(0, "nojson{"), (1, '{"payloads": ["a"]}'), (2, "[1]")], "line int, value string")
-    parsed = parse_requests(lines, model="gemma", task="document")
+    parsed = parse_requests(lines, model="gemma", task="document", require_id=False)
     assert {r.line: r.status for r in embed_requests(parsed, keys=("line",)).collect()} == {0: 422, 1: 200, 2: 422}
 
 
@@ -80,3 +80,12 @@ def test_parquet_requests(spark, tmp_path):
     path = str(tmp_path / "requests")
     spark.createDataFrame([(1, "gemma", "query", ["a"], None)], "request_id long, model string, task string, payloads array<string>, dimensions long").write.parquet(path)
     assert [r.status for r in embed_requests(read_requests(spark, path)).collect()] == [200]
+
+
+def test_an_id_has_to_be_a_whole_number(spark):
+    bodies = ['{"request_id": %s"model": "gemma", "task": "query", "payloads": ["a"]}' % i for i in ('7, ', '"r-8", ', '1.5, ', 'null, ', '"9", ')]
+    lines = spark.createDataFrame([(k, b) for k, b in enumerate(bodies)], "k int, value string")
+    out = {r.k: r for r in embed_requests(parse_requests(lines), keys=("k", "request_id")).collect()}
+    assert [(out[k].request_id, out[k].status) for k in range(5)] == [(7, 200), (None, 422), (None, 422), (None, 422), (9, 200)]
+    assert out[1].detail == "request_id: input should be a valid integer" and out[1].request_line == bodies[1]
+    assert out[0].request_line is None

@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from vectorloom.operators.quality import (
     all_vectors_pass,
     count_checks,
@@ -7,7 +5,7 @@ from vectorloom.operators.quality import (
     status_rollup,
     vector_checks,
 )
-from vectorloom.operators.provenance import space_guard, stale_keys, stale_texts, text_hash
+from vectorloom.operators.provenance import space_guard
 
 
 def test_vector_checks(spark):
@@ -27,25 +25,30 @@ def test_counts(spark):
     rows = [(1, ["a", "b"], [[1.0], [1.0]]), (2, ["a"], []), (3, [], [])]
     df = spark.createDataFrame(rows, "request_id long, payloads array<string>, embeddings array<array<float>>")
     assert [r.count_ok for r in count_checks(df).collect()] == [True, False, True]
-    payloads = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "request_id long, payload_index int")
+    payloads = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, -1)], "request_id long, payload_index int")
     vectors = spark.createDataFrame([(1, [1.0]), (1, [2.0])], "request_id long, embedding array<float>")
     got = {r.request_id: (r.n_payloads, r.n_vectors, r.count_ok) for r in long_count_checks(payloads, vectors).collect()}
-    assert got == {1: (2, 2, True), 2: (1, 0, False)}
+    assert got == {1: (2, 2, True), 2: (1, 0, False), 3: (0, 0, True)}
 
 
 def test_status_rollup(spark):
-    gone = "qwen model server unavailable: no route"
-    schema = "model string, status int, detail string"
+    schema = "model string, status int, kind string"
 
     def roll(rows, **options):
-        return {r.model: (r.n_ok, r.n_failed, r.status, r.healthy) for r in status_rollup(spark.createDataFrame(rows, schema), **options).collect()}
+        frame = spark.createDataFrame(rows, schema)
+        return {r.model: (r.n_ok, r.n_failed, r.status, r.healthy) for r in status_rollup(frame, **options).collect()}
 
-    fine = [("gemma", 200, None), ("gemma", 422, "x"), ("qwen", 200, None), ("bogus", 404, "x")]
+    fine = [("gemma", 200, None), ("gemma", 422, None), ("qwen", 200, None), ("bogus", 404, None)]
+    gone, loading = ("qwen", 503, "unavailable"), ("qwen", 503, "rejected")
     assert roll(fine) == {"gemma": (1, 0, "ok", True), "qwen": (1, 0, "ok", True)}
-    assert roll(fine + [("qwen", 503, gone), ("qwen", 500, "x")]) == {"gemma": (1, 0, "ok", False), "qwen": (1, 2, "unreachable", False)}
-    assert roll(fine + [("qwen", 503, "qwen: loading")])["qwen"] == (1, 1, "loading", False)
-    assert roll(fine + [("qwen", 503, gone)], active="gemma") == {"gemma": (1, 0, "ok", True)}
+    assert roll(fine + [gone, ("qwen", 500, "exception")]) == {
+        "gemma": (1, 0, "ok", False), "qwen": (1, 2, "unreachable", False)
+    }
+    assert roll(fine + [loading])["qwen"] == (1, 1, "loading", False)
+    assert roll(fine + [gone], active="gemma") == {"gemma": (1, 0, "ok", True)}
     assert roll([("gemma", 200, None)])["qwen"] == (0, 0, "ok", True)
+    # A bad text says nothing about readiness.
+    assert roll([("qwen", 200, None)] * 99 + [("qwen", 500, "rejected")])["qwen"] == (99, 1, "ok", True)
 
 
 def test_space_guard(spark):
@@ -53,19 +56,3 @@ def test_space_guard(spark):
     df = spark.createDataFrame(rows, "index_id string, model string, build string")
     got = {r.index_id: (r.n_spaces, r.mixed) for r in space_guard(df).collect()}
     assert got == {"a": (1, False), "b": (2, True), "c": (2, True)}
-
-
-def test_stale_vectors(spark):
-    texts = spark.createDataFrame([(i, f"text {i // 2}") for i in range(8)], "id long, text string")
-    spaces = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(b).alias("build")) for m, b in (("gemma", "b1"), ("qwen", "q1"))])
-    made = texts.select(
-        "id", text_hash(F.col("text")).alias("text_hash"), F.lit(768).alias("dimensions"), F.inline(spaces)
-    )
-    changed = F.when(F.col("id") == 3, F.lit("old")).otherwise(F.col("text_hash"))
-    table = made.where("id <> 5").withColumn("text_hash", changed)
-    at = lambda **kw: {r.id for r in stale_keys(texts, table, **{"model": "gemma", "build": "b1", "dimensions": 768, **kw}).collect()}
-    assert at() == {3, 5}
-    assert at(model="qwen", build="q1") == {3, 5}
-    assert at(build="b2") == at(dimensions=256) == set(range(8))
-    stale = stale_keys(texts, table.union(table), model="gemma", build="b1", dimensions=768)
-    assert {(r.id, r.text) for r in stale_texts(texts, stale).collect()} == {(3, "text 1"), (5, "text 2")}

@@ -1,30 +1,92 @@
-from fakes import NumbersFactory
+from dataclasses import replace
 
-from vectorloom.plans.refresh import current_vectors, refresh
-from vectorloom.registry import GEMMA
+import pytest
+from fakes import FixedFactory, NumbersFactory
 
-SPACE = {"model": "gemma", "build": GEMMA.default_build, "dimensions": 2}
+from vectorloom.operators import provenance
+from vectorloom.operators.provenance import matching, stale_keys
+from vectorloom.plans.refresh import compact, current_vectors, refresh
+from vectorloom.registry import GEMMA, REGISTRY
+
+SPACE = {"model": "gemma", "build": GEMMA.default_build, "task": "query", "dimensions": 2}
+
+
+def _texts(spark, rows):
+    return spark.createDataFrame(rows, "id long, text string")
+
+
+def _stored(spark, path):
+    return spark.read.parquet(path).where("ok = 1")
 
 
 def test_refresh_embeds_only_what_changed(spark, tmp_path):
     path = str(tmp_path / "vectors")
 
     def run(rows, **options):
-        texts = spark.createDataFrame(rows, "id long, text string")
-        failed = refresh(texts, path, "gemma", "query", 2, factory=NumbersFactory(), normalize=False, **options)
-        return texts, sorted(tuple(r) for r in failed.collect())
+        failed = refresh(
+            _texts(spark, rows), path, "gemma", "query", 2, factory=NumbersFactory(), normalize=False, **options
+        )
+        return _texts(spark, rows), sorted(tuple(r) for r in failed.collect())
 
     texts, failed = run([(i, str(i)) for i in range(5)] + [(9, "gone"), (10, None)])
     no_text = (10, 422, "payloads: every item should be a valid string")
     assert failed == [(9, 503, "gemma model server unavailable: no route"), no_text]
-    assert spark.read.parquet(path).count() == 5
+    assert _stored(spark, path).count() == 5
     # One text edited, one new, the failed one repaired; the rest is left alone.
     texts, failed = run([(0, "100")] + [(i, str(i)) for i in range(1, 6)] + [(9, "9"), (10, None)])
-    assert failed == [no_text] and spark.read.parquet(path).count() == 8
+    assert failed == [no_text] and _stored(spark, path).count() == 8
     now = current_vectors(texts, spark.read.parquet(path), **SPACE)
     assert {r.id: r.embedding[0] for r in now.collect()} == {0: 100.0, 1: 1.0, 2: 2.0, 3: 3.0, 4: 4.0, 5: 5.0, 9: 9.0}
+    compact(texts, path, str(tmp_path / "small"), **SPACE)
+    assert spark.read.parquet(str(tmp_path / "small")).count() == 7
     run([(i, str(i)) for i in range(1, 6)])
-    assert spark.read.parquet(path).count() == 8
+    assert _stored(spark, path).count() == 8
     # Another build: everything again, in its own folder.
     run([(i, str(i)) for i in range(1, 6)], build="other.gguf")
-    assert spark.read.parquet(path).where("build = 'other.gguf'").count() == 5
+    assert _stored(spark, path).where("build = 'other.gguf'").count() == 5
+
+
+def test_tasks_prompts_and_limits_are_part_of_a_vector(spark, tmp_path):
+    path = str(tmp_path / "vectors")
+    texts = _texts(spark, [(1, "a b c d e"), (2, "f")])
+
+    def run(task, **options):
+        refresh(texts, path, "gemma", task, 2, factory=FixedFactory((1.0, 0.0)), **options)
+        return _stored(spark, path).count()
+
+    assert [run("query"), run("document"), run("document"), run("query")] == [2, 4, 4, 4]
+    prompted = [replace(m, document_prompt="passage: ") for m in REGISTRY]
+    assert [run("document", registry=prompted), run("document", registry=prompted)] == [6, 6]
+    # A shorter context changes only the text that no longer fits.
+    narrow = [replace(m, n_ctx=10) for m in REGISTRY]
+    assert [run("document", registry=narrow), run("document", registry=narrow)] == [7, 7]
+    # An encoder that cuts by itself sees the limit, not the cut text.
+    assert [run("document", truncate=False), run("document", truncate=False)] == [9, 9]
+
+
+def test_repeated_rows_are_stored_once(spark, tmp_path):
+    path = str(tmp_path / "vectors")
+    rows = [(1, "1"), (1, "1"), (2, "2"), (2, "3"), (3, "1")]
+    for more in ([], [(4, "4"), (4, "4")]):
+        refresh(_texts(spark, rows + more), path, "gemma", "query", 2, factory=NumbersFactory(), normalize=False)
+    got = sorted((r.id, r.embedding[0]) for r in _stored(spark, path).collect())
+    assert got == [(1, 1.0), (2, 2.0), (2, 3.0), (3, 1.0), (4, 4.0)]
+
+
+@pytest.mark.parametrize("keep", [True, False])
+def test_many_keys_are_matched_without_moving_the_rest(spark, monkeypatch, keep):
+    rows = spark.range(5000).selectExpr("id", "cast(id % 7 as string) as text_hash", "repeat('x', 50) as text")
+    keys = rows.where("id % 100 = 3").select("id", "text_hash")
+    want = {i for i in range(5000) if (i % 100 == 3) == keep}
+    for few in (10**6, 10):
+        monkeypatch.setattr(provenance, "FEW_KEYS", few)
+        found = matching(rows, keys, ["id", "text_hash"], keep)
+        assert found.columns == rows.columns and {r.id for r in found.collect()} == want
+    # Beyond the broadcast limit a filter of fixed size goes ahead of the shuffle.
+    assert "_bits" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stale_keys(spark):
+    keys = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (3, "c", 2)], "id long, text_hash string, n long")
+    current = spark.createDataFrame([(1, "a"), (1, "a"), (2, "x")], "id long, text_hash string")
+    assert sorted(map(tuple, stale_keys(keys, current).collect())) == [(2, "b", 1), (3, "c", 2)]

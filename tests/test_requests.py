@@ -10,15 +10,17 @@ from vectorloom.operators.requests import (
     first_failures,
     regroup_responses,
     request_rows,
+    split_by_size,
     validate_request_texts,
     validate_requests,
 )
 from vectorloom.plans.bulk import embed, embed_request_texts, embed_requests, encode_request_texts
 from vectorloom.schemas import REQUEST, REQUEST_TEXT
 from vectorloom.session import materialize
+from vectorloom.sources.sinks import write_response_parts
 
-LONG = "Interest rates and bond yields move together. " * 1500
-DOCS = ["The court filed it.", "A model was trained.", "Engineers read books."]
+RIVER = "the river ran past mill and meadow " * 900
+NOTES = ["Bread needs time.", "Tides follow the moon; ships follow tides.", "", "A loose bolt rattles."]
 
 
 def _requests(spark, rows):
@@ -26,24 +28,20 @@ def _requests(spark, rows):
 
 
 @pytest.mark.parametrize("model,native", [("gemma", 768), ("qwen", 4096)])
-def test_end_to_end_cases(spark, model, native):
-    cases = [
-        ("query", ["hello world", "What is machine learning?"], native, native),
-        ("document", DOCS, native, native),
-        ("query", ["What is machine learning?"], None, 768),
-        ("query", ["What is machine learning?"], 256, 256),
-        ("document", [LONG, "short text"], None, 768),
-        ("query", [""], 5000, native),
+def test_widths_and_lengths_of_answers(spark, model, native):
+    asked = {1: 1, 100: 100, None: 768, native: native, 10_000: native}
+    rows = [
+        (model, task, payloads, width)
+        for task in ("document", "query")
+        for payloads in (NOTES, [RIVER, NOTES[0]], ["tea?"])
+        for width in asked
     ]
-    rows = _requests(spark, [(model, task, payloads, d) for task, payloads, d, _ in cases])
-    got = {r.request_id: r for r in embed_requests(rows).collect()}
-    for i, (_, payloads, _, dims) in enumerate(cases):
-        assert got[i].status == 200 and got[i].detail is None
-        assert len(got[i].embeddings) == len(payloads)
-        for v in got[i].embeddings:
-            assert len(v) == dims
-            norm = math.sqrt(sum(x * x for x in v))
-            assert abs(norm - 1) < 1e-3 or norm == 0.0
+    got = {r.request_id: r for r in embed_requests(_requests(spark, rows)).collect()}
+    for i, (_, _, payloads, width) in enumerate(rows):
+        assert (got[i].status, got[i].detail, got[i].dimensions) == (200, None, asked[width])
+        assert [len(v) for v in got[i].embeddings] == [asked[width]] * len(payloads)
+        lengths = [math.sqrt(sum(x * x for x in v)) for v in got[i].embeddings]
+        assert all(n == 0 or abs(n - 1) < 1e-5 for n in lengths)
 
 
 def test_statuses_and_their_order(spark):
@@ -91,7 +89,11 @@ def _long(spark, rows):
 def test_long_form_agrees_with_array_form(spark):
     rows = [
         ("gemma", "query", [f"text {i} {j}" for j in range(i % 4 + 1)], (None, 16, 0)[i % 3]) for i in range(12)
-    ] + [("bogus", "query", ["x", "y"], None), ("gemma", "document", ["a", None], None), ("bogus", "query", [None], 0)]
+    ] + [
+        ("bogus", "query", ["x", "y"], None), ("gemma", "document", ["a", None], None), ("bogus", "query", [None], 0),
+        ("gemma", "query", [], None), ("qwen", "document", None, 5), ("bogus", "query", [], None), ("gemma", "query", [], 0),
+        ("gemma", "unknown", None, None),
+    ]
     frame = _requests(spark, rows)
     array_form = {r.request_id: r for r in embed_requests(frame).collect()}
     long_form = request_rows(frame).select(*[f.name for f in REQUEST_TEXT.fields])
@@ -101,7 +103,7 @@ def test_long_form_agrees_with_array_form(spark):
     grouped = {r.request_id: r.embeddings for r in regroup_responses(vectors).collect()}
     assert grouped == {i: r.embeddings for i, r in array_form.items() if r.status == 200}
     heads = {r.request_id: r.error for r in validate_request_texts(long_form).collect()}
-    assert {i: tuple(e) for i, e in heads.items() if e} == failed
+    assert {i: tuple(e)[:2] for i, e in heads.items() if e} == failed and set(heads) == set(array_form)
 
 
 def test_one_request_holding_most_rows(spark, monkeypatch):
@@ -149,9 +151,20 @@ def test_first_error_of_a_request_wins(spark):
 
 
 def test_request_rows_number_payloads(spark):
-    frame = _requests(spark, [("gemma", "query", ["b", "a", "c"], None), ("gemma", "query", [], None)])
-    got = [(r.request_id, r.payload_index, r.payload) for r in request_rows(frame).collect()]
-    assert got == [(0, 0, "b"), (0, 1, "a"), (0, 2, "c")]
+    rows = [("gemma", "query", ["b", "a", "c"], None), ("gemma", "query", [], None), ("gemma", "query", None, None)]
+    got = [(r.request_id, r.payload_index, r.payload) for r in request_rows(_requests(spark, rows)).collect()]
+    assert got == [(0, 0, "b"), (0, 1, "a"), (0, 2, "c"), (1, -1, None), (2, -2, None)]
+
+
+def test_large_requests_take_the_long_form(spark, tmp_path):
+    rows = [("gemma", "query", ["a"] * 10, 4), ("gemma", "query", ["a", "b", "c"], 4), ("gemma", "query", [], 4), ("gemma", "query", None, 4)]
+    usual, large = split_by_size(_requests(spark, rows), 200)
+    assert sorted(r.request_id for r in usual.collect()) == [1, 2, 3]
+    failures, vectors = embed_request_texts(large)
+    write_response_parts(vectors, str(tmp_path / "answers"), part_texts=4)
+    answers = spark.read.json(str(tmp_path / "answers")).orderBy("part").collect()
+    assert [(r.request_id, r.part, len(r.embeddings)) for r in answers] == [(0, 0, 4), (0, 1, 4), (0, 2, 2)]
+    assert failures.count() == 0
 
 
 def test_embed_arguments(spark):
@@ -161,7 +174,7 @@ def test_embed_arguments(spark):
             embed(texts, "text", *bad)
     got = {r.id: r for r in embed(texts, "text", "gemma", "query", 5).collect()}
     assert len(got[1].embedding) == 5 and got[1].outcome.kind == "ok"
-    assert got[2].embedding is None and got[2].outcome is None
+    assert got[2].embedding is None and got[2].outcome.kind == "missing"
 
 
 def test_encoder_with_its_own_tokenizer(spark):

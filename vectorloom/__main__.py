@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vectorloom.encoders import EncoderFactory
 from vectorloom.operators.provenance import canonical_builds
-from vectorloom.plans.bulk import embed_requests
+from vectorloom.operators.embedding import ROW_BYTES
+from vectorloom.operators.requests import split_by_size
+from vectorloom.plans.bulk import embed_request_texts, embed_requests
 from vectorloom.plans.refresh import refresh
 from vectorloom.registry import DEFAULT_DIMENSIONS, REGISTRY, TASKS, parse_active
 from vectorloom.sources.requests import parse_requests
-from vectorloom.sources.sinks import write_outcomes
+from vectorloom.session import drop_scratch
+from vectorloom.sources.sinks import write_errors, write_outcomes, write_response_parts
 from vectorloom.sources.texts import read_texts
 from vectorloom.streaming.jobs import embed_stream_with_dead_letters
 
@@ -34,6 +37,9 @@ def _arguments() -> argparse.ArgumentParser:
     requests.add_argument("--model", help="model of all lines, if they do not name their own")
     requests.add_argument("--task", choices=TASKS, help="task of all lines")
     requests.add_argument("--checkpoint", help="run as a stream with this checkpoint folder")
+    requests.add_argument("--max-files", type=int, default=64, help="files that a stream's batch takes in at most")
+    requests.add_argument("--max-bytes", type=int, help="bytes instead of files")
+    requests.add_argument("--join-output", action="store_true", help="add to the output of other streams")
     requests.add_argument("--every", help="stream interval; without it the stream ends when caught up")
 
     texts = jobs.add_parser("texts", help="embed the texts that have no current vector")
@@ -69,6 +75,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             args.dimensions, build=builds.get(args.model), **options,
         )
         failed.write.mode("append").parquet(args.errors)
+        drop_scratch(spark)
         return
     options |= {"active": active, "overrides": builds}
     route = {"model": args.model, "task": args.task}
@@ -77,12 +84,19 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         return parse_requests(lines, **route)
 
     if args.checkpoint:
+        limit = ("maxBytesPerTrigger", args.max_bytes) if args.max_bytes else ("maxFilesPerTrigger", args.max_files)
         embed_stream_with_dead_letters(
-            parsed(spark.readStream.text(args.input)), args.output, args.checkpoint, every=args.every, **options
-        ).awaitTermination()
+            parsed(spark.readStream.option(*limit).text(args.input)), args.output, args.checkpoint,
+            every=args.every, join_output=args.join_output, **options,
+        ).awaitTermination()
     else:
-        outcomes = embed_requests(parsed(spark.read.text(args.input)), **options)
-        write_outcomes(outcomes, f"{args.output}/responses", f"{args.output}/errors")
+        usual, large = split_by_size(parsed(spark.read.text(args.input)), ROW_BYTES)
+        write_outcomes(embed_requests(usual, **options), f"{args.output}/responses", f"{args.output}/errors")
+        if not large.isEmpty():
+            failures, vectors = embed_request_texts(large, **options)
+            write_response_parts(vectors, f"{args.output}/responses")
+            write_errors(failures, f"{args.output}/errors")
+    drop_scratch(spark)
 
 
 def _factory(name: str | None) -> EncoderFactory | None:

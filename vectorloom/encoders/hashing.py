@@ -12,25 +12,17 @@ from itertools import chain
 
 import numpy as np
 
-from vectorloom.encoders.base import EncoderRejected, EncoderUnavailable
-
 _MEMO_SIZE = 1 << 19
 
 
 @dataclass(frozen=True)
 class HashingFactory:
-    """``widths`` pairs each model with its native width.
-
-    ``fault_rate`` > 0 makes calls fail for texts whose md5 starts with a small byte:
-    below ``fault_rate`` rejected, then unavailable, then an unforeseen exception, each
-    ``fault_rate`` values wide. It exercises failure isolation on real tables.
-    """
+    """``widths`` pairs each model with its native width."""
 
     widths: tuple[tuple[str, int], ...]
-    fault_rate: int = 0
 
     def __call__(self, model: str) -> "HashingEncoder":
-        return HashingEncoder(dict(self.widths)[model], self.fault_rate)
+        return HashingEncoder(dict(self.widths)[model])
 
 
 class _Slots(dict):
@@ -53,15 +45,11 @@ class _Slots(dict):
 
 
 class HashingEncoder:
-    def __init__(self, width: int, fault_rate: int):
+    def __init__(self, width: int):
         self.width = width
-        self.fault_rate = fault_rate
         self._slots = _Slots(width)
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        if self.fault_rate:
-            for text in texts:
-                self._maybe_fail(text)
         # Bytes split at ASCII white space only, as functions.tokens.tokenize does.
         words = [text.encode().split() for text in texts]
         lengths = [len(w) for w in words]
@@ -72,12 +60,3 @@ class HashingEncoder:
         places = np.repeat(np.arange(len(texts)) * self.width, lengths) + (slots >> 1)
         np.add.at(vectors.reshape(-1), places, ((slots & 1) * 2 - 1).astype(np.float32))
         return vectors
-
-    def _maybe_fail(self, text: str) -> None:
-        first = hashlib.md5(text.encode()).digest()[0]
-        if first < self.fault_rate:
-            raise EncoderRejected(400, "input rejected")
-        if first < 2 * self.fault_rate:
-            raise EncoderUnavailable("connection refused")
-        if first < 3 * self.fault_rate:
-            raise ValueError("unexpected answer")

@@ -9,26 +9,12 @@ import numpy as np
 from vectorloom.encoders.base import EncoderUnavailable, TokenizeFailed
 
 
-def fit_sequence(
-    ids: Sequence[int], limit: int, prefix: Sequence[int], suffix: Sequence[int]
-) -> list[int]:
-    """Token ids cut to ``limit`` by dropping the end of the text, as
-    :func:`vectorloom.functions.tokens.truncate_tokens` does for token columns."""
-    ids = list(ids)
-    if len(ids) <= limit:
-        return ids
-    n_front = len(prefix) if ids[: len(prefix)] == list(prefix) else 0
-    back = ids[max(0, len(ids) - len(suffix)) :]
-    if back != list(suffix):
-        back = []
-    return ids[: max(n_front, limit - len(back))] + back
-
-
 class TokenEncoder:
     """Implement ``tokenize`` and ``encode_tokens``; texts are then cut by their own tokens.
 
-    ``tokenize`` returns ids with the special tokens in place, which ``prefix`` and
-    ``suffix`` name. Run it with ``truncate=False``, so that texts arrive whole.
+    ``tokenize`` returns the ids of the text alone. The special tokens named by ``prefix`` and
+    ``suffix`` are put around what fits between them. Run it with ``truncate=False``, so that
+    texts arrive whole.
     """
 
     n_ctx: int
@@ -48,7 +34,5 @@ class TokenEncoder:
             raise
         except Exception as error:
             raise TokenizeFailed(str(error)) from error
-        limit = self.n_ctx - 1
-        return self.encode_tokens(
-            [fit_sequence(ids, limit, self.prefix, self.suffix) for ids in sequences]
-        )
+        room = max(0, self.n_ctx - 1 - len(self.prefix) - len(self.suffix))
+        return self.encode_tokens([[*self.prefix, *ids[:room], *self.suffix] for ids in sequences])

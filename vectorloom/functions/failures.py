@@ -12,7 +12,7 @@ TOKENIZE_FAILED = ": tokenize failed: "
 
 
 def classify_failure(outcome: Column, model: Column) -> Column:
-    """``struct<status, detail>`` for a failed outcome, null for a good one.
+    """``struct<status, detail, kind>`` for a failed outcome, null for a good one.
 
     A model that cannot be reached, or says 503 itself, is 503; every other refusal,
     a failed tokenisation and any unexpected exception are 500.
@@ -23,6 +23,7 @@ def classify_failure(outcome: Column, model: Column) -> Column:
     rejected = F.concat(model, F.lit(": "), message)
     status = (
         F.when(kind == "unavailable", 503)
+        .when(kind == "missing", 422)
         .when((kind == "rejected") & (code == 503), 503)
         .otherwise(500)
     )
@@ -33,5 +34,5 @@ def classify_failure(outcome: Column, model: Column) -> Column:
         .otherwise(message)
     )
     return F.when(
-        kind != "ok", F.struct(status.alias("status"), detail.alias("detail"))
+        kind != "ok", F.struct(status.alias("status"), detail.alias("detail"), kind.alias("kind"))
     ).cast(ERROR)

@@ -16,6 +16,11 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(\S+)"), F.lit(1))
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """At most ``n + 1`` pieces: the first ``n`` words and, if there are more, the rest."""
+    return F.filter(F.split(F.regexp_replace(text, r"^\s+", ""), r"\s+", n + 1), lambda w: w != "")
+
+
 def kept_tokens(n_tokens: Column, limit: Column, n_special: Column) -> Column:
     """How many tokens, special ones included, remain once a text is cut to ``limit``."""
     cut = n_special + F.greatest(F.lit(0), limit - n_special)
@@ -59,4 +64,4 @@ def fit_text(text: Column, limit: Column, n_special: Column) -> Column:
         return F.when(F.size(words) <= room, text).otherwise(start)
 
     fits = ~may_overflow(text, limit, n_special)
-    return F.when(fits, text).otherwise(let(tokenize(text), cut))
+    return F.when(fits, text).otherwise(let(first_words(text, room), cut))

@@ -1,4 +1,4 @@
-"""Request checks as nullable ``struct<status, detail>`` columns; null means fine."""
+"""Request checks as nullable ``struct<status, detail, kind>`` columns; null means fine."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from vectorloom.schemas import ERROR
 
 def error(status: int, detail: Column | str) -> Column:
     text = F.lit(detail) if isinstance(detail, str) else detail
-    return F.struct(F.lit(status).alias("status"), text.alias("detail")).cast(ERROR)
+    none = F.lit(None).cast("string")
+    return F.struct(F.lit(status).alias("status"), text.alias("detail"), none.alias("kind")).cast(ERROR)
 
 
 def effective_dimensions(dimensions: Column) -> Column:
@@ -46,7 +47,9 @@ def missing_route(model: Column, task: Column) -> Column:
 def quoted(name: Column) -> Column:
     """A name in quotes: single ones unless only the name itself contains those."""
     escaped = F.replace(name, F.lit("\\"), F.lit("\\\\"))
-    for char, spelled in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+    named = {"\n": "\\n", "\r": "\\r", "\t": "\\t"}
+    for char in [*map(chr, range(32)), "\x7f"]:
+        spelled = named.get(char, f"\\x{ord(char):02x}")
         escaped = F.replace(escaped, F.lit(char), F.lit(spelled))
     single, double = F.contains(name, F.lit("'")), F.contains(name, F.lit('"'))
     return F.when(single & ~double, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(
@@ -72,8 +75,12 @@ def request_error(
     """The one error a request reports.
 
     An address that does not exist comes first, then what is wrong with the body, then
-    a model that is not active.
+    a model that is not active. A body that could not be read at all, with the address in
+    it, is not a wrong address.
     """
+    unread = [
+        F.when(model.isNull() & task.isNull() & F.startswith(e["detail"], F.lit("body: ")), e) for e in body_errors
+    ]
     return F.coalesce(
-        missing_route(model, task), *body_errors, unknown_model(model, is_active, active)
+        *unread, missing_route(model, task), *body_errors, unknown_model(model, is_active, active)
     )

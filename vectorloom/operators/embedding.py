@@ -19,7 +19,7 @@ from vectorloom.schemas import OUTCOME
 # Texts per call, and per document sub-call.
 CALL_TEXTS = 256
 DOCUMENT_CHUNK_TEXTS = 8
-# What fits into one row; larger requests are for embed_request_texts.
+# What fits into one row; larger requests go through the long form, see split_by_size.
 ROW_BYTES = 2**31 - 2**20
 
 _OUTCOME_ARROW = pa.struct(
@@ -82,16 +82,15 @@ def _stage(
             table = pa.Table.from_batches([batch])
             model, task = table["_model"].to_pylist(), table["_task"].to_pylist()
             sizes = table["_texts"].combine_chunks().value_lengths().to_pylist()
+            absent: dict[str, Exception] = {}  # models that did not load for this batch
             for rows in _calls(list(zip(model, task)), sizes, call_texts):
                 part = _pick(table, rows)
                 widths = part["_width"].to_pylist()
                 if sizes[rows[0]] is None:
                     results = [None] * len(rows)
                 else:
-                    chunk = chunk_texts if task[rows[0]] == "document" else None
-                    encoder = load_encoder(factory, model[rows[0]])
-                    results = _isolate(encoder, part["_texts"].to_pylist(), chunk)
-                    results = [_storable(r, w, dtype) for r, w in zip(results, widths)]
+                    chunk = chunk_texts if task[rows[0]] == "document" else call_texts
+                    results = _call(factory, model[rows[0]], part["_texts"], widths, chunk, dtype, absent)
                 vectors = _embeddings(results, widths, dtype, normalize)
                 outcome = pa.array([_outcome(r) for r in results], _OUTCOME_ARROW)
                 columns = [part[k].combine_chunks() for k in keys] + [vectors, outcome]
@@ -107,15 +106,24 @@ def _pick(table: pa.Table, rows: list[int]) -> pa.Table:
     return table.take(pa.array(rows))
 
 
-def _storable(
-    result: np.ndarray | Exception, width: int, dtype: type
-) -> np.ndarray | Exception:
-    """A request whose vectors cannot be one row is an error, not a corrupt row."""
-    if isinstance(result, np.ndarray) and result.size:
-        size = len(result) * min(width, result.shape[1]) * np.dtype(dtype).itemsize
-        if size > ROW_BYTES:
-            return ValueError("the vectors of this request exceed one row; pass it in long form")
-    return result
+def _call(
+    factory: EncoderFactory, model: str, texts: pa.ChunkedArray, widths: list[int], chunk: int, dtype: type,
+    absent: dict[str, Exception],
+) -> list[np.ndarray | Exception]:
+    """The results of one call. A model that does not load fails its own requests only."""
+    if model not in absent:
+        try:
+            encoder = load_encoder(factory, model)
+        except Exception as error:  # noqa: BLE001 - belongs to the requests, not to the job
+            absent[model] = error
+    if model in absent:
+        return [absent[model]] * len(widths)
+    counts = texts.combine_chunks().value_lengths().to_pylist()
+    if len(widths) == 1 and counts[0] * widths[0] * np.dtype(dtype).itemsize > ROW_BYTES:
+        # A row cannot hold that much; vectorloom.operators.requests.split_by_size keeps such
+        # requests in long form. Found before anything is encoded.
+        return [ValueError("the vectors of this request exceed one row; pass it in long form")]
+    return _isolate(encoder, texts.to_pylist(), chunk, max(widths))
 
 
 def _outcome(result: np.ndarray | Exception | None) -> dict | None:
@@ -138,36 +146,45 @@ def _calls(
             lane, size = None, 1
         open_calls.setdefault(lane, []).append(row)
         filled[lane] = filled.get(lane, 0) + size
-        if filled[lane] >= call_texts:
+        if size >= call_texts and len(open_calls[lane]) > 1:
+            # a large request is a call of its own: its width is nobody else's
+            yield [open_calls[lane].pop()]
+            filled[lane] -= size
+        elif filled[lane] >= call_texts:
             yield open_calls.pop(lane)
             del filled[lane]
     yield from open_calls.values()
 
 
-def _isolate(encoder, requests: list[list[str]], chunk: int | None) -> list[np.ndarray | Exception]:
+def _isolate(encoder, requests: list[list[str]], chunk: int, width: int) -> list[np.ndarray | Exception]:
     """Vectors per request; a request that makes its call fail gets the exception instead.
 
     A failing call is halved until the failing requests stand alone, so a few bad ones
     cost a logarithmic number of extra calls and their neighbours are encoded.
     """
     try:
-        vectors = _encode_in_chunks(encoder, [t for texts in requests for t in texts], chunk)
+        vectors = _encode_in_chunks(encoder, [t for texts in requests for t in texts], chunk, width)
         ends = np.cumsum([len(texts) for texts in requests])
         return np.split(vectors, ends[:-1])
     except Exception as error:  # noqa: BLE001 - any failure belongs to a request
         if len(requests) == 1:
             return [error]
         half = len(requests) // 2
-        return _isolate(encoder, requests[:half], chunk) + _isolate(encoder, requests[half:], chunk)
-
-
-def _encode_in_chunks(encoder, texts: list[str], chunk: int | None) -> np.ndarray:
-    """Encode in order; the first chunk that fails decides the error."""
-    step = chunk or max(1, len(texts))
-    blocks = [np.asarray(encoder.encode(texts[i : i + step])) for i in range(0, len(texts), step)]
-    vectors = np.concatenate(blocks) if blocks else np.zeros((0, 0), np.float32)
-    if len(vectors) != len(texts):
-        raise ValueError(f"encoder returned {len(vectors)} vectors for {len(texts)} texts")
+        return _isolate(encoder, requests[:half], chunk, width) + _isolate(encoder, requests[half:], chunk, width)
+
+
+def _encode_in_chunks(encoder, texts: list[str], chunk: int, width: int) -> np.ndarray:
+    """Encode in order, cut to ``width`` chunk by chunk, so that full-width vectors of one
+    chunk at most are held. The first chunk that fails decides the error."""
+    vectors = np.zeros((0, 0), np.float32)
+    for at in range(0, len(texts), chunk):
+        part = texts[at : at + chunk]
+        block = np.asarray(encoder.encode(part))
+        if len(block) != len(part):
+            raise ValueError(f"encoder returned {len(block)} vectors for {len(part)} texts")
+        if at == 0:
+            vectors = np.empty((len(texts), min(width, block.shape[1])), block.dtype)
+        vectors[at : at + len(part)] = block[:, :width]
     return vectors
 
 

@@ -20,5 +20,11 @@ def pool_mean(tokens: DataFrame, key: str, vector: str = "vector") -> DataFrame:
 def pool_last(
     tokens: DataFrame, key: str, position: str = "token_index", vector: str = "vector"
 ) -> DataFrame:
-    """The vector at each key's highest position; tasks send one candidate per key."""
-    return tokens.groupBy(key).agg(F.max_by(vector, position).alias("pooled"))
+    """The vector at each key's highest position; a position occurs once per key.
+
+    The highest position is a number, so it is found by a hash aggregate that combines within
+    tasks. Vectors are then looked up by key and position, and never sorted.
+    """
+    last = tokens.groupBy(F.col(key).alias("_key")).agg(F.max(position).alias("_last"))
+    here = F.col(key).eqNullSafe(F.col("_key")) & (F.col(position) == F.col("_last"))
+    return tokens.join(last.hint("shuffle_hash"), here).select(key, F.col(vector).alias("pooled"))

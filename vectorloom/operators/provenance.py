@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vectorloom.registry import QWEN, quants_table, resolve_build
@@ -54,46 +56,40 @@ def space_guard(vectors: DataFrame, index: str = "index_id") -> DataFrame:
     )
 
 
-def text_hash(text: Column) -> Column:
-    """The fingerprint stored next to a vector."""
-    return F.md5(text)
+# Keys that are broadcast: an id and a 16-byte fingerprint each, some 50 MB in all.
+FEW_KEYS = 1_000_000
+# Bits of the filter that goes ahead of a larger join: 2**20 cells of 64, 16 MB at any size.
+FILTER_CELLS = 1 << 20
 
 
-def stale_keys(
-    texts: DataFrame,
-    vectors: DataFrame,
-    *,
-    model: str,
-    build: str,
-    dimensions: int,
-    key: str = "id",
-    text: str = "text",
-) -> DataFrame:
-    """``(key, text_hash)`` of the texts without a current vector.
+def stale_keys(keys: DataFrame, current: DataFrame, on: Sequence[str] = ("id", "text_hash")) -> DataFrame:
+    """The rows of ``keys`` without a vector in ``current``, the vectors of one space.
 
-    A vector is current if it was made from the same text by the same model and build at
-    the same width. Model, build and width are the partition columns of the vector table,
-    so only those files are listed. Texts are hashed in the scan; only keys and hashes are
-    shuffled, each distinct pair once, so neither repeated texts nor repeated vectors skew it.
+    Only ids and fingerprints are read and shuffled; repeated vectors count once.
     """
-    current = (
-        vectors.where(
-            (F.col("model") == model)
-            & (F.col("build") == build)
-            & (F.col("dimensions") == dimensions)
-        )
-        .select(key, "text_hash")
-        .distinct()
-    )
-    wanted = texts.select(key, text_hash(F.col(text)).alias("text_hash")).distinct()
-    return wanted.join(current, [key, "text_hash"], "left_anti")
+    return keys.join(current.select(*on).distinct(), list(on), "left_anti")
 
 
-def stale_texts(texts: DataFrame, stale: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """The rows to embed again.
+def matching(rows: DataFrame, keys: DataFrame, on: Sequence[str], keep: bool = True) -> DataFrame:
+    """The rows whose key is in the stored table ``keys`` (with ``keep=False``, is not).
 
-    Pass ``stale`` stored (:func:`vectorloom.session.materialize`): after a small change it
-    is then known to be small, is broadcast, and the texts are not shuffled.
+    Up to ``FEW_KEYS`` keys (counted) are broadcast, so no row moves. Beyond that, a filter of
+    fixed size is broadcast first and only rows that pass it, nearly all of them matches, are
+    shuffled; for ``keep=False`` those that do not pass it are not.
     """
-    hashed = texts.withColumn("text_hash", text_hash(F.col(text)))
-    return hashed.join(stale, [key, "text_hash"], "left_semi")
+    on = list(on)
+    wanted = keys.select(*on).distinct()
+    how = "left_semi" if keep else "left_anti"
+    if keys.count() <= FEW_KEYS:
+        return rows.join(F.broadcast(wanted), on, how)
+    place = F.pmod(F.xxhash64(*on), F.lit(FILTER_CELLS * 64))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_place") % 64).cast("int"))
+    cells = wanted.select(place.alias("_place")).groupBy(F.floor(F.col("_place") / 64).alias("_cell")).agg(
+        F.bit_or(bit).alias("_bits")
+    )
+    marked = rows.withColumn("_place", place).withColumn("_cell", F.floor(F.col("_place") / 64))
+    marked = marked.join(F.broadcast(cells), "_cell", "left")
+    passed = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    extra = ["_place", "_cell", "_bits"]
+    candidates = marked.where(passed).drop(*extra).join(wanted, on, how)
+    return candidates if keep else candidates.unionByName(marked.where(~passed).drop(*extra))

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vectorloom.functions.failures import UNAVAILABLE
 from vectorloom.functions.vectors import l2_norm
 from vectorloom.registry import REGISTRY, ModelFacts, models_table
 
@@ -47,8 +46,9 @@ def count_checks(responses: DataFrame) -> DataFrame:
 
 
 def long_count_checks(rows: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The same in long form: ``n_payloads``, ``n_vectors``, ``count_ok`` per request."""
-    expected = rows.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_payloads"))
+    """The same in long form: ``n_payloads``, ``n_vectors``, ``count_ok`` per request. The
+    row that stands for an empty request counts as no payload."""
+    expected = rows.groupBy("request_id").agg(F.count_if(F.col("payload_index") >= 0).alias("n_payloads"))
     found = vectors.groupBy("request_id").agg(F.count("embedding").alias("n_vectors"))
     return (
         expected.join(found, "request_id", "left")
@@ -64,14 +64,15 @@ def status_rollup(
     overrides: dict[str, str] | None = None,
     backend: str = "cpu",
 ) -> DataFrame:
-    """Readiness per active model from the ``model, status, detail`` of finished requests.
+    """Readiness per active model from the ``model, status, kind`` of finished requests.
 
     Only what the model did counts: a request refused with 404 or 422 never reached it.
-    ``unreachable`` means a call found no model, ``loading`` that it refused one, ``ok``
-    neither. ``healthy`` is true everywhere if every active model is ``ok``.
+    ``unreachable`` means a call found no model (by the ``kind`` of the outcome, never by the
+    wording of a message), ``loading`` that the model answered 503, ``ok`` neither: a text
+    that fails with 500 says nothing about readiness. ``healthy`` is true everywhere if every active model is ``ok``.
     """
     models = models_table(outcomes.sparkSession, active, overrides, registry)
-    gone = (F.col("status") == 503) & F.contains(F.col("detail"), F.lit(UNAVAILABLE))
+    gone = F.col("kind") == "unavailable"
     # Restricted to active models first, so the counts have at most MAX_MODELS rows
     # however many unknown names the requests bring.
     counts = (
@@ -81,6 +82,7 @@ def status_rollup(
             F.count_if(F.col("status") == 200).alias("n_ok"),
             F.count_if(F.col("status") >= 500).alias("n_failed"),
             F.count_if(gone).alias("n_unreachable"),
+            F.count_if((F.col("status") == 503) & ~F.coalesce(gone, F.lit(False))).alias("n_loading"),
         )
     )
     zero = F.lit(0).cast("long")
@@ -91,7 +93,7 @@ def status_rollup(
         F.coalesce("n_ok", zero).alias("n_ok"),
         F.coalesce("n_failed", zero).alias("n_failed"),
         F.when(F.col("n_unreachable") > 0, "unreachable")
-        .when(F.col("n_failed") > 0, "loading")
+        .when(F.col("n_loading") > 0, "loading")
         .otherwise("ok")
         .alias("status"),
     )

@@ -23,6 +23,8 @@ from vectorloom.session import materialize
 
 # Payload rows of one request that share a join or aggregation key.
 SLICE_ROWS = 4096
+# Payload index of the one row that stands for a request without payloads.
+EMPTY_LIST, NO_LIST = -1, -2
 # Failed requests that are broadcast: two integers each, about 16 MB in all.
 FEW_REQUESTS = 1_000_000
 
@@ -93,12 +95,14 @@ def validate_request_texts(
     texts never meet in one task.
     """
     names = [m.key for m in registry] if active is None else parse_active(active, registry)
+    real = F.col("payload_index") >= 0
     heads = rows.groupBy("request_id", "model", "task", "dimensions").agg(
-        F.count(F.lit(1)).alias("n_payloads"),
-        F.count_if(F.col("payload").isNull()).alias("n_null"),
+        F.count_if(real).alias("n_payloads"),
+        F.count_if(real & F.col("payload").isNull()).alias("n_null"),
+        F.count_if(F.col("payload_index") == NO_LIST).alias("n_missing"),
     )
-    # Stands in for the payload list: only whether it holds a null matters.
-    stub = F.array(F.when(F.col("n_null") == 0, F.lit("")))
+    # Stands in for the payload list: only whether it is there and holds a null matters.
+    stub = F.when(F.col("n_missing") == 0, F.array(F.when(F.col("n_null") == 0, F.lit(""))))
     error = request_error(
         F.col("model"),
         F.col("task"),
@@ -115,11 +119,27 @@ def validate_request_texts(
 
 
 def request_rows(requests: DataFrame) -> DataFrame:
-    """Long form of array-form requests: one row per payload, numbered from 0."""
+    """Long form of array-form requests: one row per payload, numbered from 0.
+
+    A request with an empty list, or with none at all, is one row without a payload and with
+    the index ``EMPTY_LIST`` or ``NO_LIST``, so that it is answered as well.
+    """
+    none = F.when(F.col("payloads").isNull(), NO_LIST).otherwise(EMPTY_LIST)
+    kept = [c for c in requests.columns if c != "payloads"]
     return requests.select(
-        *[c for c in requests.columns if c != "payloads"],
-        F.posexplode("payloads").alias("payload_index", "payload"),
-    )
+        *kept, none.alias("_none"), F.posexplode_outer("payloads").alias("payload_index", "payload")
+    ).select(*kept, F.coalesce("payload_index", "_none").alias("payload_index"), "payload")
+
+
+def split_by_size(
+    requests: DataFrame, row_bytes: int, registry: Sequence[ModelFacts] = REGISTRY
+) -> tuple[DataFrame, DataFrame]:
+    """Requests whose vectors fit into one row of ``row_bytes``, and the rest in long form."""
+    native = F.coalesce(*[F.when(F.col("model") == m.key, m.native_dim) for m in registry], F.lit(1))
+    width = F.greatest(F.least(effective_dimensions(F.col("dimensions")), native.cast("long")), F.lit(1))
+    size = F.coalesce(F.size("payloads"), F.lit(0)).cast("long") * width * 8
+    fits = size <= row_bytes
+    return requests.where(fits), request_rows(requests.where(~fits))
 
 
 def first_failures(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -135,11 +155,12 @@ def first_failures(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``(request_id, slice)``, at most ``SLICE_ROWS`` rows per key however large a request.
     """
     rank = F.col("error_rank")
-    order = rank.cast("long") * F.lit(1 << 40) + F.col("payload_index").cast("long")
+    # indexes start at NO_LIST
+    order = rank.cast("long") * F.lit(1 << 40) + F.col("payload_index").cast("long") - NO_LIST
     failed = materialize(
         outcomes.where(rank.isNotNull())
         .groupBy("request_id")
-        .agg((F.min(order) % (1 << 40)).alias("payload_index")),
+        .agg((F.min(order) % (1 << 40) + NO_LIST).alias("payload_index")),
         "failed",
     )
     few = failed.count() <= FEW_REQUESTS
@@ -147,7 +168,7 @@ def first_failures(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
         outcomes.where(rank.isNotNull())
         .withColumn("payload_index", F.col("payload_index").cast("long"))
         .join(F.broadcast(failed) if few else failed, ["request_id", "payload_index"])
-        .select("request_id", "model", "error.status", "error.detail")
+        .select("request_id", "model", "error.status", "error.detail", "error.kind")
     )
     good = outcomes.where(rank.isNull())
     if few:
@@ -164,19 +185,20 @@ def first_failures(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _sliced(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("_slice", int_div(F.col("payload_index"), SLICE_ROWS))
+    return rows.withColumn("_slice", int_div(F.greatest("payload_index", F.lit(0)), SLICE_ROWS))
 
 
 def regroup_responses(vectors: DataFrame, part_texts: int = 1024) -> DataFrame:
     """Long-form vectors back to lists in payload order.
 
     A request of up to ``part_texts`` payloads is one row (``part`` 0); a larger one
-    continues in further parts, so that no row or task holds an unbounded request.
+    continues in further parts, so that no row or task holds an unbounded request. A request
+    with an empty list has part 0 with no vectors.
     """
-    part = int_div(F.col("payload_index"), part_texts)
-    items = F.sort_array(F.collect_list(F.struct("payload_index", "embedding")))
+    part = int_div(F.greatest("payload_index", F.lit(0)), part_texts)
+    item = F.when(F.col("payload_index") >= 0, F.struct("payload_index", "embedding"))
     return (
         vectors.groupBy("request_id", part.alias("part"))
-        .agg(items.alias("items"))
+        .agg(F.sort_array(F.collect_list(item)).alias("items"))
         .select("request_id", "part", F.col("items.embedding").alias("embeddings"))
     )

@@ -11,14 +11,15 @@ from vectorloom.functions.failures import classify_failure
 from vectorloom.functions.prompts import apply_prompt
 from vectorloom.functions.tokens import fit_text
 from vectorloom.operators.embedding import encode_requests, encode_texts
-from vectorloom.operators.requests import first_failures, validate_requests
+from vectorloom.operators.requests import EMPTY_LIST, first_failures, validate_requests
 from vectorloom.registry import DEFAULT_DIMENSIONS, REGISTRY, TASKS, ModelFacts
+from vectorloom.schemas import OUTCOME
 from vectorloom.session import attach, materialize
 
 
-def stand_in(registry: Sequence[ModelFacts] = REGISTRY, fault_rate: int = 0) -> HashingFactory:
+def stand_in(registry: Sequence[ModelFacts] = REGISTRY) -> HashingFactory:
     """The hashing encoder at the native width of every model."""
-    return HashingFactory(tuple((m.key, m.native_dim) for m in registry), fault_rate)
+    return HashingFactory(tuple((m.key, m.native_dim) for m in registry))
 
 
 def model_text(text: Column, facts: ModelFacts, task: str, truncate: bool = True) -> Column:
@@ -50,6 +51,8 @@ def embed(
     shuffle. Works on batch and streaming frames. ``keys`` (default: every other column)
     are carried through; the result adds ``embedding`` and ``outcome``.
 
+    A null text has the outcome ``missing``, without a call.
+
     Texts are cut to the model's context by words, the stand-in for tokens. Pass
     ``truncate=False`` to an encoder that cuts by its own tokens, such as a ``TokenEncoder``.
     """
@@ -69,7 +72,9 @@ def embed(
         model_text(F.col(text_col), facts, task, truncate).alias("text"),
         F.lit(dimensions).alias("dimensions"),
     )
-    return encode_texts(prepared, factory or stand_in(registry), keys, **options)
+    encoded = encode_texts(prepared, factory or stand_in(registry), keys, **options)
+    none = F.struct(F.lit("missing"), F.lit(None).cast("int"), F.lit("the text is null")).cast(OUTCOME)
+    return encoded.withColumn("outcome", F.coalesce("outcome", none))
 
 
 def embed_requests(
@@ -86,12 +91,14 @@ def embed_requests(
     """Array-form requests to one outcome row each, in one pass without a shuffle.
 
     The result holds the keys and ``model, task, build, dimensions, embeddings, status,
-    detail``. Status is 200, or what validation or the encoder reported; failed requests
+    detail, kind``, and the ``request_line`` of requests that could not be read, if they have one. Status is 200, or what validation or the encoder reported; failed requests
     have no embeddings and do not affect others. A request without payloads succeeds with
     no vectors and no call. Refused requests pass the encoder stage with null texts, so
     the input is scanned once.
     """
     attach(requests.sparkSession)
+    if "request_line" in requests.columns and "request_line" not in keys:
+        keys = [*keys, "request_line"]
     body_error = F.col("body_error") if "body_error" in requests.columns else None
     valid = validate_requests(requests, active, registry, overrides, body_error)
     prompted = F.transform("payloads", lambda p: _routed_text(p, truncate))
@@ -108,6 +115,7 @@ def embed_requests(
         F.when(F.col("error").isNull(), F.coalesce("embeddings", empty)).alias("embeddings"),
         F.coalesce("error.status", F.lit(200)).alias("status"),
         F.col("error.detail").alias("detail"),
+        F.col("error.kind").alias("kind"),
     )
 
 
@@ -123,6 +131,9 @@ def encode_request_texts(
 ) -> DataFrame:
     """Long-form requests to one row per payload with its ``embedding`` or its ``error``.
 
+    The row that stands for a request without payloads (see ``request_rows``) stays a row: with
+    neither for an empty list, with an error for a missing one.
+
     ``error_rank`` is null or says which errors of a request come first: 0 a payload that
     is not a string, 1 anything else found before encoding, 2 a failed call.
 
@@ -130,14 +141,16 @@ def encode_request_texts(
     afterwards by :func:`embed_request_texts`. Usable on streams.
     """
     attach(rows.sparkSession)
-    single = rows.withColumn("payloads", F.array("payload"))
+    index = F.col("payload_index")
+    listed = F.when(index >= 0, F.array("payload")).when(index == EMPTY_LIST, F.array().cast("array<string>"))
+    single = rows.withColumn("payloads", listed)
     keys = ["request_id", "payload_index", "model", "task", "build", "dimensions", "error"]
-    own = F.col("payload").isNull() & (F.col("error.status") == 422)
+    own = F.col("payload").isNull() & (index >= 0) & (F.col("error.status") == 422)
     rank = F.when(own, 0).when(F.col("error").isNotNull(), 1)
     prepared = validate_requests(single, active, registry, overrides).select(
         *keys,
         rank.alias("error_rank"),
-        F.when(F.col("error").isNull(), _routed_text(F.col("payload"), truncate)).alias("text"),
+        F.when(F.col("error").isNull() & (index >= 0), _routed_text(F.col("payload"), truncate)).alias("text"),
     )
     encoded = encode_texts(
         prepared, factory or stand_in(registry), [*keys, "error_rank"], **options

@@ -52,7 +52,7 @@ def _hashed(keys: str) -> str:
 def _digest(keys: str) -> str:
     return f"""
   digest AS (SELECT {keys}, CAST(count(*) AS BIGINT) AS nnz,
-      CAST(sum(x * (c % 7 + 1)) AS DOUBLE) / sqrt(CAST(sum(x * x) AS DOUBLE)) AS chk
+      CAST(sum(x * (c + 1)) AS DOUBLE) / sqrt(CAST(sum(x * x) AS DOUBLE)) AS chk
       FROM cut GROUP BY {keys})"""
 
 
@@ -61,19 +61,21 @@ def _norm(v: str) -> str:
 
 
 def _weighted(v: str) -> str:
-    return f"list_sum(list_transform({v}, lambda x, i: CAST(x AS DOUBLE) * ((i - 1) % 7 + 1)))"
+    return f"list_sum(list_transform({v}, lambda x, i: CAST(x AS DOUBLE) * i))"
 
 
 # Error of a turn's text in the faulty stand-in encoder, by the first byte of its md5.
 def _fault(seen: str, rate: int) -> str:
     byte = f"CAST('0x' || substr(md5({seen}), 1, 2) AS INTEGER)"
     return f"""CASE WHEN {byte} < {rate} THEN 'rejected' WHEN {byte} < {2 * rate} THEN 'unavailable'
-      WHEN {byte} < {3 * rate} THEN 'exception' END"""
+      WHEN {byte} < {3 * rate} THEN 'exception'
+      WHEN {byte} < {4 * rate} THEN 'tokenize' WHEN {byte} < {5 * rate} THEN 'loading' END"""
 
 
-_FAULT_STATUS = "CASE fault WHEN 'unavailable' THEN 503 ELSE 500 END"
+_FAULT_STATUS = "CASE WHEN fault IN ('unavailable', 'loading') THEN 503 ELSE 500 END"
 _FAULT_DETAIL = """CASE fault WHEN 'unavailable' THEN model || ' model server unavailable: connection refused'
-      WHEN 'rejected' THEN model || ': input rejected' ELSE 'unexpected answer' END"""
+      WHEN 'rejected' THEN model || ': input rejected' WHEN 'tokenize' THEN model || ': tokenize failed: bad input'
+      WHEN 'loading' THEN model || ': loading model' ELSE 'unexpected answer' END"""
 
 _PROMPTED = "CASE WHEN task = 'query' THEN qp ELSE dp END || "
 
@@ -124,14 +126,14 @@ FROM requests LEFT JOIN totals USING (doc_id)""",
     "truncate_normalize": f"""WITH v AS (SELECT vec_id, embedding[1:16] AS v FROM embeddings),
   n AS (SELECT vec_id, v, {_norm("v")} AS n FROM v)
 SELECT vec_id, CAST(len(v) AS BIGINT) AS dims,
-  CASE WHEN n > 0 AND NOT isnan(n) THEN round(CAST(v[1] AS DOUBLE) / n, 6) ELSE 0 END AS x_first,
-  CASE WHEN n > 0 AND NOT isnan(n) THEN round(CAST(v[16] AS DOUBLE) / n, 6) ELSE 0 END AS x_last FROM n""",
+  array_to_string(list_transform(v, lambda x: CAST(round(CAST(x AS DOUBLE) / n * 10000) AS BIGINT)), ',') AS spelled FROM n""",
     "multi_width": f"""WITH d AS (SELECT vec_id, embedding,
       CASE vec_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 8 WHEN 2 THEN 32 WHEN 3 THEN 64 ELSE 5000 END AS d FROM embeddings),
   v AS (SELECT vec_id, embedding[1:least(d, len(embedding))] AS v FROM d)
 SELECT vec_id, CAST(len(v) AS BIGINT) AS dims, round({_weighted("v")} / {_norm("v")}, 6) AS chk FROM v""",
-    "default_width": """SELECT CAST(least(CASE WHEN vec_id % 2 = 1 THEN 16 ELSE 768 END, len(embedding)) AS BIGINT) AS dims,
-  count(*) AS n FROM embeddings GROUP BY 1""",
+    "default_width": f"""WITH wide AS (SELECT vec_id, flatten(list_transform(range(16), lambda k: embedding)) AS e FROM embeddings),
+  v AS (SELECT vec_id, e[1:CASE WHEN vec_id % 2 = 1 THEN 16 ELSE 768 END] AS v FROM wide)
+SELECT vec_id, CAST(len(v) AS BIGINT) AS dims, round({_weighted("v")} / {_norm("v")}, 5) AS chk FROM v""",
     "dot_is_cosine": f"""WITH comps AS (SELECT vec_id, label, unnest(range(len(embedding))) AS i,
       CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
   centre AS (SELECT label, i, avg(x) AS m FROM comps GROUP BY label, i)
@@ -144,7 +146,7 @@ SELECT vec_id, CAST(len(v) AS BIGINT) AS dims, round(CAST(v[1] AS DOUBLE) / n, 6
     "pool_mean": """WITH comps AS (SELECT label, unnest(range(len(embedding))) AS i,
       CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
   mean AS (SELECT label, i, avg(x) AS m FROM comps GROUP BY label, i)
-SELECT CAST(label AS BIGINT) AS label, round(sum(m * (i % 7 + 1)) / sqrt(sum(m * m)), 6) AS chk FROM mean GROUP BY label""",
+SELECT CAST(label AS BIGINT) AS label, round(sum(m * (i + 1)) / sqrt(sum(m * m)), 6) AS chk FROM mean GROUP BY label""",
     "pool_last": f"""WITH last AS (SELECT label, arg_max(embedding, vec_id) AS v FROM embeddings GROUP BY label)
 SELECT CAST(label AS BIGINT) AS label, round({_weighted("v")} / {_norm("v")}, 6) AS chk FROM last""",
     "prompted_texts": f"""WITH {_MODELS}, tasks(task) AS (VALUES ('document'), ('query')),
@@ -176,8 +178,8 @@ FROM heads""",
       WHEN p = 3 THEN 'payloads: every item should be a valid string'
       WHEN d < 1 THEN 'dimensions: input should be greater than or equal to 1' END AS body FROM kinds)
 SELECT conv_id, turn,
-  CAST(CASE WHEN p = 5 THEN 404 WHEN body IS NOT NULL THEN 422 WHEN model = 'nomodel' THEN 404 ELSE 200 END AS BIGINT) AS status,
-  CASE WHEN p = 5 THEN 'Not Found' WHEN body IS NOT NULL THEN body
+  CAST(CASE WHEN body IS NOT NULL THEN 422 WHEN model = 'nomodel' THEN 404 ELSE 200 END AS BIGINT) AS status,
+  CASE WHEN body IS NOT NULL THEN body
     WHEN model = 'nomodel' THEN 'Unknown model ''nomodel''; available: gemma, qwen' ELSE '' END AS detail,
   CAST(CASE WHEN body IS NULL AND model <> 'nomodel' THEN d ELSE -1 END AS BIGINT) AS dimensions,
   CAST(CASE WHEN body IS NULL AND model <> 'nomodel' THEN CASE WHEN p = 1 THEN 0 ELSE 1 END ELSE -1 END AS BIGINT) AS n_payloads
@@ -199,17 +201,6 @@ SELECT model, lang, count(*) AS n_texts, count(*) FILTER (n > n_ctx - 1) AS n_tr
       len(regexp_extract_all(dp || text, '\\S+')) + special AS n FROM documents, models)
 SELECT doc_id, model, CAST(n AS BIGINT) AS n_tokens, CAST(n_ctx - 1 AS BIGINT) AS kept_tokens,
   CAST(n_ctx - 1 AS BIGINT) AS token_limit FROM counted WHERE n > n_ctx - 1""",
-    "batch_plan": f"""WITH {_TURNS},
-  sizes AS (SELECT conv_id, model, task, count(*) AS n FROM turns WHERE model <> 'nomodel' GROUP BY ALL),
-  placed AS (SELECT *, CAST(sum(n) OVER (PARTITION BY model, task ORDER BY conv_id) - n AS BIGINT) AS before FROM sizes)
-SELECT model, task, before // 32 AS batch_id, count(*) AS n_requests, CAST(sum(n) AS BIGINT) AS n_texts,
-  min(before) AS first_text FROM placed GROUP BY ALL""",
-    "chunk_plan": f"""WITH {_DOC_LINES},
-  placed AS (SELECT doc_id, model, len(lines) AS n,
-      CAST(sum(len(lines)) OVER (PARTITION BY model ORDER BY doc_id) - len(lines) AS BIGINT) AS before FROM requests),
-  texts AS (SELECT model, before // 256 AS batch_id, before + unnest(range(n)) AS pos FROM placed),
-  numbered AS (SELECT model, batch_id, row_number() OVER (PARTITION BY model, batch_id ORDER BY pos) - 1 AS r FROM texts)
-SELECT model, 'document' AS task, batch_id, r // 8 AS chunk_id, count(*) AS n_texts FROM numbered GROUP BY ALL""",
     "regroup_responses": f"""WITH {_MODELS}, {_TURNS},
   src AS (SELECT conv_id, turn, native, room, 8 AS width, {_PROMPTED} text AS seen FROM turns JOIN models USING (model)),
   {_hashed("conv_id, turn")},
@@ -221,6 +212,14 @@ FROM vectors GROUP BY ALL""",
     "failure_isolation": f"""WITH {_FAULTY}
 SELECT conv_id, CAST(status AS BIGINT) AS status, detail,
   CASE WHEN status = 200 THEN n_payloads ELSE 0 END AS n_vectors FROM outcomes""",
+    "long_form_requests": f"""WITH {_DOC_LINES},
+  forms(form) AS (VALUES ('array'), ('long'))
+SELECT doc_id, form, CAST(CASE WHEN doc_id % 5 = 1 THEN 422 ELSE 200 END AS BIGINT) AS status,
+  CAST(CASE WHEN doc_id % 5 <= 1 THEN 0 ELSE len(lines) END AS BIGINT) AS n_vectors FROM requests, forms""",
+    "absent_model": f"""WITH {_TURNS}
+SELECT conv_id, turn, CAST(CASE WHEN model = 'qwen' THEN 503 ELSE 200 END AS BIGINT) AS status,
+  CASE WHEN model = 'qwen' THEN 'qwen model server unavailable: weights missing' ELSE '' END AS detail,
+  CAST(CASE WHEN model = 'qwen' THEN 0 ELSE 1 END AS BIGINT) AS n_vectors FROM turns WHERE model <> 'nomodel'""",
     "written_responses": f"""WITH {_MODELS},
   payloads AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'gemma' WHEN 1 THEN 'qwen' END AS model,
       unnest([0, 1]) AS position, unnest([text, left(text, length(text) // 2)]) AS payload FROM benchmark),
@@ -242,14 +241,15 @@ SELECT vec_id, len(v) = 64 AS dim_ok, abs(n - 1) < 1e-3 AND NOT isnan(n) AS norm
     "vectors_pass": f"""WITH n AS (SELECT len(embedding) = 64 AND abs({_norm("embedding")} - 1) < 1e-3 AS ok FROM embeddings)
 SELECT count(*) AS n_vectors, count(*) FILTER (NOT ok) AS n_bad, bool_and(ok) AS passed FROM n""",
     "validate_counts": f"""WITH {_FAULTY}
-SELECT count(*) AS n_requests, count(*) FILTER (status = 200) AS n_ok FROM outcomes""",
+SELECT conv_id, n_payloads, CASE WHEN status = 200 THEN n_payloads ELSE 0 END AS n_vectors,
+  status = 200 AS count_ok FROM outcomes""",
     "status_rollup": f"""WITH {_FAULTY},
   counts AS (SELECT m.model, m.build, count(*) FILTER (status = 200) AS n_ok, count(*) FILTER (status >= 500) AS n_failed,
-      count(*) FILTER (status = 503 AND detail LIKE '%unavailable%') AS n_gone
+      count(*) FILTER (status = 503) AS n_loading, count(*) FILTER (status = 503 AND detail LIKE '%unavailable%') AS n_gone
       FROM models m LEFT JOIN outcomes USING (model) GROUP BY ALL)
 SELECT model, build AS file, n_ok, n_failed,
-  CASE WHEN n_gone > 0 THEN 'unreachable' WHEN n_failed > 0 THEN 'loading' ELSE 'ok' END AS status,
-  (SELECT bool_and(n_gone = 0 AND n_failed = 0) FROM counts) AS healthy FROM counts""",
+  CASE WHEN n_gone > 0 THEN 'unreachable' WHEN n_loading > 0 THEN 'loading' ELSE 'ok' END AS status,
+  (SELECT bool_and(n_loading = 0) FROM counts) AS healthy FROM counts""",
     "canonical_build": """WITH asked AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN 'q4_k_m' WHEN 2 THEN 'Q5_0'
       WHEN 3 THEN 'q5_K_m' WHEN 4 THEN 'q6_k' WHEN 5 THEN 'q8_0' WHEN 6 THEN 'F16' WHEN 7 THEN 'q3' END AS q FROM documents),
   quants(quant) AS (VALUES ('Q4_K_M'), ('Q5_0'), ('Q5_K_M'), ('Q6_K'), ('Q8_0'), ('f16'))
@@ -264,9 +264,18 @@ SELECT CAST(label AS BIGINT) AS index_id, count(DISTINCT model || '/' || build)
   count(DISTINCT model || '/' || build) > 1 AS mixed FROM built GROUP BY label""",
     "stale_vectors": """SELECT doc_id, md5(text) AS text_hash FROM documents d WHERE NOT EXISTS (
   SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1 AND l.toxic = 0)""",
-    "refresh_vectors": """SELECT doc_id,
-  CAST(CASE WHEN EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 0) THEN 2 ELSE 1 END AS BIGINT) AS n_stored,
-  CAST(1 AS BIGINT) AS n_current FROM documents d""",
+    "refresh_vectors": f"""WITH texts AS (SELECT doc_id, text,
+      text || CASE WHEN EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 0) THEN ' old' ELSE '' END AS old
+      FROM documents d),
+  seen AS (SELECT doc_id, 'document' AS task, {_GEMMA_DOC} || text AS seen, {_GEMMA_DOC} || old AS earlier FROM texts
+      UNION ALL SELECT doc_id, 'query', {_GEMMA_QUERY} || old, {_GEMMA_QUERY} || old FROM texts),
+  fitted AS (SELECT *, CASE WHEN len(w) <= 2045 THEN seen ELSE array_to_string(w[1:2045], ' ') END AS a,
+      CASE WHEN len(v) <= 2045 THEN earlier ELSE array_to_string(v[1:2045], ' ') END AS b
+      FROM (SELECT *, regexp_extract_all(seen, '\\S+') AS w, regexp_extract_all(earlier, '\\S+') AS v FROM seen)),
+  src AS (SELECT doc_id, task, 768 AS native, 2045 AS room, 64 AS width, seen FROM seen),
+  {_hashed("doc_id, task")}, {_digest("doc_id, task")}
+SELECT doc_id, task, CAST(CASE WHEN a <> b THEN 2 ELSE 1 END AS BIGINT) AS n_stored, CAST(1 AS BIGINT) AS n_current,
+  coalesce(round(chk, 5) + 0, 0) AS chk FROM fitted LEFT JOIN digest USING (doc_id, task)""",
     "vector_table": f"""WITH {_MODELS}, {_TURNS},
   src AS (SELECT conv_id, turn, model, build, native, room, least(coalesce(width, 768), native) AS width, {_PROMPTED} text AS seen
       FROM turns JOIN models USING (model) WHERE width IS NULL OR width >= 1),

@@ -11,9 +11,8 @@ from vectorloom.functions.sql import register_sql_functions
 from vectorloom.functions.tokens import tokenize, truncate_tokens
 from vectorloom.functions.validation import effective_dimensions
 from vectorloom.functions.vectors import dot, finalize, l2_normalize
-from vectorloom.operators.batching import assign_batches, batch_plan, chunk_plan
 from vectorloom.operators.pooling import pool_last, pool_mean
-from vectorloom.operators.provenance import canonical_builds, space_guard, stale_keys
+from vectorloom.operators.provenance import canonical_builds, matching, space_guard, stale_keys
 from vectorloom.operators.quality import (
     all_vectors_pass,
     long_count_checks,
@@ -36,6 +35,7 @@ from vectorloom.plans.bulk import (
     encode_request_texts,
     stand_in,
 )
+from vectorloom.plans.faults import FaultyFactory
 from vectorloom.plans.refresh import current_vectors, refresh
 from vectorloom.registry import GEMMA, REGISTRY, TASKS, models_table
 from vectorloom.session import materialize, scratch_path, spread
@@ -63,7 +63,7 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def _checksum(vector: Column) -> Column:
     """A position-weighted sum of the components."""
-    weighted = F.transform(vector, lambda x, i: x * (i % 7 + 1))
+    weighted = F.transform(vector, lambda x, i: x * (i + 1))
     return F.aggregate(weighted, F.lit(0.0), lambda total, x: total + x)
 
 
@@ -179,8 +179,7 @@ def truncate_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             "vec_id",
             F.size("v").cast("long").alias("dims"),
-            F.round(F.element_at("v", 1), 6).alias("x_first"),
-            F.round(F.element_at("v", -1), 6).alias("x_last"),
+            F.array_join(F.transform("v", lambda x: F.round(x * 10_000).cast("long").cast("string")), ",").alias("spelled"),
         )
     )
 
@@ -199,13 +198,14 @@ def multi_width(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def default_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On vectors of 1,024 components (each stored one sixteen times over), so that the
+    default of 768 is a cut."""
     asked = F.when(F.col("vec_id") % 2 == 1, 16).cast("long")
-    v = finalize(F.col("embedding"), effective_dimensions(asked))
+    v = finalize(F.flatten(F.array_repeat("embedding", 16)), effective_dimensions(asked))
     return (
         _table(spark, sf_dir, "embeddings")
-        .select(F.size(v).cast("long").alias("dims"))
-        .groupBy("dims")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .select("vec_id", v.alias("v"))
+        .select("vec_id", F.size("v").cast("long").alias("dims"), F.round(_checksum(F.col("v")), 5).alias("chk"))
     )
 
 
@@ -393,23 +393,6 @@ def _documents_per_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# --- batches --------------------------------------------------------------------------
-
-
-def batches_of_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = only_active(_conversation_requests(spark, sf_dir), "gemma,qwen")
-    sizes = rows.groupBy("request_id", "model", "task").agg(F.count(F.lit(1)).alias("n_texts"))
-    plan = batch_plan(assign_batches(sizes, call_texts=32))
-    return plan.select("model", "task", "batch_id", "n_requests", "n_texts", "first_text")
-
-
-def chunks_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = _document_requests(spark, sf_dir).select(
-        "request_id", "model", "task", F.size("payloads").alias("n_texts")
-    )
-    return chunk_plan(batch_plan(assign_batches(sizes)))
-
-
 def regrouped_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _conversation_requests(spark, sf_dir).withColumn("dimensions", F.lit(8).cast("long"))
     rows = only_active(rows, "gemma,qwen")
@@ -427,7 +410,7 @@ def regrouped_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _faulty_outcomes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = _with_missing_payloads(_conversation_requests(spark, sf_dir))
-    failures, vectors = embed_request_texts(rows, factory=stand_in(fault_rate=FAULT_RATE))
+    failures, vectors = embed_request_texts(rows, factory=FaultyFactory(stand_in(), FAULT_RATE))
     return rows, failures, vectors
 
 
@@ -445,6 +428,40 @@ def failure_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def long_form_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with lines, with an empty list and without a list, in both forms."""
+    kind = F.col("request_id") % 5
+    requests = _document_requests(spark, sf_dir).withColumn(
+        "payloads", F.when(kind == 0, F.array().cast("array<string>")).when(kind != 1, F.col("payloads"))
+    ).withColumn("dimensions", F.lit(8).cast("long"))
+    array_form = embed_requests(requests).select(
+        "request_id", F.lit("array").alias("form"), "status", F.coalesce(F.size("embeddings"), F.lit(0)).alias("n")
+    )
+    failures, vectors = embed_request_texts(request_rows(requests))
+    lists = regroup_responses(vectors, part_texts=64)
+    answered = lists.groupBy("request_id").agg(F.sum(F.size("embeddings")).alias("n"))
+    long_form = answered.select("request_id", F.lit(200).alias("status"), "n").unionByName(
+        failures.select("request_id", "status", F.lit(0).cast("long").alias("n"))
+    )
+    return array_form.unionByName(long_form.withColumn("form", F.lit("long"))).select(
+        F.col("request_id").alias("doc_id"), "form", F.col("status").cast("long").alias("status"),
+        F.greatest(F.col("n"), F.lit(0)).cast("long").alias("n_vectors"),
+    )
+
+
+def absent_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One model does not load: its requests get a 503, those of the other their vectors."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    requests = _turn_requests(turns).where(F.col("model") != "nomodel").withColumn("dimensions", F.lit(4).cast("long"))
+    outcomes = embed_requests(
+        requests, keys=("conv_id", "turn"), factory=FaultyFactory(stand_in(), missing=("qwen",))
+    )
+    return outcomes.select(
+        "conv_id", "turn", F.col("status").cast("long").alias("status"), F.coalesce("detail", F.lit("")).alias("detail"),
+        F.coalesce(F.size("embeddings"), F.lit(0)).cast("long").alias("n_vectors"),
+    )
+
+
 def written_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses as JSON lines, read back: two payloads per request, the item and its half."""
     items = spread(_table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -465,7 +482,7 @@ def written_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = _document_requests(spark, sf_dir)
-    outcomes = embed_requests(requests, factory=stand_in(fault_rate=1))
+    outcomes = embed_requests(requests, factory=FaultyFactory(stand_in(), 1))
     path = scratch_path(spark, "dead-letters")
     write_errors(outcomes, path)
     return spark.read.parquet(path).select(
@@ -494,16 +511,14 @@ def vectors_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def validate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _, vectors = _faulty_outcomes(spark, sf_dir)
-    return long_count_checks(rows, vectors).agg(
-        F.count(F.lit(1)).alias("n_requests"), F.count_if("count_ok").alias("n_ok")
-    )
+    return long_count_checks(rows, vectors).withColumnRenamed("request_id", "conv_id")
 
 
 def model_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, failures, vectors = _faulty_outcomes(spark, sf_dir)
     good = vectors.select("request_id", "model").distinct()
-    outcomes = failures.select("model", "status", "detail").unionByName(
-        good.select("model", F.lit(200).alias("status"), F.lit(None).cast("string").alias("detail"))
+    outcomes = failures.select("model", "status", "kind").unionByName(
+        good.select("model", F.lit(200).alias("status"), F.lit(None).cast("string").alias("kind"))
     )
     return status_rollup(outcomes).select("model", "file", "n_ok", "n_failed", "status", "healthy")
 
@@ -547,30 +562,38 @@ def stale_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("toxic") == 0, GEMMA.default_build).otherwise("other.gguf").alias("build"),
         F.lit(768).alias("dimensions"),
     )
-    texts = docs.withColumnRenamed("doc_id", "id")
-    stale = stale_keys(texts, earlier, model="gemma", build=GEMMA.default_build, dimensions=768)
-    return stale.select(F.col("id").alias("doc_id"), "text_hash")
+    current = earlier.where((F.col("model") == "gemma") & (F.col("build") == GEMMA.default_build))
+    keys = docs.select(F.col("doc_id").alias("id"), F.md5("text").alias("text_hash")).distinct()
+    stale = materialize(stale_keys(keys, current), "stale")
+    texts = docs.select(F.col("doc_id").alias("id"), F.md5("text").alias("text_hash"))
+    return matching(texts, stale, ["id", "text_hash"]).select(F.col("id").alias("doc_id"), "text_hash")
 
 
 def refreshed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vector table made when the documents of low quality still had another text, brought
-    up to date: those have two vectors then, of which one is current."""
+    """One vector table for both tasks, made when the documents of low quality still had
+    another text, then brought up to date for one task: there those have two vectors, of
+    which one is current. Every row is given twice and stored once."""
     docs = _documents(spark, sf_dir, "doc_id", "text").withColumnRenamed("doc_id", "id")
     low = _table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("id"))
     before = docs.join(low.distinct().withColumn("low", F.lit(True)), "id", "left").select(
         "id", F.when(F.col("low"), F.concat("text", F.lit(" old"))).otherwise(F.col("text")).alias("text")
     )
     path = scratch_path(spark, "refreshed")
-    for texts in (before, docs):
-        refresh(texts, path, "gemma", "document", 64)
-    table = spark.read.parquet(path)
+    for texts, task in ((before, "query"), (before, "document"), (docs, "document")):
+        refresh(texts.unionByName(texts), path, "gemma", task, 64, double=True)
+    table = spark.read.parquet(path).where("ok = 1")
     space = {"model": "gemma", "build": GEMMA.default_build, "dimensions": 64}
-    current = current_vectors(docs, table, **space).select("id", F.lit(1).alias("current"))
+    current = current_vectors(before, table, task="query", **space).unionByName(
+        current_vectors(docs, table, task="document", **space)
+    )
+    one = F.lit(1).cast("long")
     return (
-        table.select("id", F.lit(0).alias("current"), F.lit(1).alias("stored"))
-        .unionByName(current.withColumn("stored", F.lit(0)))
-        .groupBy(F.col("id").alias("doc_id"))
-        .agg(F.sum("stored").alias("n_stored"), F.sum("current").alias("n_current"))
+        table.select("id", "task", one.alias("stored"), F.lit(None).cast("double").alias("chk"))
+        .unionByName(
+            current.select("id", "task", F.lit(0).cast("long").alias("stored"), F.round(_checksum(F.col("embedding")), 5).alias("chk"))
+        )
+        .groupBy(F.col("id").alias("doc_id"), "task")
+        .agg(F.sum("stored").alias("n_stored"), F.count("chk").alias("n_current"), F.max("chk").alias("chk"))
     )
 
 
@@ -579,7 +602,7 @@ def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_request_texts(_conversation_requests(spark, sf_dir))
     path = scratch_path(spark, "vectors")
     good = encoded.where(F.col("error").isNull())
-    write_vectors(good.select("request_id", "payload_index", "embedding", "model", "build", "dimensions"), path)
+    write_vectors(good.select("request_id", "payload_index", "embedding", "model", "build", "task", "dimensions"), path)
     return (
         spark.read.parquet(path)
         .groupBy("model", "build", F.col("dimensions").cast("long").alias("dimensions"))
@@ -619,7 +642,7 @@ def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "stream")
     embed_stream_with_dead_letters(
         _turn_requests(_turn_stream(spark, sf_dir)), out, f"{out}/checkpoint",
-        keys=("conv_id", "turn"), factory=stand_in(fault_rate=FAULT_RATE),
+        keys=("conv_id", "turn"), factory=FaultyFactory(stand_in(), FAULT_RATE),
     ).awaitTermination()
     return spark.read.parquet(f"{out}/dead_letters").select(
         "conv_id", "turn", F.col("status").cast("long").alias("status"), "detail"
@@ -648,10 +671,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "truncate_tokens": truncated_tokens,
     "truncation_report": truncation_totals,
     "truncation_log": truncation_log,
-    "batch_plan": batches_of_conversations,
-    "chunk_plan": chunks_of_documents,
     "regroup_responses": regrouped_responses,
     "failure_isolation": failure_isolation,
+    "long_form_requests": long_form_requests,
+    "absent_model": absent_model,
     "written_responses": written_responses,
     "dead_letters": dead_letters,
     "validate_vectors": validate_vectors,

@@ -2,26 +2,43 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vectorloom.encoders import EncoderFactory
 from vectorloom.functions.failures import classify_failure
 from vectorloom.functions.validation import check_payloads
-from vectorloom.operators.provenance import stale_keys, stale_texts, text_hash
-from vectorloom.plans.bulk import embed
+from vectorloom.operators.provenance import matching, stale_keys
+from vectorloom.plans.bulk import embed, model_text
 from vectorloom.registry import DEFAULT_DIMENSIONS, REGISTRY, ModelFacts
 from vectorloom.session import materialize
-from vectorloom.sources.sinks import write_vectors
+from vectorloom.sources.sinks import VECTOR_LAYOUT
 
-_STORED = "id long, text_hash string, embedding array<float>, model string, build string, dimensions int"
+_KEYS = "id long, text_hash binary, run string, model string, build string, task string, dimensions int, ok int"
+_FAILED = f"outcome struct<kind:string,code:int,message:string>, {_KEYS}"
 
 # Texts per core up to which spreading them evenly is worth shuffling them.
 FEW_TEXTS = 10_000
 
 
+def seen_hash(text: Column, facts: ModelFacts, task: str, truncate: bool = True) -> Column:
+    """The fingerprint stored next to a vector: of what the encoder sees, that is of the text
+    with its prompt, cut to the context. An encoder that cuts by its own tokens sees the whole
+    prompted text and the context limit."""
+    seen = model_text(text, facts, task, truncate)
+    return F.unhex(F.md5(seen if truncate else F.concat(F.lit(f"{facts.n_ctx}|"), seen)))
+
+
+def _facts(model: str, registry: Sequence[ModelFacts]) -> ModelFacts:
+    facts = {m.key: m for m in registry}.get(model)
+    if facts is None:
+        raise ValueError(f"unknown model {model!r}")
+    return facts
+
+
 def refresh(
     texts: DataFrame,
     path: str,
@@ -32,71 +49,88 @@ def refresh(
     build: str | None = None,
     factory: EncoderFactory | None = None,
     registry: Sequence[ModelFacts] = REGISTRY,
+    truncate: bool = True,
     **options,
 ) -> DataFrame:
     """Embed the ``(id, text)`` rows without a current vector and append them to ``path``.
 
-    A vector is current if text, model, build and width are unchanged, so after a change of
-    model or build everything is embedded again and nothing is mixed: each (model, build,
-    width) is a folder of its own. Returns ``id, status, detail`` of the texts that failed;
-    they stay stale and are tried again by the next run. A null text is a 422.
+    A vector is current if what the encoder sees of the text, and model, build, task and width
+    are unchanged. So a changed prompt or context limit counts as a change of text, and nothing
+    is mixed: each (model, build, task, width) is a folder of its own. Equal rows are embedded
+    and stored once. Replaced and deleted texts leave their old vectors behind; readers take
+    :func:`current_vectors`, and :func:`compact` writes those alone.
+
+    Every encoded row is written once, vectors to ``ok=1`` and failures to ``ok=0``.
+    Returns ``id, status, detail`` of the texts that failed in this run; they stay stale and
+    are tried again by the next one. A null text is a 422.
     """
-    facts = {m.key: m for m in registry}.get(model)
-    if facts is None:
-        raise ValueError(f"unknown model {model!r}")
+    facts = _facts(model, registry)
     build = build or facts.default_build
     dimensions = min(dimensions, facts.native_dim)
     spark = texts.sparkSession
-    space = {"model": model, "build": build, "dimensions": dimensions}
-    todo = texts.select("id", "text").where(F.col("text").isNotNull())
+    space = {"model": model, "build": build, "task": task, "dimensions": dimensions}
+    hashed = texts.select("id", "text", seen_hash(F.col("text"), facts, task, truncate).alias("text_hash"))
+    hashed = hashed.where(F.col("text").isNotNull())
+    keys = hashed.groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     stored = _stored_space(spark, path, space)
     if stored is None:
-        # The first build of a space embeds everything: nothing to compare or shuffle.
-        todo = todo.withColumn("text_hash", text_hash(F.col("text")))
+        # The first build of a space embeds everything: only repeated rows are looked for.
+        todo, repeated = hashed, materialize(keys.where("n > 1"), "repeated")
     else:
-        stale = materialize(stale_keys(todo, stored, **space), "stale")
-        todo = stale_texts(todo, stale)
+        stale = materialize(stale_keys(keys, stored), "stale")
+        todo, repeated = matching(hashed, stale, ["id", "text_hash"]), stale.where("n > 1")
         cores = spark.sparkContext.defaultParallelism
         if stale.count() <= cores * FEW_TEXTS:
             # Few texts, perhaps all from a few input splits: deal them out evenly. More
             # texts keep every core busy as they are, and are not shuffled.
             todo = todo.repartition(cores)
-    encoded = materialize(
-        embed(todo, "text", model, task, dimensions, keys=["id", "text_hash"],
-              factory=factory, registry=registry, **options),
-        "refreshed",
+    if not repeated.isEmpty():
+        rare = matching(todo, repeated, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"])
+        todo = matching(todo, repeated, ["id", "text_hash"], keep=False).unionByName(rare)
+    run = uuid.uuid4().hex
+    encoded = embed(
+        todo, "text", model, task, dimensions, keys=["id", "text_hash"],
+        factory=factory, registry=registry, truncate=truncate, **options,
     )
-    good = encoded.where(F.col("outcome.kind") == "ok").select("id", "text_hash", "embedding")
-    write_vectors(good.withColumns({c: F.lit(v) for c, v in space.items()}), path)
-    failed = encoded.select("id", classify_failure(F.col("outcome"), F.lit(model)).alias("error"))
+    named = encoded.withColumns({c: F.lit(v) for c, v in space.items()} | {"run": F.lit(run)})
+    good = F.when(F.col("outcome.kind") == "ok", 1).otherwise(0)
+    named.withColumn("ok", good).write.mode("append").partitionBy(*VECTOR_LAYOUT, "ok").parquet(path)
+
+    written = spark.read.schema(_FAILED).parquet(path).where((F.col("run") == run) & (F.col("ok") == 0))
+    failed = written.select("id", classify_failure(F.col("outcome"), F.lit(model)).alias("error"))
     missing = check_payloads(F.array("text"))
     empty = texts.where(F.col("text").isNull()).select("id", missing.alias("error"))
-    return (
-        failed.where(F.col("error").isNotNull())
-        .unionByName(empty)
-        .select("id", "error.status", "error.detail")
-    )
+    return failed.unionByName(empty).select("id", "error.status", "error.detail")
 
 
 def _stored_space(spark: SparkSession, path: str, space: dict[str, object]) -> DataFrame | None:
-    """The vectors of a space, or None if there are none yet."""
+    """Keys of the vectors of a space, or None if there are none yet."""
     try:
-        stored = spark.read.schema(_STORED).parquet(path)
+        stored = spark.read.schema(_KEYS).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    for column, value in space.items():
+    for column, value in (space | {"ok": 1}).items():
         stored = stored.where(F.col(column) == value)
     return None if stored.isEmpty() else stored
 
 
 def current_vectors(
-    texts: DataFrame, vectors: DataFrame, *, model: str, build: str, dimensions: int
-) -> DataFrame:
+    texts: DataFrame, vectors: DataFrame, *, model: str, build: str, task: str, dimensions: int,
+    registry: Sequence[ModelFacts] = REGISTRY, truncate: bool = True,
+) -> DataFrame:
     """The vectors of one space that belong to the texts as they are now."""
-    space = vectors.where(
-        (F.col("model") == model) & (F.col("build") == build) & (F.col("dimensions") == dimensions)
-    )
-    wanted = texts.select("id", text_hash(F.col("text")).alias("text_hash")).distinct()
-    return space.join(wanted, ["id", "text_hash"], "left_semi")
+    space = {"model": model, "build": build, "task": task, "dimensions": dimensions, "ok": 1}
+    for column, value in space.items():
+        vectors = vectors.where(F.col(column) == value)
+    fingerprint = seen_hash(F.col("text"), _facts(model, registry), task, truncate)
+    wanted = texts.select("id", fingerprint.alias("text_hash")).distinct()
+    return vectors.join(wanted, ["id", "text_hash"], "left_semi")
+
+
+def compact(texts: DataFrame, path: str, to: str, **space) -> None:
+    """Write the current vectors of a space to the new table ``to``, without those of replaced
+    and deleted texts and without failures."""
+    vectors = texts.sparkSession.read.parquet(path)
+    current_vectors(texts, vectors, **space).write.partitionBy(*VECTOR_LAYOUT, "ok").parquet(to)

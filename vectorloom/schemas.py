@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# kind is that of the failed call (see OUTCOME), null for requests that made none.
 ERROR = T.StructType(
-    [T.StructField("status", T.IntegerType()), T.StructField("detail", T.StringType())]
+    [
+        T.StructField("status", T.IntegerType()),
+        T.StructField("detail", T.StringType()),
+        T.StructField("kind", T.StringType()),
+    ]
 )
 
 # One row per request, the payloads kept together.
@@ -32,7 +37,7 @@ REQUEST_TEXT = T.StructType(
 )
 
 # What one encoder call reports about a request: kind is ok, unavailable,
-# rejected, tokenize or exception; code is the model's own status if it gave one.
+# rejected, tokenize, exception or missing (a null text, no call); code is the model's own status if it gave one.
 OUTCOME = T.StructType(
     [
         T.StructField("kind", T.StringType()),

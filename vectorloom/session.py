@@ -9,6 +9,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH: list[str] = []
 _PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
 
 
@@ -66,8 +67,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below :func:`shared_dir`."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path below :func:`shared_dir`, removed when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    _SCRATCH.append(path)
+    folder.getFileSystem(conf).deleteOnExit(folder)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the stored intermediate tables of this process, once a job's results are written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _SCRATCH:
+        folder = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        folder.getFileSystem(conf).delete(folder, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

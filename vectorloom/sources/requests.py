@@ -24,8 +24,9 @@ def read_json_requests(spark: SparkSession, path: str, **route: str) -> DataFram
 
 
 def parse_requests(
-    lines: DataFrame, column: str = "value", *, model: str | None = None, task: str | None = None
-) -> DataFrame:
+    lines: DataFrame, column: str = "value", *, model: str | None = None, task: str | None = None,
+    require_id: bool = True,
+) -> DataFrame:
     """Parse one JSON request per row; never fails the job. Works on streams as well.
 
     ``model`` and ``task`` address all lines; without them each line names its own.
@@ -33,7 +34,9 @@ def parse_requests(
     Parsing through a variant keeps what a declared schema would lose: a width that is
     absent from one that is null, and a string from a number. A width may also be given
     as an integral float, a string holding an integer, or a boolean, and is refused
-    otherwise. What cannot be accepted is a 422 in ``body_error``.
+    otherwise. What cannot be accepted is a 422 in ``body_error``, and the text itself is then
+    in ``request_line``, so that it can be found again. A request without an integer ``request_id`` is
+    a 422 unless ``require_id`` is false, for lines that are told apart by other columns.
     """
     value = F.col(column)
     body = F.try_parse_json(value)
@@ -82,9 +85,14 @@ def parse_requests(
             refusal(422, "payloads: every item should be a valid string"),
         )
     )
+    whole = F.trim(member("request_id", "string")).rlike(r"^[+-]?\d+$")
+    request_id = F.coalesce(F.when(whole, member("request_id", "bigint")), "_typed.request_id")
+    if require_id:
+        no_id = refusal(422, "request_id: input should be a valid integer")
+        error = F.coalesce(error, F.when(request_id.isNull(), no_id))
     return parsed.select(
-        *[c for c in lines.columns if c != column],
-        F.coalesce(member("request_id", "bigint"), "_typed.request_id").alias("request_id"),
+        *[c for c in lines.columns if c not in (column, "request_line")],
+        request_id.alias("request_id"),
         address("model", model),
         address("task", task),
         F.coalesce(
@@ -92,4 +100,5 @@ def parse_requests(
         ).alias("payloads"),
         F.coalesce(bounded.cast("long"), "_typed.dimensions").alias("dimensions"),
         error.alias("body_error"),
+        F.when(error.isNotNull(), value).alias("request_line"),
     )

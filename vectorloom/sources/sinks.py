@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from vectorloom.operators.requests import regroup_responses
 from vectorloom.session import materialize
 
-VECTOR_LAYOUT = ("model", "build", "dimensions")
+VECTOR_LAYOUT = ("model", "build", "task", "dimensions")
 
 
 def write_vectors(
     vectors: DataFrame, path: str, *, rebalance: bool = False, mode: str = "append"
 ) -> None:
-    """A Parquet vector table laid out by model, build and width.
+    """A Parquet vector table laid out by model, build, task and width.
 
-    Vectors are comparable only within one model and build, so a reader that asks for one
-    space lists only its folders. ``rebalance`` evens out file sizes with one shuffle when
-    a write mixes many spaces; adaptive execution then splits the largest ones.
+    Vectors are comparable only within one model and build, and a text's document and query
+    vectors differ, so a reader that asks for one space lists only its folders. ``rebalance`` evens out
+    file sizes with one shuffle when a write mixes many spaces; adaptive execution then splits
+    the largest ones.
     """
     missing = [c for c in VECTOR_LAYOUT if c not in vectors.columns]
     if missing:
@@ -32,9 +34,19 @@ def write_responses(outcomes: DataFrame, path: str, *, format: str = "json", mod
     good.write.mode(mode).format(format).save(path)
 
 
+def write_response_parts(
+    vectors: DataFrame, path: str, *, part_texts: int = 1024, format: str = "json", mode: str = "append"
+) -> None:
+    """``request_id, part, embeddings`` of long-form requests that succeeded, empty ones included.
+    The parts of a request, in order, are its answer."""
+    regroup_responses(vectors, part_texts).write.mode(mode).format(format).save(path)
+
+
 def write_errors(outcomes: DataFrame, path: str, *, mode: str = "append") -> None:
-    """``request_id, status, detail`` of the requests that failed."""
-    bad = outcomes.where(F.col("status") != 200).select("request_id", "status", "detail")
+    """``request_id, status, detail`` of the requests that failed, and their ``request_line`` where the
+    outcomes carry one: what could not be read is found again by it."""
+    line = [c for c in ("request_line",) if c in outcomes.columns]
+    bad = outcomes.where(F.col("status") != 200).select("request_id", "status", "detail", *line)
     bad.write.mode(mode).parquet(path)
 
 
@@ -42,7 +54,8 @@ def write_outcomes(
     outcomes: DataFrame, responses: str, errors: str, *, format: str = "json", mode: str = "append"
 ) -> None:
     """Both of the above from one run: outcomes are stored first, so that no text is encoded
-    twice and a request cannot end up in both tables or in neither."""
+    twice. The two tables are written one after the other; a job that fails between them is
+    run again into new folders."""
     stored = materialize(outcomes, "outcomes")
     write_responses(stored, responses, format=format, mode=mode)
     write_errors(stored, errors, mode=mode)

@@ -1,14 +1,16 @@
 """The embedding jobs on Structured Streaming.
 
 Stateless: each micro-batch runs the same transformation as a bulk job. The source limits
-how much a micro-batch takes in; the checkpoint and sinks written once per batch number
+how much a micro-batch takes in; the checkpoint and sinks written once per stream and batch
 make a restarted job give each request exactly one outcome.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -54,25 +56,54 @@ def embed_stream_with_dead_letters(
     *,
     keys: Sequence[str] = ("request_id",),
     every: str | None = None,
+    join_output: bool = False,
     **options,
 ) -> StreamingQuery:
     """Array-form requests to two tables below ``out``: ``outcomes`` and ``dead_letters``.
 
     A micro-batch is encoded and written once. Its failures are then copied from that
     stored result, never from a second run that might turn out differently. Both writes
-    replace the folder of their batch number, so repeating a batch changes nothing.
+    replace the folder of their stream (the id in its checkpoint) and batch number, so
+    repeating a batch changes nothing and streams never touch each other's batches. An ``out``
+    with the batches of another stream is refused unless ``join_output`` is set: after a lost
+    checkpoint a source that is read again is answered again.
     """
 
+    spark = requests.sparkSession
+    known = _stream_id(spark, checkpoint)
+    others = [s for s in _stored_streams(spark, f"{out}/outcomes") if s != known]
+    if others and not join_output:
+        raise ValueError(f"{out} holds the output of other streams ({', '.join(others)}); pass join_output=True to add to it")
+
     def store(batch: DataFrame, number: int) -> None:
-        outcomes = f"{out}/outcomes/batch_id={number}"
+        session = batch.sparkSession
+        place = f"stream_id={_stream_id(session, checkpoint)}/batch_id={number}"
+        outcomes = f"{out}/outcomes/{place}"
         embed_requests(batch, keys=keys, **options).write.mode("overwrite").parquet(outcomes)
-        written = batch.sparkSession.read.parquet(outcomes)
-        failed = written.where(F.col("status") != 200).select(*keys, "status", "detail")
-        failed.write.mode("overwrite").parquet(f"{out}/dead_letters/batch_id={number}")
+        written = session.read.parquet(outcomes)
+        line = [c for c in ("request_line",) if c in written.columns and c not in keys]
+        failed = written.where(F.col("status") != 200).select(*keys, "status", "detail", *line)
+        failed.write.mode("overwrite").parquet(f"{out}/dead_letters/{place}")
 
     return _start(requests.writeStream.foreachBatch(store), checkpoint, every)
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str | None:
+    """The id that Spark keeps in a checkpoint, None if it has not been used yet."""
+    try:
+        return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first().value)["id"]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _stored_streams(spark: SparkSession, path: str) -> list[str]:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/stream_id=*")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(folder)
+    return [f.getPath().getName().partition("=")[2] for f in files or []]
+
+
 def _start(writer: DataStreamWriter, checkpoint: str, every: str | None) -> StreamingQuery:
     """Without ``every`` the query takes what is there and ends."""
     timing = {"processingTime": every} if every else {"availableNow": True}
