@@ -89,3 +89,28 @@ def test_an_id_has_to_be_a_whole_number(spark):
     assert [(out[k].request_id, out[k].status) for k in range(5)] == [(7, 200), (None, 422), (None, 422), (None, 422), (9, 200)]
     assert out[1].detail == "request_id: input should be a valid integer" and out[1].request_line == bodies[1]
     assert out[0].request_line is None
+
+
+def test_long_lines_are_as_strict_as_short_ones(spark):
+    """Every kind of width and payload list, with a short and with a 22 MB payload."""
+    kinds = ["256.5", '"abc"', "null", "true", "0", "256", None]
+    rows = [(k, f"{d}" if d else None, "", "") for k, d in enumerate(kinds)]
+    rows += [(len(rows), "256", "1, ", ""), (len(rows) + 1, "256", "", "cut")]
+    frame = spark.createDataFrame(rows, "k int, width string, before string, cut string").crossJoin(
+        spark.createDataFrame([(1,), (22_000_000,)], "n int")
+    )
+    width = F.coalesce(F.concat(F.lit(', "dimensions": '), "width"), F.lit(""))
+    line = F.concat(
+        F.lit('{"request_id": 1, "model": "gemma", "task": "query", "payloads": ['), "before", F.lit('"'),
+        F.expr("repeat('x', n)"), F.lit('"]'), width, F.when(F.col("cut") == "", "}").otherwise(""),
+    )
+    parsed = parse_requests(frame.select("k", "n", line.alias("value")))
+    checked = validate_requests(parsed, body_error=F.col("body_error")).select(
+        "k", "n", "error.status", "error.detail", "dimensions", F.length(F.col("payloads")[0]).alias("length")
+    )
+    found = {(r.k, r.n): r for r in checked.collect()}
+    for k, *_ in rows:
+        short, long = found[k, 1], found[k, 22_000_000]
+        assert (short.status, short.detail, short.dimensions) == (long.status, long.detail, long.dimensions), k
+        assert (short.length, long.length) in ((1, 22_000_000), (None, None))
+    assert [found[k, 22_000_000].status for k, *_ in rows] == [422, 422, 422, None, 422, None, None, 422, 422]

@@ -7,10 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from vectorloom.functions.validation import error as refusal
 from vectorloom.schemas import REQUEST
 
-# A variant value is limited in size; longer lines are read by the typed parser.
-VARIANT_BYTES = 16 * 1024 * 1024
-_UNLIMITED = {"maxStringLen": str(2**31 - 1)}
-_TYPED = "request_id bigint, model string, task string, payloads array<string>, dimensions bigint"
+# Strings of any length; the parser's own default refuses those over 20 MB.
+_ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
@@ -31,7 +29,7 @@ def parse_requests(
 
     ``model`` and ``task`` address all lines; without them each line names its own.
 
-    Parsing through a variant keeps what a declared schema would lose: a width that is
+    One parser reads lines of every length. Parsing through a variant keeps what a declared schema would lose: a width that is
     absent from one that is null, and a string from a number. A width may also be given
     as an integral float, a string holding an integer, or a boolean, and is refused
     otherwise. What cannot be accepted is a 422 in ``body_error``, and the text itself is then
@@ -39,17 +37,17 @@ def parse_requests(
     a 422 unless ``require_id`` is false, for lines that are told apart by other columns.
     """
     value = F.col(column)
-    body = F.try_parse_json(value)
-    huge = F.octet_length(value) > VARIANT_BYTES
-    typed = F.when(huge & F.col("_body").isNull(), F.from_json(value, _TYPED, _UNLIMITED))
-    parsed = lines.withColumn("_body", body).withColumn("_typed", typed)
+    # As the only item of an array: an option then lifts the length limit, and anything behind
+    # the value, or a second one, makes the line invalid.
+    items = F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<variant>", _ANY_LENGTH)
+    parsed = lines.withColumn("_items", items)
+    parsed = parsed.withColumn("_body", F.when(F.size("_items") == 1, F.get("_items", F.lit(0))))
 
     def member(name: str, kind: str) -> Column:
         return F.try_variant_get(F.col("_body"), f"$.{name}", kind)
 
     def address(name: str, given: str | None) -> Column:
-        own = F.coalesce(member(name, "string"), f"_typed.{name}")
-        return (own if given is None else F.lit(given)).alias(name)
+        return (member(name, "string") if given is None else F.lit(given)).alias(name)
 
     payloads, width = member("payloads", "variant"), member("dimensions", "variant")
     parsed = parsed.withColumns(
@@ -69,10 +67,8 @@ def parse_requests(
     # Wider than any vector is the same as the widest, so the exact value does not matter.
     bounded = F.when(number.isNotNull(), F.greatest(F.least(number, F.lit(1e15)), F.lit(-1e15)))
     integral = bounded.isNotNull() & (bounded == F.floor(bounded))
-    broken = F.col("_body").isNull() & F.col("_typed").isNull()
-    not_object = F.col("_typed").isNull() & ~F.startswith(
-        F.schema_of_variant(F.col("_body")), F.lit("OBJECT")
-    )
+    broken = F.col("_body").isNull()
+    not_object = ~F.startswith(F.schema_of_variant(F.col("_body")), F.lit("OBJECT"))
     error = (
         F.when(broken, refusal(422, "body: JSON decode error"))
         .when(not_object, refusal(422, "body: input should be a valid dictionary"))
@@ -86,7 +82,7 @@ def parse_requests(
         )
     )
     whole = F.trim(member("request_id", "string")).rlike(r"^[+-]?\d+$")
-    request_id = F.coalesce(F.when(whole, member("request_id", "bigint")), "_typed.request_id")
+    request_id = F.when(whole, member("request_id", "bigint"))
     if require_id:
         no_id = refusal(422, "request_id: input should be a valid integer")
         error = F.coalesce(error, F.when(request_id.isNull(), no_id))
@@ -95,10 +91,8 @@ def parse_requests(
         request_id.alias("request_id"),
         address("model", model),
         address("task", task),
-        F.coalesce(
-            F.when(listed, member("payloads", "array<string>")), "_typed.payloads"
-        ).alias("payloads"),
-        F.coalesce(bounded.cast("long"), "_typed.dimensions").alias("dimensions"),
+        F.when(listed, member("payloads", "array<string>")).alias("payloads"),
+        bounded.cast("long").alias("dimensions"),
         error.alias("body_error"),
         F.when(error.isNotNull(), value).alias("request_line"),
     )
