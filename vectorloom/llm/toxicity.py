@@ -78,7 +78,7 @@ def fit_machine(terms: list[np.ndarray], labels: np.ndarray, fit: Fit = Fit()) -
     n = len(terms)
     share = (float(labels.sum()) + 0.5) / (n + 1) if n else 0.5
     bias = float(np.log(share / (1 - share)))
-    slots, seen = np.unique(np.concatenate(terms) if n else np.empty(0, np.int64), return_counts=True)
+    slots, seen = np.unique(np.concatenate(terms) if n else np.empty(0, np.int32), return_counts=True)
     slots = slots[seen >= fit.least_rows]
     random = np.random.default_rng(fit.seed)
     weights = np.zeros(len(slots))
@@ -88,7 +88,7 @@ def fit_machine(terms: list[np.ndarray], labels: np.ndarray, fit: Fit = Fit()) -
     places = []
     for t in terms:
         at = np.minimum(np.searchsorted(slots, t), len(slots) - 1)
-        places.append(at[slots[at] == t])
+        places.append(at[slots[at] == t].astype(np.int32))
     gained_w, gained_v, gained_b = np.full(len(slots), 1e-4), np.full(factors.shape, 1e-4), 1e-4
     for _ in range(fit.epochs):
         order = random.permutation(n)
@@ -155,9 +155,9 @@ def learn(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(chosen), "id").select("id", "label", "text")
     packed = arrow_stage(rows, _pack_terms, "id long, label int, terms binary")
-    found = packed.groupBy("id").agg(F.min(F.struct("terms", "label")).alias("r")).orderBy("id").select("r.*").collect()
-    terms = [np.frombuffer(r.terms, "<i4").astype(np.int64) for r in found]
-    return fit_machine(terms, np.array([float(r.label > 0) for r in found]), fit)
+    once = packed.groupBy("id").agg(F.min(F.struct("terms", "label")).alias("r")).orderBy("id").select("r.*").toArrow()
+    terms = [np.frombuffer(t.as_buffer(), "<i4") for t in once["terms"]]
+    return fit_machine(terms, (once["label"].to_numpy() > 0).astype(float), fit)
 
 
 def _score(machine: Machine, kinds: str):
