@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vectorloom.plans.bulk import embed_requests, encode_request_texts
 from vectorloom.schemas import REQUEST, REQUEST_TEXT
-from vectorloom.session import scratch_path, shared_dir
+from vectorloom.session import drop_scratch, materialize, scratch_path, shared_dir
 from vectorloom.sources.requests import parse_requests
 from vectorloom.sources.sinks import write_outcomes, write_vectors
 from vectorloom.sources.texts import read_texts
@@ -120,7 +120,16 @@ def test_stream_of_json_lines_with_dead_letters(spark, tmp_path):
 
 
 def test_scratch_is_below_the_shared_folder(spark):
-    assert scratch_path(spark, "x").startswith(shared_dir(spark).rstrip("/") + "/x-")
+    path = scratch_path(spark, "x")
+    assert path.startswith(shared_dir(spark).rstrip("/") + "/vectorloom-") and "/x-" in path
+
+
+def test_scratch_goes_when_a_job_ends(spark):
+    stored = materialize(spark.range(3), "gone")
+    folder = stored.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert os.path.isdir(folder)
+    drop_scratch(spark)
+    assert not os.path.isdir(folder)
 
 
 def test_a_cluster_without_a_shared_folder_is_an_error():

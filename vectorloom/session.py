@@ -67,12 +67,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below :func:`shared_dir`, removed when the application ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(path)
+    """A new, unused path below :func:`shared_dir`, in a folder of this application that is
+    removed when the driver's JVM ends."""
+    sc = spark.sparkContext
+    home = getattr(sc, "_vectorloom_scratch", None)
+    if home is None:
+        home = f"{shared_dir(spark).rstrip('/')}/vectorloom-{sc.applicationId}-{uuid.uuid4().hex[:8]}"
+        folder = sc._jvm.org.apache.hadoop.fs.Path(home)
+        files = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)  # only what exists can be marked
+        sc._vectorloom_scratch = home
+    path = f"{home}/{label}-{uuid.uuid4().hex}"
     _SCRATCH.append(path)
-    folder.getFileSystem(conf).deleteOnExit(folder)
     return path
 
 
