@@ -31,6 +31,24 @@ def test_pairs_are_learned():
     assert ((machine.scores(rows[3000:]) >= 0.5) == (labels[3000:] == 1)).mean() > 0.9
 
 
+def test_pairs_are_learned_as_in_production():
+    random = np.random.default_rng(3)
+    rows, labels = [], []
+    for _ in range(13_000):
+        words = set((np.minimum(random.zipf(1.3, 320), 3000) + 1000).tolist())
+        kind = random.random()  # a tenth is toxic: with both words or with neither, which no linear weights can tell
+        one, other = kind < 0.45 or kind >= 0.95, 0.45 <= kind < 0.9 or kind >= 0.95
+        words |= ({100} if one else set()) | ({200} if other else set())
+        rows.append(np.array(sorted(words)))
+        labels.append(float(one == other))
+    labels = np.array(labels)
+    machine = fit_machine(rows[:12_000], labels[:12_000], Fit())
+    found, toxic = machine.scores(rows[12_000:]) >= 0.5, labels[12_000:] == 1
+    assert (found & toxic).sum() >= 0.4 * toxic.sum() and (found == toxic).mean() > 0.92
+    place = np.searchsorted(machine.slots, [100, 200])
+    assert machine.slots[place].tolist() == [100, 200] and machine.factors[place[0]] @ machine.factors[place[1]] > 0.5
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     rows = op8_toxicity(spark, folder).collect()

@@ -22,14 +22,23 @@ FOLDS = 5  # rows whose crc32(id) is a multiple of it are held out
 
 @dataclass(frozen=True)
 class Fit:
-    """How the machine is fitted: ``rank`` factors, proximal AdaGrad with an L1 penalty."""
+    """How the machine is fitted: ``rank`` factors, proximal AdaGrad.
+
+    The linear weights have an L1 penalty and are learned alone for ``linear_epochs``, so that
+    the factors start on what single terms leave unexplained. The factors have an L2 penalty: it
+    shrinks like their slopes do, by a share, so pairs that tell outgrow it from any start,
+    where an L1 penalty above the first slopes would set all of them to zero for good.
+    """
 
     rank: int = 6
-    epochs: int = 8
+    epochs: int = 16
+    linear_epochs: int = 4
     batch: int = 128
     rate: float = 0.3
     l1: float = 4e-4
-    l1_factors: float = 1e-2
+    rate_factors: float = 0.05
+    l1_factors: float = 0.0
+    l2_factors: float = 1e-2
     least_rows: int = 8  # terms seen in fewer rows have no weight
     seed: int = 7
 
@@ -56,11 +65,14 @@ def _chance(margin: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(margin, -40, 40)))
 
 
-def _margins(rows, at, n, bias, weights, factors):
-    """``bias + sum w_i + sum_{i<j} <v_i, v_j>`` per row, and the factor sums per row."""
-    sums = np.stack([np.bincount(rows, factors[at, f], n) for f in range(factors.shape[1])], axis=1)
-    squares = np.bincount(rows, np.square(factors[at]).sum(axis=1), n)
+def _margins(rows, at, n, bias, weights, factors, centre=0.0):
+    """``bias + sum w_i + sum_{i<j} <v_i, v_j>`` per row, and the factor sums per row; with a
+    ``centre`` that is taken off the sums."""
     linear = np.bincount(rows, weights[at], n)
+    if not factors.shape[1]:
+        return bias + linear, factors
+    sums = np.stack([np.bincount(rows, factors[at, f], n) for f in range(factors.shape[1])], axis=1) - centre
+    squares = np.bincount(rows, np.square(factors[at]).sum(axis=1), n)
     return bias + linear + 0.5 * (np.square(sums).sum(axis=1) - squares), sums
 
 
@@ -89,28 +101,36 @@ def fit_machine(terms: list[np.ndarray], labels: np.ndarray, fit: Fit = Fit()) -
     for t in terms:
         at = np.minimum(np.searchsorted(slots, t), len(slots) - 1)
         places.append(at[slots[at] == t].astype(np.int32))
-    gained_w, gained_v, gained_b = np.full(len(slots), 1e-4), np.full(factors.shape, 1e-4), 1e-4
-    for _ in range(fit.epochs):
+    gained_w, gained_v, gained_b = np.full(len(slots), 1e-4), np.full(factors.shape, 1e-2), 1e-4
+    shares = np.bincount(np.concatenate(places), minlength=len(slots)) / n
+    none = factors[:, :0]
+    for epoch in range(fit.epochs):
+        known = none if epoch < fit.linear_epochs else factors
         order = random.permutation(n)
         for start in range(0, n, fit.batch):
             chosen = order[start : start + fit.batch]
             own = [places[i] for i in chosen]
             rows = np.repeat(np.arange(len(own)), [len(p) for p in own])
             at, near = np.unique(np.concatenate(own), return_inverse=True)
-            w, v = weights[at], factors[at]
-            margin, sums = _margins(rows, near, len(own), bias, w, v)
+            w, v = weights[at], known[at]
+            # around the mean sum, or words of nearly every row would drown what pairs tell
+            margin, sums = _margins(rows, near, len(own), bias, w, v, shares @ known)
             error = (_chance(margin) - labels[chosen]) / len(own)
             slope_w = np.bincount(near, error[rows], len(at))
-            slope_v = np.stack(
-                [np.bincount(near, error[rows] * (sums[rows, f] - v[near, f]), len(at)) for f in range(fit.rank)], axis=1
-            )
             gained_w[at] += slope_w**2
-            gained_v[at] += slope_v**2
-            step_w, step_v = fit.rate / np.sqrt(gained_w[at]), fit.rate / 4 / np.sqrt(gained_v[at])
+            step_w = fit.rate / np.sqrt(gained_w[at])
             weights[at] = _shrunk(w - step_w * slope_w, step_w * fit.l1)
-            factors[at] = _shrunk(v - step_v * slope_v, step_v * fit.l1_factors)
+            if known is factors:
+                slope_v = np.stack(
+                    [np.bincount(near, error[rows] * (sums[rows, f] - v[near, f]), len(at)) for f in range(fit.rank)], axis=1
+                )
+                gained_v[at] += slope_v**2
+                step_v = fit.rate_factors / np.sqrt(gained_v[at])
+                factors[at] = _shrunk(v - step_v * slope_v, step_v * fit.l1_factors) / (1 + step_v * fit.l2_factors)
             gained_b += error.sum() ** 2
             bias -= fit.rate / np.sqrt(gained_b) * error.sum()
+    centre = shares @ factors  # |s - c|^2 / 2 = |s|^2 / 2 - <s, c> + |c|^2 / 2
+    weights, bias = weights - factors @ centre, bias + 0.5 * float(centre @ centre)
     used = (weights != 0) | (factors != 0).any(axis=1)
     return Machine(bias, slots[used], weights[used], factors[used])
 
