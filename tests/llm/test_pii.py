@@ -115,3 +115,38 @@ def test_documents_keep_nothing_that_was_found(spark, small):
 @pytest.mark.parametrize("value", ["1850-01-01", "2024-13-01", "256.1.1.1", "01.2.3.4", "000-12-3456", "0000000000000000"])
 def test_invalid_values_stay(spark, value):
     assert run(spark, [value])[0] == (value, {})
+
+
+def iban_rest(text):
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
+
+
+def iban(country, account):
+    return f"{country}{98 - iban_rest(country + '00' + account):02d}{account}"
+
+
+def shape(text):
+    return re.sub("[A-Z]", "A", re.sub("[0-9]", "0", text))
+
+
+def test_ibans_move_whatever_they_end_in(spark):
+    accounts = [
+        "MT MALT011000012345MTLCAST001S", "BR 00360305000010009795493C1", "MU BOMM0101101030300200000MUR", "GB NWBK60161331926819",
+        "PL 109010140000071219812874", "LC HEMMABCDEFGHIJKLMNOPQRSTUVWX", "SC SSCB11010000000000001497USD", "NO 86011117947",
+    ]
+    old = [iban(*a.split()) for a in accounts]
+    spaced = [" ".join(o[k : k + 4] for k in range(0, len(o), 4)) for o in old]
+    found = run(spark, [*old, *spaced])
+    for o, (new, counts), s, (other, _) in zip(old, found, spaced, found[len(old) :]):
+        assert counts == {"iban": 1} and new == other.replace(" ", "") and shape(other) == shape(s)
+        assert new[:2] == o[:2] and iban_rest(new) == 1 and shape(new) == shape(o)
+        assert sum(a != b for a, b in zip(o[4:], new[4:])) > len(o[4:]) // 2
+
+
+def test_words_behind_an_iban_are_not_its_end(spark):
+    words = ["BIC X", "EUR", "USD 12", "CODE", "BIC ABCD", "4711"]
+    ibans = ["ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "BE68539007547034"]
+    cases = [(o, w) for o in ibans for w in words]
+    for (old, word), (new, counts) in zip(cases, run(spark, [f"{o} {w}" for o, w in cases])):
+        assert counts == {"iban": 1} and new.endswith(f" {word}") and old not in new
+        assert iban_rest(new.removesuffix(f" {word}").replace(" ", "")) == 1

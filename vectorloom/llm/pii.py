@@ -10,10 +10,29 @@ from vectorloom.functions.binding import let
 from vectorloom.llm.common import fresh_name, table
 
 ROUNDS = 10
+# Lengths of IBANs by country. Others are taken by their shape alone.
+IBAN_LENGTHS: dict[int, str] = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """A country's own length first, so that a word behind the number is not taken for its end."""
+    own = [
+        f"(?:{'|'.join(names.split())})" + r"\d{2}" + f"(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+        for n, names in IBAN_LENGTHS.items()
+    ]
+    own.append(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
+    return r"(?<![A-Za-z0-9])(?=[A-Z]{2}\d{2})(?:" + "|".join(own) + ")(?![A-Za-z0-9])"
+
+
 # What each kind looks like. Lookarounds keep numbers inside longer words or numbers out.
 KINDS: dict[str, str] = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": _iban_pattern(),
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w.+-])(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)",
     "date": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])|(?<![\w/])\d{1,2}/\d{1,2}/\d{4}(?![\w/])|(?<![\w.])\d{1,2}\.\d{1,2}\.\d{4}(?!\w|\.\d)",
@@ -58,7 +77,7 @@ def _power(exponent: Column) -> Column:
 
 
 def permute_digits(key: str, kind: str, digits: Column) -> Column:
-    """A string of 2 to 18 digits to one of the same length; one digit and none stay."""
+    """A string of 2 to 36 digits to one of the same length; one digit and none stay."""
 
     def of(text: Column) -> Column:
         size = F.length(text)
@@ -76,15 +95,46 @@ def permute_digits(key: str, kind: str, digits: Column) -> Column:
     return let(digits, of)
 
 
-def _refill(shape: Column, digits: Column) -> Column:
-    """``shape`` with its digits, in order, replaced by ``digits``."""
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("used"))
+def permute_letters(key: str, kind: str, letters: Column) -> Column:
+    """A string of up to 20 letters A-Z to one of the same length."""
+
+    def number(text: Column) -> Column:
+        each = F.filter(F.split(text, ""), lambda c: c != "")
+        return F.aggregate(each, F.lit(0).cast("long"), lambda n, c: n * 26 + F.ascii(c) - 65)
+
+    def spelled(n: Column, size: Column) -> Column:
+        start = F.struct(n.cast("long").alias("n"), F.lit("").alias("text"))
+        step = lambda s, _: F.struct(
+            F.floor(s["n"] / 26).cast("long").alias("n"), F.concat(F.char(s["n"] % 26 + 65), s["text"]).alias("text")
+        )
+        return F.when(size < 1, "").otherwise(F.aggregate(F.sequence(F.lit(1), size), start, step, lambda s: s["text"]))
+
+    powers = F.array(*[F.lit(26**k).cast("long") for k in range(11)])
+
+    def of(text: Column) -> Column:
+        half = F.floor(F.length(text) / 2).cast("int")
+        rest = F.length(text) - half
+        left, right = F.substring(text, F.lit(1), half), F.substring(text, half + 1, rest)
+        state = feistel(key, kind, number(left), number(right), F.get(powers, half), F.get(powers, rest))
+        return F.when(F.length(text) < 1, text).otherwise(let(state, lambda s: F.concat(spelled(s["a"], half), spelled(s["b"], rest))))
+
+    return let(letters, of)
+
+
+def _refill(shape: Column, digits: Column, letters: Column | None = None) -> Column:
+    """``shape`` with its digits, in order, replaced by ``digits``, and its letters A-Z by ``letters`` if given."""
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("used"), F.lit(0).alias("spelled"))
 
     def step(state: Column, c: Column) -> Column:
         is_digit = c.between("0", "9") & (F.length(c) == 1)
+        put = F.when(is_digit, F.substring(digits, state["used"] + 1, F.lit(1)))
+        is_letter = c.between("A", "Z") & (F.length(c) == 1)
+        if letters is not None:
+            put = put.when(is_letter, F.substring(letters, state["spelled"] + 1, F.lit(1)))
         return F.struct(
-            F.concat(state["text"], F.when(is_digit, F.substring(digits, state["used"] + 1, F.lit(1))).otherwise(c)).alias("text"),
+            F.concat(state["text"], put.otherwise(c)).alias("text"),
             (state["used"] + F.when(is_digit, 1).otherwise(0)).alias("used"),
+            (state["spelled"] + F.when(is_letter, 1).otherwise(0)).alias("spelled"),
         )
 
     return F.aggregate(F.split(shape, ""), start, step, lambda s: s["text"])
@@ -128,15 +178,25 @@ def _iban_rest(text: Column) -> Column:
 
 
 def _iban(key: str, found: Column) -> Column:
-    """Country, letters and length stay; the last digits (up to 18) are permuted and the check digits follow."""
+    """Country and format stay; all digits and all letters behind the check digits are permuted
+    among themselves and the check digits follow."""
 
     def moved(text: Column) -> Column:
-        tail = F.regexp_extract(text, r"(\d{1,18})$", 1)
-        account = F.concat(
-            F.substring(text, F.lit(5), F.length(text) - 4 - F.length(tail)), permute_digits(key, "iban", tail)
-        )
-        check = let(account, lambda a: F.concat(F.lpad((98 - _iban_rest(F.concat(F.substring(text, 1, 2), F.lit("00"), a))).cast("string"), 2, "0"), a))
-        return F.when(_iban_rest(text) == 1, _refill(found, _digits(check)))
+        country, body = F.substring(text, 1, 2), F.substring(text, F.lit(5), F.length(text) - 4)
+        letters = F.regexp_replace(body, "[^A-Z]", "")
+        # a lone digit is shifted by keyed noise; 30 letters are the most, in two pieces
+        lone = lambda d: ((d.cast("long") + _noise(key, "iban digit", F.lit(1), F.lit(0), F.lit(10))) % 10).cast("string")
+        digits = let(_digits(body), lambda d: F.when(F.length(d) == 1, lone(d)).otherwise(permute_digits(key, "iban", d)))
+        pieces = F.array(F.substring(letters, 1, 20), F.substring(letters, 21, 20))
+        spelled = F.array_join(F.transform(pieces, lambda x: permute_letters(key, "iban letters", x)), "")
+
+        def whole(new: Column) -> Column:
+            account = _refill(body, new["digits"], new["letters"])
+            check = F.lpad((98 - _iban_rest(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0")
+            return _refill(found, F.concat(check, new["digits"]), F.concat(country, new["letters"]))
+
+        new = let(F.struct(digits.alias("digits"), spelled.alias("letters")), whole)
+        return F.when(_iban_rest(text) == 1, new)
 
     return let(F.replace(found, F.lit(" "), F.lit("")), moved)
 
