@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vectorloom.llm.align import op13_align
 from vectorloom.llm.bpe import op3_bpe
 from vectorloom.llm.decontaminate import OP2_SQL, op2_decontaminate
 from vectorloom.llm.lines import OP5_SQL, op5_lines
@@ -15,6 +16,7 @@ from vectorloom.llm.pii import op1_pii
 from vectorloom.llm.secrets import op7_secrets
 from vectorloom.llm.simhash import op6_simhash
 from vectorloom.llm.toxicity import op8_toxicity
+from vectorloom.llm.variants import OP11_SQL, op11_variants
 from vectorloom.llm.warc import OP10_SQL, op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,10 +30,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_neighbours": op9_neighbours,
     "op10_warc": op10_warc,
+    "op11_variants": op11_variants,
+    "op13_align": op13_align,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
     "op5_lines": OP5_SQL,
     "op10_warc": OP10_SQL,
+    "op11_variants": OP11_SQL,
 }
