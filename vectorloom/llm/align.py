@@ -4,21 +4,23 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectorloom.llm.bpe import Codec, tokenizer_path
+from vectorloom.llm.bpe import _OTHER, Codec, tokenizer_path
 from vectorloom.llm.common import arrow_schema, arrow_stage, table
 from vectorloom.session import materialize
 
 BATCH_BYTES = 1 << 20  # of texts that are aligned at a time; a longer text is one batch
-UNITS = 200_000  # units of text whose ids a task remembers
+UNITS = 300_000  # units of text whose ids a task remembers, some 80 MB
 HOT = 1 << 18  # most frequent pairs, whose counts every task gets (4.5 MB at any size)
 COUNTED = 2_000_000  # distinct pairs that a task counts before it passes them on
 SPACE = "▁"
@@ -34,20 +36,42 @@ def piece_path() -> str:
 
 
 @dataclass(frozen=True)
-class Unit:
-    """A piece of text as both tokenizers see it, with the byte length of each token."""
+class Tokens:
+    """Ids of a batch of documents in order, with the document (from 0) of each."""
 
+    n_docs: int
     a: np.ndarray
     b: np.ndarray
-    a_bytes: np.ndarray
-    b_bytes: np.ndarray
-    same: bool  # both give the text's own bytes
+    doc_a: np.ndarray
+    doc_b: np.ndarray
+
+
+class Ragged:
+    """Lists of ids that are taken by number."""
+
+    def __init__(self):
+        self.flat, self.ends = array("q"), array("q", [0])
+
+    def add(self, lists: list[list[int]]) -> None:
+        self.flat.extend(chain.from_iterable(lists))
+        self.ends.extend((np.cumsum([len(x) for x in lists]) + self.ends[-1]).tolist())
+
+    def cut(self, n: int) -> None:
+        del self.ends[n + 1 :], self.flat[self.ends[n] :]
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of these numbers one after the other, and the length of each."""
+        flat, ends = np.array(self.flat, np.int64), np.array(self.ends, np.int64)
+        begins, sizes = ends[numbers], ends[numbers + 1] - ends[numbers]
+        shift = begins - (np.cumsum(sizes) - sizes)
+        return flat[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))], sizes
 
 
 class Tokenizers:
-    """Both tokenizers, asked for units of text; lately seen units are remembered."""
+    """Both tokenizers, asked for units of text. Units are remembered up to a number; those
+    met when that is reached are encoded batch by batch."""
 
-    def __init__(self, byte_path: str, piece_path_: str):
+    def __init__(self, byte_path: str, piece_path_: str, remembered: int = UNITS):
         self.codec = Codec(byte_path)
         self.codec.library.encode_special_tokens = True  # their strings are ordinary text
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path_)
@@ -59,57 +83,91 @@ class Tokenizers:
         self.size_a, self.size_b = len(self.codec.pieces), len(names)
         self.a_length = np.array([len(p) for p in self.codec.pieces])
         self.b_length = np.array([len(p) for p in self.b_pieces])
-        self.numbers = [str(i) for i in range(max(self.size_a, self.size_b))]
+        numbers = [str(i) for i in range(max(self.size_a, self.size_b))]
+        # Decimal ids followed by the mark between tokens, between A and B, and between groups.
+        self.marked = [n + mark for mark in (",", "|", ";") for n in numbers]
         # Units are whole texts if a piece could join what a cut parts.
         inner = any(SPACE in name.lstrip(SPACE) for name in names)
         self.cuts = None if inner else _SPACES if any("\n" in name for name in names) else _CUTS
-        self.known: dict[str, Unit | None] = {}
-
-    def _unit(self, text: str) -> Unit | None:
-        """``text`` begins with the space that B adds, or with a line feed (None if B joins that)."""
-        a = np.array(self.codec.segment(text), np.int64)
-        if text[0] == " ":
-            b = self.pieces.encode(text[1:])
-        else:
-            b = self.pieces.encode(text)
-            if not b or self.b_pieces[b[0]] != b" ":
-                return None
-            b = b[1:]
-        data = text.encode()
-        same = b"".join(map(self.b_pieces.__getitem__, b)) == data == self.codec.decode(a)
-        b = np.array(b, np.int64)
-        return Unit(a, b, self.a_length[a], self.b_length[b], same)
-
-    def units(self, text: str) -> list[Unit]:
-        """``text`` with a space before it, in units, so that ids of units are ids of the text."""
-        whole = " " + text
-        if self.cuts is None:
-            return [self._unit(whole)]
-        found: list[Unit] = []
-        for part in self.cuts.split(whole):
-            unit = self.known.get(part, self)
-            if unit is self:
-                unit = self._unit(part)
-                if len(part) <= 64:
-                    if len(self.known) >= UNITS:
-                        self.known.clear()
-                    self.known[part] = unit
-            if unit is None:
-                return [self._unit(whole)]
-            found.append(unit)
-        return found
-
-    def tokens(self, text: str | None) -> list[Unit]:
-        """The units of a text, none if it is null or empty or its tokens' bytes differ from it."""
-        if not text:
-            return []
-        units = self.units(text)
-        if not all(u.same for u in units):
-            data = (" " + text).encode()
-            joined = (b"".join(self.b_pieces[i] for u in units for i in u.b), self.codec.decode(i for u in units for i in u.a))
-            if joined != (data, data):
-                return []
-        return units
+        self.remembered = remembered
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.a, self.b = Ragged(), Ragged()
+        self.same, self.apart = bytearray(), bytearray()
+
+    def _learn(self, texts: list[str]) -> None:
+        """Encode units. Each begins with the space that B adds, or with a line feed, which B
+        has to keep apart from that space; a unit where it does not is marked."""
+        with_space = [t[0] == " " for t in texts]
+        found = self.pieces.encode([t[1:] if s else t for t, s in zip(texts, with_space)], num_threads=1)
+        apart = [s or bool(b) and self.b_pieces[b[0]] == b" " for s, b in zip(with_space, found)]
+        found_b = [b if s else b[1:] for s, b in zip(with_space, found)]
+        found_a = self._segments(texts)
+        data = [t.encode() for t in texts]
+        same = b"\1" * len(texts)
+        if not self._gives(found_a, found_b, b"".join(data)):
+            same = bytes(self._gives([a], [b], d) for a, b, d in zip(found_a, found_b, data))
+        self.number.update(zip(texts, range(len(self.same), len(self.same) + len(texts))))
+        self.same += same
+        self.apart += bytes(apart)
+        self.a.add(found_a)
+        self.b.add(found_b)
+
+    def _segments(self, texts: list[str]) -> list[list[int]]:
+        merged = self.codec.merged
+        if merged is None or _OTHER.search("".join(texts)):
+            return list(map(self.codec.segment, texts))
+        return list(map(merged.encode_ordinary, texts))
+
+    def _gives(self, a: Iterable[Iterable[int]], b: Iterable[Iterable[int]], data: bytes) -> bool:
+        """Whether the ids of both give these bytes."""
+        return b"".join(map(self.b_pieces.__getitem__, chain.from_iterable(b))) == data == self.codec.decode(chain.from_iterable(a))
+
+    def _numbers(self, units: list[str]) -> np.ndarray:
+        new = [u for u in dict.fromkeys(units) if u not in self.number]
+        if new:
+            self._learn(new)
+        return np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
+
+    def encode(self, texts: list[str | None]) -> Tokens:
+        """The tokens of each text after a space; none if it is null or empty or the bytes of its
+        tokens are not its own."""
+        whole = [" " + t if t else None for t in texts]
+        split = self.cuts.split if self.cuts else lambda t: [t]
+        parts = [split(t) if t else [] for t in whole]
+        kept = len(self.same)
+        numbers = self._numbers([u for p in parts for u in p])
+        edges = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        apart, same = np.frombuffer(self.apart, np.uint8).copy(), np.frombuffer(self.same, np.uint8).copy()
+        by_doc = [numbers[x:y] for x, y in zip(edges, edges[1:])]
+        joined = self._docs_with(numbers, edges, apart)
+        for k in joined:
+            by_doc[k] = self._numbers([whole[k]])
+        for k in {*joined, *self._docs_with(numbers, edges, same)}:
+            if not self._gives([self.a.take(by_doc[k])[0]], [self.b.take(by_doc[k])[0]], whole[k].encode()):
+                by_doc[k] = by_doc[k][:0]
+        numbers = np.concatenate([np.empty(0, np.int64), *by_doc])
+        doc = np.repeat(np.arange(len(texts)), [len(n) for n in by_doc])
+        (a, in_a), (b, in_b) = self.a.take(numbers), self.b.take(numbers)
+        tokens = Tokens(len(texts), a, b, np.repeat(doc, in_a), np.repeat(doc, in_b))
+        if len(self.same) > self.remembered:
+            if len(self.same) - kept > kept:
+                self._forget()  # other texts than before: start anew
+            else:
+                for unit in [u for u in self.number if self.number[u] >= kept]:
+                    del self.number[unit]
+                del self.same[kept:], self.apart[kept:]
+                self.a.cut(kept)
+                self.b.cut(kept)
+        return tokens
+
+    @staticmethod
+    def _docs_with(numbers: np.ndarray, edges: np.ndarray, flags: np.ndarray) -> list[int]:
+        """Documents that hold a unit without the flag."""
+        at = np.flatnonzero(flags[numbers] == 0) if len(numbers) else numbers
+        return np.unique(np.searchsorted(edges, at, "right") - 1).tolist()
 
 
 @lru_cache(maxsize=2)
@@ -120,18 +178,27 @@ def tokenizers(byte_path: str, piece_path_: str) -> Tokenizers:
 # --- alignment ------------------------------------------------------------------------
 
 
-def terminals(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
-    """For every token of A, then of B, the last token of A in its group.
+def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For every place where a token ends: the token of A and of B over its last byte, and whether
+    they end there. ``ends_*`` are ascending byte ends over the same bytes."""
+    size = int(ends_a[-1]) + 1 if len(ends_a) else 0
+    stops_a, stops_b = np.zeros(size, bool), np.zeros(size, bool)
+    stops_a[ends_a] = stops_b[ends_b] = True
+    places = np.flatnonzero(stops_a | stops_b)
+    is_a, is_b = stops_a[places], stops_b[places]
+    return np.cumsum(is_a) - is_a, np.cumsum(is_b) - is_b, is_a, is_b
+
+
+def terminals(of_a: np.ndarray, of_b: np.ndarray, is_a: np.ndarray, is_b: np.ndarray) -> np.ndarray:
+    """For every token of A, then of B, the last token of A in its group (see :func:`overlaps`).
 
-    ``ends_*`` are ascending byte ends over the same bytes. A token points to the token that
-    reaches farthest right of those that overlap it; where both end together, to the one of A.
-    Each round lets all pointers skip over their targets, so a chain of n tokens takes log2(n)
-    rounds.
+    A token points to the token that reaches farthest right of those that overlap it; where both
+    end together, to the one of A. Each round lets all pointers skip over their targets, so a
+    chain of n tokens takes log2(n) rounds.
     """
-    n = len(ends_a)
-    over_a = np.searchsorted(ends_b, ends_a)  # the token of B over the last byte of each of A
-    over_b = np.searchsorted(ends_a, ends_b)
-    ahead = np.concatenate([np.where(ends_b[over_a] > ends_a, n + over_a, np.arange(n)), over_b]) if n else np.empty(0, np.int64)
+    n = int(is_a.sum())
+    own = np.arange(n)
+    ahead = np.concatenate([np.where(is_b[is_a], own, n + of_b[is_a]), of_a[is_b]])
     while True:
         farther = ahead[ahead]
         if np.array_equal(farther, ahead):
@@ -153,20 +220,13 @@ class Aligned:
     pair_ends: np.ndarray  # where the pairs of each document end
 
 
-def align(batch: list[list[Unit]], both: Tokenizers) -> Aligned:
-    n_docs = len(batch)
-    units = [u for doc in batch for u in doc]
-    empty = np.empty(0, np.int64)
-    a, b, a_bytes, b_bytes = (
-        np.concatenate([empty, *(getattr(u, name) for u in units)]) for name in ("a", "b", "a_bytes", "b_bytes")
-    )
-    doc_of_unit = np.repeat(np.arange(n_docs), [len(doc) for doc in batch])
-    doc_a = np.repeat(doc_of_unit, [len(u.a) for u in units])
-    doc_b = np.repeat(doc_of_unit, [len(u.b) for u in units])
+def align(tokens: Tokens, both: Tokenizers) -> Aligned:
+    n_docs, a, b, doc_a, doc_b = tokens.n_docs, tokens.a, tokens.b, tokens.doc_a, tokens.doc_b
     n_a, n_b = np.bincount(doc_a, minlength=n_docs), np.bincount(doc_b, minlength=n_docs)
-    ends_a, ends_b = np.cumsum(a_bytes), np.cumsum(b_bytes)
+    ends_a, ends_b = np.cumsum(both.a_length[a]), np.cumsum(both.b_length[b])
 
-    last = terminals(ends_a, ends_b)
+    of_a, of_b, is_a, is_b = overlaps(ends_a, ends_b)
+    last = terminals(of_a, of_b, is_a, is_b)
     closes = last[: len(a)] == np.arange(len(a))  # every group ends with a token of A
     group = (np.cumsum(closes) - 1)[last]
     group_a, group_b = group[: len(a)], group[len(a) :]
@@ -177,19 +237,17 @@ def align(batch: list[list[Unit]], both: Tokenizers) -> Aligned:
     in_a, in_b = np.bincount(group_a, minlength=count), np.bincount(group_b, minlength=count)
     before_a, before_b = np.cumsum(in_a), np.cumsum(in_b) - in_b
     at_a, at_b = np.arange(len(a)) + before_b[group_a], np.arange(len(b)) + before_a[group_b]
-    size = len(both.numbers)
+    size = len(both.marked) // 3
     codes = np.empty(len(a) + len(b), np.int64)
     more_a, more_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
     more_a[:-1], more_b[:-1] = group_a[1:] == group_a[:-1], group_b[1:] == group_b[:-1]
     codes[at_a] = a + np.where(more_a, 0, size)
     codes[at_b] = b + np.where(more_b, 0, 2 * size)
-    texts = list(map(_numbers(both).__getitem__, codes.tolist()))
+    texts = list(map(both.marked.__getitem__, codes.tolist()))
     edges = np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
     groups = ["".join(texts[x:y])[:-1] for x, y in zip(edges, edges[1:])]
 
     # A link begins at every end of a token: its last byte lies in one token of either.
-    ends = np.union1d(ends_a, ends_b)
-    of_a, of_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
     doc = doc_a[of_a]
     span = both.size_a * both.size_b
     found, times = np.unique(doc * span + a[of_a] * both.size_b + b[of_b], return_counts=True)
@@ -199,14 +257,6 @@ def align(batch: list[list[Unit]], both: Tokenizers) -> Aligned:
     )
 
 
-def _numbers(both: Tokenizers) -> list[str]:
-    """Decimal ids followed by the mark between tokens, between A and B, and between groups."""
-    made = getattr(both, "_marked", None)
-    if made is None:
-        made = both._marked = [n + mark for mark in (",", "|", ";") for n in both.numbers]
-    return made
-
-
 # --- on tables ------------------------------------------------------------------------
 
 _COUNTS = "n_a long, n_b long, n_groups long, n_links long"
@@ -218,8 +268,8 @@ def _align_rows(paths: tuple[str, str], kinds: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokenizers(*paths)
 
-        def made(part: pa.RecordBatch, docs: list[list[Unit]]) -> pa.RecordBatch:
-            found = align(docs, both)
+        def made(part: pa.RecordBatch, docs: list[str | None]) -> pa.RecordBatch:
+            found = align(both.encode(docs), both)
             edges = [0, *found.pair_ends.tolist()]
             packed = [
                 pa.array([np.ascontiguousarray(x[i:j], kind).tobytes() for i, j in zip(edges, edges[1:])], pa.binary())
@@ -238,10 +288,10 @@ def _align_rows(paths: tuple[str, str], kinds: str):
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             begin = held = 0
-            docs: list[list[Unit]] = []
+            docs: list[str | None] = []
             for k, text in enumerate(texts):
                 text = text.as_py()
-                docs.append(both.tokens(text))
+                docs.append(text)
                 held += len(text or "")
                 if held >= BATCH_BYTES or k + 1 == len(texts):
                     yield made(batch.slice(begin, k + 1 - begin), docs)
