@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vectorloom.llm.align import op13_align
 from vectorloom.llm.bpe import op3_bpe
 from vectorloom.llm.decontaminate import OP2_SQL, op2_decontaminate
+from vectorloom.llm.language import op12_language
 from vectorloom.llm.lines import OP5_SQL, op5_lines
 from vectorloom.llm.neighbours import op9_neighbours
 from vectorloom.llm.pages import op4_html
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_neighbours": op9_neighbours,
     "op10_warc": op10_warc,
     "op11_variants": op11_variants,
+    "op12_language": op12_language,
     "op13_align": op13_align,
 }
 
