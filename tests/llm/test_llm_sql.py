@@ -26,3 +26,8 @@ def test_one_query_per_operator():
     names = list(entry_points.queries())
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
     assert "pipeline" in names
+
+
+def test_operators_11_to_13_have_one_query_each():
+    names = list(entry_points.queries())
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(11, 14)] == [1] * 3

@@ -2,7 +2,7 @@ from zlib import crc32
 
 import numpy as np
 
-from vectorloom.llm.toxicity import Fit, fit_machine, hashed_terms, learn, op8_toxicity, reject_toxic, score
+from vectorloom.llm.toxicity import PRODUCTION, Fit, fit_machine, hashed_terms, learn, op8_toxicity, reject_toxic, score
 
 
 def test_scores_are_those_of_all_pairs():
@@ -85,3 +85,46 @@ def test_rejected_documents_go(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     kept = reject_toxic(spark, docs, small)
     assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
+
+
+def _planted(n, random, same_group):
+    """Texts of 5 to 4,000 words; toxic ones hold a word of each of two groups, a third of the
+    others one word, or two of one group. No two of these words share their first letters."""
+    groups = [["zabork", "quimel", "veltan", "nurpis", "gloxum"], ["tragol", "hendix", "mulkar", "sirbet", "covtun"]]
+    texts, labels = [], []
+    for _ in range(n):
+        words = [f"w{k}" for k in random.zipf(1.3, int(np.exp(random.uniform(np.log(5), np.log(4000))))) % 5000]
+        kind = random.random()
+        own = [random.choice(g) for g in groups] if kind < 0.1 else []
+        if 0.1 <= kind < 0.4:
+            own = list(random.choice(groups[kind < 0.25], 2 if same_group else 1, replace=False))
+        for word in own:
+            words.insert(random.integers(0, len(words) + 1), word)
+        texts.append(hashed_terms(" ".join(words).encode()))
+        labels.append(float(kind < 0.1))
+    return texts, np.array(labels)
+
+
+def test_pairs_tell_in_texts_of_every_length():
+    for same_group in (False, True):
+        texts, labels = _planted(4000, np.random.default_rng(5), same_group)
+        machine = fit_machine(texts[:3200], labels[:3200], PRODUCTION)
+        short = np.array([len(t) < 60 for t in texts[3200:]])
+        toxic, found = labels[3200:] == 1, machine.scores(texts[3200:]) >= 0.5
+        for part in (short, ~short):
+            assert found[toxic & part].mean() > 0.9 and found[~toxic & part].mean() < 0.02
+        empty = machine.scores([np.empty(0, np.int64), np.array([-5])])
+        assert np.allclose(empty, (labels[:3200].sum() + 0.5) / 3201)
+
+
+def test_opposed_factors_are_taken_off():
+    texts, labels = _planted(1200, np.random.default_rng(6), True)
+    machine = fit_machine(texts, labels, PRODUCTION)
+    place, signs = {s: k for k, s in enumerate(machine.slots.tolist())}, np.array([1, 1, 1, 1, -1, -1, -1, -1])
+    assert machine.factors.any()
+    for t, got in zip(texts[:30], machine.scores(texts[:30])):
+        known = [place[x] for x in t.tolist() if x in place]
+        margin = machine.bias + sum(machine.weights[k] for k in known)
+        v = machine.factors[known]
+        margin += sum(signs * v[a] @ v[b] for a in range(len(known)) for b in range(a))
+        assert abs(got - 1 / (1 + np.exp(-margin))) < 1e-9

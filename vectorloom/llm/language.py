@@ -28,21 +28,21 @@ _LETTERS = bytes(
 
 
 def hashed_ngrams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Buckets of all n-grams of whole texts, slice by slice, with the number of each one's text."""
-    data = b"".join(b" %b   " % t.translate(_LETTERS) for t in texts)
-    raw = np.frombuffer(data, np.uint8)
-    ends = np.cumsum([len(t) + 4 for t in texts])
-    for start in range(0, len(raw), _SLICE):
-        part = raw[start : start + _SLICE + max(ORDERS) - 1].astype(np.uint32)
-        size = min(_SLICE, len(raw) - start)
+    """Buckets of all n-grams of whole texts, slice by slice, with the number of each one's text.
+    Before each text stand so many spaces that no n-gram reaches from one into the next."""
+    before = b" " * (max(ORDERS) - 1)
+    raw = np.frombuffer(b"".join(before + t.translate(_LETTERS) + b" " for t in texts) + before, np.uint8)
+    ends = np.cumsum([len(t) + max(ORDERS) for t in texts])
+    for start in range(0, len(raw) - len(before), _SLICE):
+        part = raw[start : start + _SLICE + len(before)].astype(np.uint32)
+        size = min(_SLICE, len(raw) - len(before) - start)
         code = part
         rows = np.searchsorted(ends, np.arange(start, start + size), "right")
         for order in range(2, max(ORDERS) + 1):
             code = (code[:-1] << np.uint32(8)) | part[order - 1 :]
             if order in ORDERS:
                 mixed = (code * np.uint32(2654435761 + 2 * order)) >> np.uint32(32 - BUCKET_BITS)
-                n = min(size, len(mixed))
-                yield mixed[:n], rows[:n]
+                yield mixed[:size], rows
 
 
 # --- the code -------------------------------------------------------------------------

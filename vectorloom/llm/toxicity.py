@@ -22,35 +22,52 @@ FOLDS = 5  # rows whose crc32(id) is a multiple of it are held out
 
 @dataclass(frozen=True)
 class Fit:
-    """How the machine is fitted: ``rank`` factors, proximal AdaGrad.
+    """How the machine is fitted: proximal AdaGrad, and the best epoch by rows set aside.
 
     The linear weights have an L1 penalty and are learned alone for ``linear_epochs``, so that
-    the factors start on what single terms leave unexplained. The factors have an L2 penalty: it
-    shrinks like their slopes do, by a share, so pairs that tell outgrow it from any start,
-    where an L1 penalty above the first slopes would set all of them to zero for good.
+    the factors start on what single terms leave unexplained. Only terms that tell something
+    have factors, since words of nearly every text would drown what pairs tell, the more the
+    longer the text: terms whose rows differ from the share of label 1 by ``telling`` standard
+    deviations, and of the ``paired`` most frequent terms those whose rows in common differ by
+    ``telling_pairs`` and more than either alone from what the linear weights expect.
+
+    Products of plain factors can hardly say that terms of two groups tell together and terms of
+    one group do not, as the terms of a group need like factors for it. With ``opposed`` ones,
+    whose products are taken off, a few factors can.
     """
 
-    rank: int = 6
-    epochs: int = 16
-    linear_epochs: int = 4
+    rank: int = 8
+    opposed: int = 0  # of these factors, whose products count against label 1
+    epochs: int = 24
+    linear_epochs: int = 6
     batch: int = 128
     rate: float = 0.3
     l1: float = 4e-4
-    rate_factors: float = 0.05
+    rate_factors: float = 0.1
     l1_factors: float = 0.0
-    l2_factors: float = 1e-2
+    l2_factors: float = 1e-4
+    telling: float = 3.5
+    telling_pairs: float = 6.0
+    paired: int = 2048
     least_rows: int = 8  # terms seen in fewer rows have no weight
+    validation: float = 0.2  # share of the rows that choose the epoch
     seed: int = 7
 
 
+PRODUCTION = Fit(opposed=4, rate_factors=0.25)
+
+
 @dataclass(frozen=True)
 class Machine:
-    """``slots`` (sorted hashes) with a linear weight and a factor row each, and the bias."""
+    """``slots`` (sorted hashes) with a linear weight and a factor row each, the bias, and the
+    share of label 1, which texts without a known term get."""
 
     bias: float
     slots: np.ndarray
     weights: np.ndarray
     factors: np.ndarray
+    base: float = 0.5
+    opposed: int = 0
 
     def scores(self, terms: list[np.ndarray]) -> np.ndarray:
         """Chance of label 1 for each list of distinct hashed terms."""
@@ -58,22 +75,29 @@ class Machine:
         hashes = np.concatenate(terms) if terms else np.empty(0, np.int64)
         at = np.minimum(np.searchsorted(self.slots, hashes), max(len(self.slots) - 1, 0))
         known = self.slots[at] == hashes if len(self.slots) else np.zeros(len(hashes), bool)
-        return _chance(_margins(rows[known], at[known], len(terms), self.bias, self.weights, self.factors)[0])
+        rows, at = rows[known], at[known]
+        chance = _chance(_margins(rows, at, len(terms), self.bias, self.weights, self.factors, self.opposed)[0])
+        return np.where(np.bincount(rows, minlength=len(terms)) > 0, chance, self.base)
 
 
 def _chance(margin: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(margin, -40, 40)))
 
 
-def _margins(rows, at, n, bias, weights, factors, centre=0.0):
-    """``bias + sum w_i + sum_{i<j} <v_i, v_j>`` per row, and the factor sums per row; with a
-    ``centre`` that is taken off the sums."""
-    linear = np.bincount(rows, weights[at], n)
-    if not factors.shape[1]:
-        return bias + linear, factors
-    sums = np.stack([np.bincount(rows, factors[at, f], n) for f in range(factors.shape[1])], axis=1) - centre
-    squares = np.bincount(rows, np.square(factors[at]).sum(axis=1), n)
-    return bias + linear + 0.5 * (np.square(sums).sum(axis=1) - squares), sums
+def _signs(rank: int, opposed: int) -> np.ndarray:
+    return np.where(np.arange(rank) < rank - opposed, 1.0, -1.0)
+
+
+def _margins(rows, at, n, bias, weights, factors, opposed=0):
+    """``bias + sum w_i + sum_{i<j} <v_i, v_j>`` per row, and the factor sums per row; the last
+    ``opposed`` factors count negative."""
+    linear = bias + np.bincount(rows, weights[at], n)
+    telling = np.flatnonzero(factors.any(axis=1)[at])
+    rows, own = rows[telling], factors[at[telling]]
+    sums = np.stack([np.bincount(rows, v, n) for v in own.T], axis=1) if own.shape[1] else np.zeros((n, 0))
+    signs = _signs(own.shape[1], opposed)
+    squares = np.bincount(rows, np.square(own) @ signs, n)
+    return linear + 0.5 * (np.square(sums) @ signs - squares), sums
 
 
 def hashed_terms(text: bytes) -> np.ndarray:
@@ -86,53 +110,99 @@ def hashed_terms(text: bytes) -> np.ndarray:
 
 def fit_machine(terms: list[np.ndarray], labels: np.ndarray, fit: Fit = Fit()) -> Machine:
     """Fit on rows of distinct hashed terms. Without rows of both labels every score is the
-    share of label 1 (a half if there is no row)."""
+    share of label 1 (a half if there is no row).
+
+    A part of the rows is not learned from: the weights after the epoch that explains it best
+    are kept, factors still at nothing among them, so pairs never make the machine worse there
+    than its linear part.
+    """
     n = len(terms)
-    share = (float(labels.sum()) + 0.5) / (n + 1) if n else 0.5
-    bias = float(np.log(share / (1 - share)))
+    base = (float(labels.sum()) + 0.5) / (n + 1) if n else 0.5
+    bias = float(np.log(base / (1 - base)))
     slots, seen = np.unique(np.concatenate(terms) if n else np.empty(0, np.int32), return_counts=True)
     slots = slots[seen >= fit.least_rows]
-    random = np.random.default_rng(fit.seed)
-    weights = np.zeros(len(slots))
-    factors = random.normal(0, 0.02, (len(slots), fit.rank))
+    weights, factors = np.zeros(len(slots)), np.zeros((len(slots), fit.rank))
     if not len(slots) or labels.min() == labels.max():
-        return Machine(bias, slots[:0], weights[:0], factors[:0])
+        return Machine(bias, slots[:0], weights[:0], factors[:0], base)
     places = []
     for t in terms:
         at = np.minimum(np.searchsorted(slots, t), len(slots) - 1)
         places.append(at[slots[at] == t].astype(np.int32))
+    random = np.random.default_rng(fit.seed)
+    order = random.permutation(n)
+    aside, learned = np.split(order, [int(n * fit.validation)])
+    if not len(aside):
+        aside = learned
+    inside = [places[i] for i in learned]
     gained_w, gained_v, gained_b = np.full(len(slots), 1e-4), np.full(factors.shape, 1e-2), 1e-4
-    shares = np.bincount(np.concatenate(places), minlength=len(slots)) / n
-    none = factors[:, :0]
+    has, signs = np.zeros(len(slots), bool), _signs(fit.rank, fit.opposed)
+    best, least = None, np.inf
+    held = [places[i] for i in aside]
+    held_rows, held_at = np.repeat(np.arange(len(held)), [len(p) for p in held]), np.concatenate(held)
     for epoch in range(fit.epochs):
-        known = none if epoch < fit.linear_epochs else factors
-        order = random.permutation(n)
-        for start in range(0, n, fit.batch):
-            chosen = order[start : start + fit.batch]
+        if epoch == fit.linear_epochs:
+            if best is not None:  # pairs start from the best linear weights
+                bias, weights = best[0], best[1].copy()
+            rows, at = np.repeat(np.arange(len(inside)), [len(p) for p in inside]), np.concatenate(inside)
+            expected = _chance(_margins(rows, at, len(inside), bias, weights, factors, fit.opposed)[0])
+            telling = _telling(inside, labels[learned], expected, len(slots), fit)
+            factors[telling], has[telling] = random.normal(0, 0.1, (len(telling), fit.rank)), True
+        for chosen in np.array_split(random.permutation(learned), max(1, len(learned) // fit.batch)):
             own = [places[i] for i in chosen]
             rows = np.repeat(np.arange(len(own)), [len(p) for p in own])
             at, near = np.unique(np.concatenate(own), return_inverse=True)
-            w, v = weights[at], known[at]
-            # around the mean sum, or words of nearly every row would drown what pairs tell
-            margin, sums = _margins(rows, near, len(own), bias, w, v, shares @ known)
+            margin, sums = _margins(rows, near, len(own), bias, weights[at], factors[at], fit.opposed)
             error = (_chance(margin) - labels[chosen]) / len(own)
             slope_w = np.bincount(near, error[rows], len(at))
             gained_w[at] += slope_w**2
             step_w = fit.rate / np.sqrt(gained_w[at])
-            weights[at] = _shrunk(w - step_w * slope_w, step_w * fit.l1)
-            if known is factors:
-                slope_v = np.stack(
-                    [np.bincount(near, error[rows] * (sums[rows, f] - v[near, f]), len(at)) for f in range(fit.rank)], axis=1
-                )
-                gained_v[at] += slope_v**2
-                step_v = fit.rate_factors / np.sqrt(gained_v[at])
-                factors[at] = _shrunk(v - step_v * slope_v, step_v * fit.l1_factors) / (1 + step_v * fit.l2_factors)
+            weights[at] = _shrunk(weights[at] - step_w * slope_w, step_w * fit.l1)
+            paired = has[at[near]]
+            if paired.any():
+                rows, (there, near) = rows[paired], np.unique(at[near[paired]], return_inverse=True)
+                v = factors[there]
+                pull = error[rows, None] * signs * (sums[rows] - v[near])
+                slope_v = np.stack([np.bincount(near, p, len(there)) for p in pull.T], axis=1)
+                gained_v[there] += slope_v**2
+                step_v = fit.rate_factors / np.sqrt(gained_v[there])
+                factors[there] = _shrunk(v - step_v * slope_v, step_v * fit.l1_factors) / (1 + step_v * fit.l2_factors)
             gained_b += error.sum() ** 2
             bias -= fit.rate / np.sqrt(gained_b) * error.sum()
-    centre = shares @ factors  # |s - c|^2 / 2 = |s|^2 / 2 - <s, c> + |c|^2 / 2
-    weights, bias = weights - factors @ centre, bias + 0.5 * float(centre @ centre)
+        margin = _margins(held_rows, held_at, len(held), bias, weights, factors, fit.opposed)[0]
+        loss = float(np.logaddexp(0, np.where(labels[aside] > 0, -margin, margin)).mean())
+        if loss < least:
+            best, least = (bias, weights.copy(), factors.copy()), loss
+    bias, weights, factors = best
     used = (weights != 0) | (factors != 0).any(axis=1)
-    return Machine(bias, slots[used], weights[used], factors[used])
+    return Machine(bias, slots[used], weights[used], factors[used], base, fit.opposed)
+
+
+def _telling(places: list[np.ndarray], labels: np.ndarray, expected: np.ndarray, size: int, fit: Fit) -> np.ndarray:
+    """The slots that hold label 1 clearly more or less often than all rows do, alone, or than
+    is expected of a row, in pairs."""
+    at, share = np.concatenate(places), labels.mean()
+    lengths = [len(p) for p in places]
+    rows = np.bincount(at, minlength=size)
+    ones = np.bincount(at, np.repeat(labels, lengths), size)
+    spread = np.sqrt(np.maximum(rows * share * (1 - share), 1e-9))
+    alone = np.flatnonzero((rows >= fit.least_rows) & (np.abs(ones - rows * share) >= fit.telling * spread))
+
+    frequent = np.sort(np.argsort(-rows, kind="stable")[: fit.paired])
+    number = np.full(size, -1)
+    number[frequent] = np.arange(len(frequent))
+    more, spread = np.zeros((len(frequent),) * 2, np.float32), np.zeros((len(frequent),) * 2, np.float32)
+    for start in range(0, len(places), 512):  # dense in blocks of rows
+        own = [number[p] for p in places[start : start + 512]]
+        holds = np.zeros((len(own), len(frequent)), np.float32)
+        for k, p in enumerate(own):
+            holds[k, p[p >= 0]] = 1
+        left, chance = labels[start : start + 512] - expected[start : start + 512], expected[start : start + 512]
+        more += holds.T @ (holds * left[:, None].astype(np.float32))
+        spread += holds.T @ (holds * (chance * (1 - chance))[:, None].astype(np.float32))
+    score = np.abs(more) / np.sqrt(np.maximum(spread, 1.0))
+    single = np.diag(score)
+    tells = score >= fit.telling_pairs + 1.5 * np.maximum(single[:, None], single[None])
+    return np.union1d(alone, frequent[tells.any(axis=1)])
 
 
 def _shrunk(values: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -157,7 +227,7 @@ def _pack_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    sample: int = SAMPLE, fit: Fit = Fit(),
+    sample: int = SAMPLE, fit: Fit = PRODUCTION,
 ) -> Machine:
     """Fit on at most ``sample`` labelled rows, chosen by a hash of their id.
 
