@@ -1,14 +1,16 @@
 """Token expressions.
 
 ``tokenize`` is the stand-in tokenizer (runs of non-space); real subword tokenizers
-live in encoder plug-ins. ``truncate_tokens`` works on any token array.
+live in encoder plug-ins, and ``plugin_token_counts`` asks them. ``truncate_tokens`` works on any token array.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, functions as F, types as T
 
-from vectorloom.functions.binding import let
+from vectorloom.encoders.base import EncoderFactory, load_encoder
+from vectorloom.functions.binding import int_div, let
 
 
 def tokenize(text: Column) -> Column:
@@ -65,3 +67,60 @@ def fit_text(text: Column, limit: Column, n_special: Column) -> Column:
 
     fits = ~may_overflow(text, limit, n_special)
     return F.when(fits, text).otherwise(let(first_words(text, room), cut))
+
+
+def plugin_token_counts(factory: EncoderFactory, model: Column, text: Column) -> Column:
+    """How many tokens the plug-in of a model makes of a text, special tokens included.
+
+    Texts reach the plug-in's ``tokenize`` (see ``TokenEncoder``) in Arrow batches, those of a
+    model together, and only counts come back. Null for a null text or model. The package has
+    to be on the workers (``session.attach``).
+    """
+
+    def count(models: pa.Array, texts: pa.Array) -> pa.Array:
+        names, values = models.to_pylist(), texts.to_pylist()
+        counts: list[int | None] = [None] * len(values)
+        for name in sorted({n for n in names if n is not None}):
+            own = [k for k, (n, v) in enumerate(zip(names, values)) if n == name and v is not None]
+            if own:
+                encoder = load_encoder(factory, name)
+                special = len(encoder.prefix) + len(encoder.suffix)
+                for k, ids in zip(own, encoder.tokenize([values[k] for k in own])):
+                    counts[k] = len(ids) + special
+        return pa.array(counts, pa.int32())
+
+    count.__annotations__ = {"models": pa.Array, "texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(count, T.IntegerType())(model, text)
+
+
+def windows(text: Column, parts: int = 4, overlap: int = 0) -> Column:
+    """A text in windows of ``ceil(n / parts)`` of its n words: structs of ``window`` (from 0),
+    ``start`` (characters before it), ``n_tokens`` and ``text``.
+
+    Neighbouring windows share ``overlap`` words (fewer where a window has no more). Windows are
+    pieces of the text as it stands, white space between words included, cut at word ends. Each
+    begins by one step behind the one before, until one reaches the end. A text without words has
+    none; a null text gives null.
+    """
+    def of(words: Column) -> Column:
+        n = F.size(words)
+        size = int_div(n + (parts - 1), parts)
+        step = F.greatest(F.lit(1), size - overlap)
+        last = int_div(F.greatest(n - size, F.lit(0)) + step - 1, step)
+
+        def window(k: Column) -> Column:
+            held = F.slice(words, k * step + 1, size)
+            before = F.length(F.array_join(F.slice(words, F.lit(1), k * step), ""))
+            return F.struct(
+                k.alias("window"),
+                (F.length(F.regexp_extract(text, r"^\s*", 0)) + before).alias("start"),
+                F.size(held).alias("n_tokens"),
+                F.regexp_replace(F.array_join(held, ""), r"\s+$", "").alias("text"),
+            )
+
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), window)).otherwise(
+            F.transform(F.array().cast("array<int>"), window)
+        )
+
+    words = F.regexp_extract_all(text, F.lit(r"(\S+\s*)"), F.lit(1))
+    return F.when(text.isNotNull(), let(words, of))

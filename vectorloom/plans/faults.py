@@ -1,4 +1,5 @@
-"""An encoder that fails for some texts, to exercise failure handling on real tables."""
+"""Encoders to exercise the jobs on real tables: one that fails for some texts, and one with a
+tokenizer of its own."""
 
 from __future__ import annotations
 
@@ -8,6 +9,8 @@ from dataclasses import dataclass
 import numpy as np
 
 from vectorloom.encoders import Encoder, EncoderFactory, EncoderRejected, EncoderUnavailable, TokenizeFailed
+from vectorloom.encoders.tokens import TokenEncoder
+from vectorloom.registry import REGISTRY
 
 
 @dataclass(frozen=True)
@@ -46,3 +49,27 @@ class FaultyEncoder:
             if kind == 4:
                 raise EncoderRejected(503, "loading model")
         return self.inner.encode(texts)
+
+
+@dataclass(frozen=True)
+class PairFactory:
+    """Encoders whose tokens are two characters each, with the models' own limits and numbers of
+    special tokens."""
+
+    def __call__(self, model: str) -> "PairEncoder":
+        return PairEncoder(model)
+
+
+class PairEncoder(TokenEncoder):
+    """A text's vector is the number of its tokens, special ones included, and the last id."""
+
+    def __init__(self, model: str):
+        facts = {m.key: m for m in REGISTRY}[model]
+        self.n_ctx = facts.n_ctx
+        self.prefix, self.suffix = (-1,) * facts.start_tokens, (-2,) * facts.end_tokens
+
+    def tokenize(self, texts: list[str]) -> list[list[int]]:
+        return [[ord(t[k]) * 0x110000 + ord(t[k + 1 : k + 2] or "\0") for k in range(0, len(t), 2)] for t in texts]
+
+    def encode_tokens(self, sequences: list[list[int]]) -> np.ndarray:
+        return np.array([[len(ids), ids[-1] if ids else 0] for ids in sequences], float).reshape(-1, 2)

@@ -297,4 +297,23 @@ SELECT conv_id, turn,
     WHEN model = 'nomodel' THEN 'Unknown model ''nomodel''; available: gemma, qwen'
     ELSE {_FAULT_DETAIL} END AS detail
 FROM seen WHERE width < 1 OR model = 'nomodel' OR fault IS NOT NULL""",
+    "stream_once": f"""WITH {_MODELS}, {_TURNS},
+  seen AS (SELECT conv_id, turn, t.model, width, {_fault(_PROMPTED + "text", 4)} AS fault
+      FROM turns t LEFT JOIN models USING (model))
+SELECT conv_id, turn, CAST(1 AS BIGINT) AS n_outcomes,
+  CAST(CASE WHEN width < 1 THEN 422 WHEN model = 'nomodel' THEN 404 WHEN fault IS NULL THEN 200 ELSE {_FAULT_STATUS} END AS BIGINT) AS status
+FROM seen""",
+    "plugin_tokens": f"""WITH seen AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'qwen' ELSE 'gemma' END AS model,
+      CASE WHEN lang = 'en' THEN text ELSE {_GEMMA_DOC} || text END AS prompted FROM documents),
+  counted AS (SELECT doc_id, model, (length(prompted) + 1) // 2 + CASE model WHEN 'gemma' THEN 2 ELSE 1 END AS n,
+      CASE model WHEN 'gemma' THEN 2047 ELSE 8191 END AS most FROM seen)
+SELECT doc_id, model, n AS n_tokens, CAST(least(n, most) AS BIGINT) AS kept_tokens FROM counted""",
+    "document_windows": """WITH words AS (SELECT doc_id, unnest([0, 8]) AS overlap, regexp_extract_all(text, '\\S+\\s*') AS w,
+      length(regexp_extract(text, '^\\s*')) AS lead FROM documents),
+  sized AS (SELECT *, len(w) AS n, (len(w) + 3) // 4 AS size, greatest(1, (len(w) + 3) // 4 - overlap) AS step FROM words WHERE len(w) > 0),
+  cut AS (SELECT *, unnest(range(CAST(ceil(greatest(n - size, 0) / step) AS BIGINT) + 1)) AS k FROM sized)
+SELECT doc_id, CAST(overlap AS BIGINT) AS overlap, k AS "window",
+  lead + coalesce(CAST(list_sum(list_transform(w[1:k * step], lambda x: length(x))) AS BIGINT), 0) AS start,
+  CAST(len(w[k * step + 1:k * step + size]) AS BIGINT) AS n_tokens,
+  md5(regexp_replace(array_to_string(w[k * step + 1:k * step + size], ''), '\\s+$', '')) AS digest FROM cut""",
 }

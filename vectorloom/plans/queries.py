@@ -27,7 +27,7 @@ from vectorloom.operators.requests import (
     validate_request_texts,
     validate_requests,
 )
-from vectorloom.operators.tokens import token_usage, truncation_report, truncations
+from vectorloom.operators.tokens import document_windows, token_usage, truncation_report, truncations
 from vectorloom.plans.bulk import (
     embed,
     embed_request_texts,
@@ -35,7 +35,7 @@ from vectorloom.plans.bulk import (
     encode_request_texts,
     stand_in,
 )
-from vectorloom.plans.faults import FaultyFactory
+from vectorloom.plans.faults import FaultyFactory, PairFactory
 from vectorloom.plans.refresh import current_vectors, refresh
 from vectorloom.registry import GEMMA, REGISTRY, TASKS, models_table
 from vectorloom.session import materialize, scratch_path, spread
@@ -342,6 +342,31 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def plugin_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a plug-in's tokenizer makes of the documents, and what is lost of them: the encoder's
+    own cut, counted per model."""
+    docs = _documents(spark, sf_dir, "doc_id", "text", "lang")
+    rows = docs.select(
+        "doc_id", F.when(F.col("lang") == "en", "qwen").otherwise("gemma").alias("model"),
+        F.lit("document").alias("task"), F.col("text").alias("payload"),
+    )
+    used = token_usage(rows, factory=PairFactory()).select(
+        "doc_id", "model", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("kept_tokens").cast("long").alias("kept_tokens")
+    )
+    return used
+
+
+def windows_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of each document's words at a time, without an overlap and with one."""
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    parts = [
+        document_windows(docs, overlap=o).withColumn("overlap", F.lit(o).cast("long")) for o in (0, 8)
+    ]
+    return parts[0].unionByName(parts[1]).select(
+        "doc_id", "overlap", *[F.col(c).cast("long").alias(c) for c in ("window", "start", "n_tokens")], F.md5("text").alias("digest")
+    )
+
+
 def truncated_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = [
         (model, n_ctx, prefix, suffix)
@@ -649,6 +674,25 @@ def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn is delivered twice, in files of their own, and once more after a restart of
+    the stream; each has one outcome."""
+    out = scratch_path(spark, "stream")
+    turns = _table(spark, sf_dir, "conversations")
+    for again in (False, True):
+        for _ in range(1 if again else 2):
+            turns.write.mode("append").parquet(f"{out}/in")
+        source = read_request_stream(spark, f"{out}/in", _TURN_SCHEMA, files_per_trigger=1)
+        embed_stream_with_dead_letters(
+            _turn_requests(source), out, f"{out}/checkpoint",
+            keys=("conv_id", "turn"), factory=FaultyFactory(stand_in(), FAULT_RATE),
+        ).awaitTermination()
+    return (
+        spark.read.parquet(f"{out}/outcomes").groupBy("conv_id", "turn")
+        .agg(F.count(F.lit(1)).alias("n_outcomes"), F.max(F.col("status").cast("long")).alias("status"))
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "embed_documents": embed_documents,
     "embed_pages": embed_pages,
@@ -668,6 +712,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "validate_requests": validate_conversations,
     "json_requests": json_requests,
     "token_counts": token_counts,
+    "plugin_tokens": plugin_tokens,
+    "document_windows": windows_of_documents,
     "truncate_tokens": truncated_tokens,
     "truncation_report": truncation_totals,
     "truncation_log": truncation_log,
@@ -688,4 +734,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vector_table": vector_table,
     "stream_embed": stream_embed,
     "stream_dead_letters": stream_dead_letters,
+    "stream_once": stream_once,
 }

@@ -1,8 +1,9 @@
 """The embedding jobs on Structured Streaming.
 
-Stateless: each micro-batch runs the same transformation as a bulk job. The source limits
-how much a micro-batch takes in; the checkpoint and sinks written once per stream and batch
-make a restarted job give each request exactly one outcome.
+Each micro-batch runs the same transformation as a bulk job. The source limits how much a
+micro-batch takes in; the checkpoint and sinks written once per stream and batch make a
+restarted job give each request exactly one outcome. A request that is delivered again is known
+by its key, which the state store keeps for a while, and is not answered again.
 """
 
 from __future__ import annotations
@@ -40,10 +41,43 @@ def read_request_stream(
     return reader.load(path)
 
 
+# How long a request's key is kept, counted from its first delivery.
+ONCE_WITHIN = "1 day"
+
+
+def first_deliveries(requests: DataFrame, keys: Sequence[str], within: str = ONCE_WITHIN) -> DataFrame:
+    """``requests`` without those whose keys were delivered before, in this or an earlier
+    micro-batch, up to ``within`` ago.
+
+    The time that counts is that of the micro-batch, so nothing is ever late. Keys live in the
+    state store below the checkpoint: they survive restarts, and leave after ``within``. A row
+    with a null key cannot be told from others like it; it always passes.
+    """
+    unknown = F.lit(False)
+    for key in keys:
+        unknown = unknown | F.col(key).isNull()
+    timed = requests.withColumns(
+        {"_delivered": F.current_timestamp(), "_unknown": F.when(unknown, F.uuid())}
+    ).withWatermark("_delivered", within)
+    return timed.dropDuplicatesWithinWatermark([*keys, "_unknown"]).drop("_delivered", "_unknown")
+
+
 def embed_stream(
-    rows: DataFrame, out: str, checkpoint: str, *, every: str | None = None, **options
+    rows: DataFrame,
+    out: str,
+    checkpoint: str,
+    *,
+    every: str | None = None,
+    once_within: str | None = ONCE_WITHIN,
+    **options,
 ) -> StreamingQuery:
-    """Long-form requests to a Parquet table of vectors and errors, one row per payload."""
+    """Long-form requests to a Parquet table of vectors and errors, one row per payload.
+
+    A payload that is delivered again within ``once_within`` is not encoded again; None
+    keeps no state and encodes every row.
+    """
+    if once_within:
+        rows = first_deliveries(rows, ("request_id", "payload_index"), once_within)
     encoded = encode_request_texts(rows, **options)
     writer = encoded.writeStream.format("parquet").outputMode("append").option("path", out)
     return _start(writer, checkpoint, every)
@@ -57,6 +91,7 @@ def embed_stream_with_dead_letters(
     keys: Sequence[str] = ("request_id",),
     every: str | None = None,
     join_output: bool = False,
+    once_within: str | None = ONCE_WITHIN,
     **options,
 ) -> StreamingQuery:
     """Array-form requests to two tables below ``out``: ``outcomes`` and ``dead_letters``.
@@ -67,6 +102,10 @@ def embed_stream_with_dead_letters(
     repeating a batch changes nothing and streams never touch each other's batches. An ``out``
     with the batches of another stream is refused unless ``join_output`` is set: after a lost
     checkpoint a source that is read again is answered again.
+
+    A request that is delivered again within ``once_within`` of its first delivery, in the same
+    batch, a later one or after a restart, has the one outcome it had; requests without a key
+    are answered each time. None keeps no state and answers every row.
     """
 
     spark = requests.sparkSession
@@ -85,6 +124,8 @@ def embed_stream_with_dead_letters(
         failed = written.where(F.col("status") != 200).select(*keys, "status", "detail", *line)
         failed.write.mode("overwrite").parquet(f"{out}/dead_letters/{place}")
 
+    if once_within:
+        requests = first_deliveries(requests, keys, once_within)
     return _start(requests.writeStream.foreachBatch(store), checkpoint, every)
 
 
