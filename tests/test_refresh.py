@@ -5,8 +5,10 @@ from fakes import FixedFactory, NumbersFactory
 
 from vectorloom.operators import provenance
 from vectorloom.operators.provenance import matching, stale_keys
+from vectorloom.plans import refresh as refreshing
 from vectorloom.plans.refresh import compact, current_vectors, refresh
 from vectorloom.registry import GEMMA, REGISTRY
+from vectorloom.sources.keyindex import KeyIndex
 
 SPACE = {"model": "gemma", "build": GEMMA.default_build, "task": "query", "dimensions": 2}
 
@@ -82,11 +84,67 @@ def test_many_keys_are_matched_without_moving_the_rest(spark, monkeypatch, keep)
         monkeypatch.setattr(provenance, "FEW_KEYS", few)
         found = matching(rows, keys, ["id", "text_hash"], keep)
         assert found.columns == rows.columns and {r.id for r in found.collect()} == want
-    # Beyond the broadcast limit a filter of fixed size goes ahead of the shuffle.
-    assert "_bits" in found._jdf.queryExecution().optimizedPlan().toString()
+    # Beyond the broadcast limit it is a plain join of Spark's, without a filter of our own.
+    shown = found._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("Join") == 1 and "_bits" not in shown and "broadcast" not in shown
 
 
 def test_stale_keys(spark):
     keys = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (3, "c", 2)], "id long, text_hash string, n long")
     current = spark.createDataFrame([(1, "a"), (1, "a"), (2, "x")], "id long, text_hash string")
     assert sorted(map(tuple, stale_keys(keys, current).collect())) == [(2, "b", 1), (3, "c", 2)]
+
+
+def test_stored_keys_are_not_shuffled(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "vectors")
+    rows = [(i, str(i)) for i in range(50)]
+    refresh(_texts(spark, rows), path, "gemma", "query", 2, factory=NumbersFactory())
+    plans = []
+
+    def seen(keys, current, *rest):
+        plans.append(stale_keys(keys, current, *rest))
+        return plans[-1]
+
+    monkeypatch.setattr(refreshing, "stale_keys", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        refresh(_texts(spark, rows + [(99, "7")]), path, "gemma", "query", 2, factory=NumbersFactory())
+        plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    left, right = plan[: plan.index("Bucketed: true")], plan[plan.index("Bucketed: true") :]
+    assert plan.count("Exchange") == 1 and "SortMergeJoin" in left  # the incoming keys, once
+    assert left.index("Exchange") < left.rindex("Sort ") and "Exchange" not in right
+    assert _stored(spark, path).count() == 51
+
+
+def test_an_interrupted_run_is_finished_by_the_next(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "vectors")
+    rows = [(i, str(i)) for i in range(5)]
+
+    def run(texts):
+        refresh(_texts(spark, texts), path, "gemma", "query", 2, factory=NumbersFactory(), normalize=False)
+        return _stored(spark, path).count()
+
+    def dies(self, run, keys):
+        raise RuntimeError("lost")
+
+    for more, n in (([], 5), ([(7, "7")], 6)):  # in the first run, and in a later one
+        with monkeypatch.context() as patch:
+            patch.setattr(KeyIndex, "finish", dies)
+            with pytest.raises(RuntimeError):
+                run(rows + more)
+        assert _stored(spark, path).count() == n
+        assert run(rows + more) == n and not KeyIndex(spark, path, SPACE).pending()
+    assert run([(7, "8")]) == 7
+
+
+def test_a_table_without_an_index_gets_one(spark, tmp_path):
+    path, other = str(tmp_path / "vectors"), str(tmp_path / "copied")
+    rows = [(i, str(i)) for i in range(5)]
+    refresh(_texts(spark, rows), path, "gemma", "query", 2, factory=NumbersFactory())
+    compact(_texts(spark, rows), path, other, **SPACE)
+    refresh(_texts(spark, rows + [(6, "6")]), other, "gemma", "query", 2, factory=NumbersFactory())
+    assert _stored(spark, other).count() == 6
+    index = KeyIndex(spark, other, SPACE)
+    assert index.exists and index.table().count() == 6

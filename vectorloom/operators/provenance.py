@@ -58,38 +58,24 @@ def space_guard(vectors: DataFrame, index: str = "index_id") -> DataFrame:
 
 # Keys that are broadcast: an id and a 16-byte fingerprint each, some 50 MB in all.
 FEW_KEYS = 1_000_000
-# Bits of the filter that goes ahead of a larger join: 2**20 cells of 64, 16 MB at any size.
-FILTER_CELLS = 1 << 20
 
 
 def stale_keys(keys: DataFrame, current: DataFrame, on: Sequence[str] = ("id", "text_hash")) -> DataFrame:
     """The rows of ``keys`` without a vector in ``current``, the vectors of one space.
 
-    Only ids and fingerprints are read and shuffled; repeated vectors count once.
+    Only ids and fingerprints are read. If ``current`` is a key index and ``keys`` are dealt into
+    its buckets, neither is shuffled for the join.
     """
-    return keys.join(current.select(*on).distinct(), list(on), "left_anti")
+    return keys.join(current.select(*on), list(on), "left_anti")
 
 
 def matching(rows: DataFrame, keys: DataFrame, on: Sequence[str], keep: bool = True) -> DataFrame:
     """The rows whose key is in the stored table ``keys`` (with ``keep=False``, is not).
 
-    Up to ``FEW_KEYS`` keys (counted) are broadcast, so no row moves. Beyond that, a filter of
-    fixed size is broadcast first and only rows that pass it, nearly all of them matches, are
-    shuffled; for ``keep=False`` those that do not pass it are not.
+    Up to ``FEW_KEYS`` keys (counted) are broadcast, so no row moves; more are joined by a shuffle,
+    which adaptive execution can split.
     """
-    on = list(on)
     wanted = keys.select(*on).distinct()
-    how = "left_semi" if keep else "left_anti"
     if keys.count() <= FEW_KEYS:
-        return rows.join(F.broadcast(wanted), on, how)
-    place = F.pmod(F.xxhash64(*on), F.lit(FILTER_CELLS * 64))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_place") % 64).cast("int"))
-    cells = wanted.select(place.alias("_place")).groupBy(F.floor(F.col("_place") / 64).alias("_cell")).agg(
-        F.bit_or(bit).alias("_bits")
-    )
-    marked = rows.withColumn("_place", place).withColumn("_cell", F.floor(F.col("_place") / 64))
-    marked = marked.join(F.broadcast(cells), "_cell", "left")
-    passed = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
-    extra = ["_place", "_cell", "_bits"]
-    candidates = marked.where(passed).drop(*extra).join(wanted, on, how)
-    return candidates if keep else candidates.unionByName(marked.where(~passed).drop(*extra))
+        wanted = F.broadcast(wanted)
+    return rows.join(wanted, list(on), "left_semi" if keep else "left_anti")

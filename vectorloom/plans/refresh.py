@@ -15,6 +15,7 @@ from vectorloom.operators.provenance import matching, stale_keys
 from vectorloom.plans.bulk import embed, model_text
 from vectorloom.registry import DEFAULT_DIMENSIONS, REGISTRY, ModelFacts
 from vectorloom.session import materialize
+from vectorloom.sources.keyindex import ON as KEY, KeyIndex
 from vectorloom.sources.sinks import VECTOR_LAYOUT
 
 _KEYS = "id long, text_hash binary, run string, model string, build string, task string, dimensions int, ok int"
@@ -60,6 +61,11 @@ def refresh(
     and stored once. Replaced and deleted texts leave their old vectors behind; readers take
     :func:`current_vectors`, and :func:`compact` writes those alone.
 
+    The keys that the table holds are kept in buckets beside it (:class:`KeyIndex`, made in the
+    first run, or from a table written without one), so those of the texts are shuffled once, into
+    these buckets, and the stored ones never. A run that dies after its vectors were written is
+    found by the next one, which does not embed them again.
+
     Every encoded row is written once, vectors to ``ok=1`` and failures to ``ok=0``.
     Returns ``id, status, detail`` of the texts that failed in this run; they stay stale and
     are tried again by the next one. A null text is a 422.
@@ -71,31 +77,34 @@ def refresh(
     space = {"model": model, "build": build, "task": task, "dimensions": dimensions}
     hashed = texts.select("id", "text", seen_hash(F.col("text"), facts, task, truncate).alias("text_hash"))
     hashed = hashed.where(F.col("text").isNotNull())
-    keys = hashed.groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
-    stored = _stored_space(spark, path, space)
-    if stored is None:
+    index = _open_index(spark, path, space)
+    keys = index.dealt(hashed.select(*KEY)).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    if not index.exists:
         # The first build of a space embeds everything: only repeated rows are looked for.
         todo, repeated = hashed, materialize(keys.where("n > 1"), "repeated")
     else:
-        stale = materialize(stale_keys(keys, stored), "stale")
-        todo, repeated = matching(hashed, stale, ["id", "text_hash"]), stale.where("n > 1")
+        stale = materialize(stale_keys(keys, index.table()), "stale")
+        todo, repeated = matching(hashed, stale, [*KEY]), stale.where("n > 1")
         cores = spark.sparkContext.defaultParallelism
         if stale.count() <= cores * FEW_TEXTS:
             # Few texts, perhaps all from a few input splits: deal them out evenly. More
             # texts keep every core busy as they are, and are not shuffled.
             todo = todo.repartition(cores)
     if not repeated.isEmpty():
-        rare = matching(todo, repeated, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"])
-        todo = matching(todo, repeated, ["id", "text_hash"], keep=False).unionByName(rare)
+        rare = matching(todo, repeated, [*KEY]).dropDuplicates([*KEY])
+        todo = matching(todo, repeated, [*KEY], keep=False).unionByName(rare)
     run = uuid.uuid4().hex
     encoded = embed(
-        todo, "text", model, task, dimensions, keys=["id", "text_hash"],
+        todo, "text", model, task, dimensions, keys=[*KEY],
         factory=factory, registry=registry, truncate=truncate, **options,
     )
     named = encoded.withColumns({c: F.lit(v) for c, v in space.items()} | {"run": F.lit(run)})
     good = F.when(F.col("outcome.kind") == "ok", 1).otherwise(0)
+    index.begin(run)
     named.withColumn("ok", good).write.mode("append").partitionBy(*VECTOR_LAYOUT, "ok").parquet(path)
 
+    index.finish(run, _stored_keys(spark, path, space).where(F.col("run") == run))
+
     written = spark.read.schema(_FAILED).parquet(path).where((F.col("run") == run) & (F.col("ok") == 0))
     failed = written.select("id", classify_failure(F.col("outcome"), F.lit(model)).alias("error"))
     missing = check_payloads(F.array("text"))
@@ -103,17 +112,29 @@ def refresh(
     return failed.unionByName(empty).select("id", "error.status", "error.detail")
 
 
-def _stored_space(spark: SparkSession, path: str, space: dict[str, object]) -> DataFrame | None:
-    """Keys of the vectors of a space, or None if there are none yet."""
+def _stored_keys(spark: SparkSession, path: str, space: dict[str, object]) -> DataFrame:
+    """Keys and runs of the vectors of a space."""
+    stored = spark.read.schema(_KEYS).parquet(path)
+    for column, value in (space | {"ok": 1}).items():
+        stored = stored.where(F.col(column) == value)
+    return stored
+
+
+def _open_index(spark: SparkSession, path: str, space: dict[str, object]) -> KeyIndex:
+    """The key index of a space with what earlier runs left undone."""
+    index = KeyIndex(spark, path, space)
     try:
-        stored = spark.read.schema(_KEYS).parquet(path)
+        stored = _stored_keys(spark, path, space)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return None
-    for column, value in (space | {"ok": 1}).items():
-        stored = stored.where(F.col(column) == value)
-    return None if stored.isEmpty() else stored
+        return index
+    pending = index.pending()
+    if not index.exists and not pending and not stored.isEmpty():
+        index.add(stored)  # a table that was written without an index
+    for run in pending:
+        index.finish(run, stored.where(F.col("run") == run))
+    return index
 
 
 def current_vectors(
@@ -126,7 +147,7 @@ def current_vectors(
         vectors = vectors.where(F.col(column) == value)
     fingerprint = seen_hash(F.col("text"), _facts(model, registry), task, truncate)
     wanted = texts.select("id", fingerprint.alias("text_hash")).distinct()
-    return vectors.join(wanted, ["id", "text_hash"], "left_semi")
+    return vectors.join(wanted, [*KEY], "left_semi")
 
 
 def compact(texts: DataFrame, path: str, to: str, **space) -> None:
