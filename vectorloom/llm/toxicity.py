@@ -17,6 +17,7 @@ TERMS = re.compile(rb"[0-9a-z\x80-\xff]+")
 HASH_BITS = 22
 STEM = 4
 SAMPLE = 12_000  # labelled rows that the model is fitted on, at most
+BLOCK = 512  # rows that are looked at together where all are
 FOLDS = 5  # rows whose crc32(id) is a multiple of it are held out
 
 
@@ -138,13 +139,11 @@ def fit_machine(terms: list[np.ndarray], labels: np.ndarray, fit: Fit = Fit()) -
     has, signs = np.zeros(len(slots), bool), _signs(fit.rank, fit.opposed)
     best, least = None, np.inf
     held = [places[i] for i in aside]
-    held_rows, held_at = np.repeat(np.arange(len(held)), [len(p) for p in held]), np.concatenate(held)
     for epoch in range(fit.epochs):
         if epoch == fit.linear_epochs:
             if best is not None:  # pairs start from the best linear weights
                 bias, weights = best[0], best[1].copy()
-            rows, at = np.repeat(np.arange(len(inside)), [len(p) for p in inside]), np.concatenate(inside)
-            expected = _chance(_margins(rows, at, len(inside), bias, weights, factors, fit.opposed)[0])
+            expected = _chance(_margins_of(inside, bias, weights, factors, fit.opposed))
             telling = _telling(inside, labels[learned], expected, len(slots), fit)
             factors[telling], has[telling] = random.normal(0, 0.1, (len(telling), fit.rank)), True
         for chosen in np.array_split(random.permutation(learned), max(1, len(learned) // fit.batch)):
@@ -168,7 +167,7 @@ def fit_machine(terms: list[np.ndarray], labels: np.ndarray, fit: Fit = Fit()) -
                 factors[there] = _shrunk(v - step_v * slope_v, step_v * fit.l1_factors) / (1 + step_v * fit.l2_factors)
             gained_b += error.sum() ** 2
             bias -= fit.rate / np.sqrt(gained_b) * error.sum()
-        margin = _margins(held_rows, held_at, len(held), bias, weights, factors, fit.opposed)[0]
+        margin = _margins_of(held, bias, weights, factors, fit.opposed)
         loss = float(np.logaddexp(0, np.where(labels[aside] > 0, -margin, margin)).mean())
         if loss < least:
             best, least = (bias, weights.copy(), factors.copy()), loss
@@ -177,13 +176,26 @@ def fit_machine(terms: list[np.ndarray], labels: np.ndarray, fit: Fit = Fit()) -
     return Machine(bias, slots[used], weights[used], factors[used], base, fit.opposed)
 
 
+def _blocks(places: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Some rows at a time: the first one's number, and row and place of every term."""
+    for start in range(0, len(places), BLOCK):
+        own = places[start : start + BLOCK]
+        yield start, np.repeat(np.arange(len(own)), [len(p) for p in own]), np.concatenate(own)
+
+
+def _margins_of(places: list[np.ndarray], *machine) -> np.ndarray:
+    found = [_margins(rows, at, min(BLOCK, len(places) - start), *machine)[0] for start, rows, at in _blocks(places)]
+    return np.concatenate([np.empty(0), *found])
+
+
 def _telling(places: list[np.ndarray], labels: np.ndarray, expected: np.ndarray, size: int, fit: Fit) -> np.ndarray:
     """The slots that hold label 1 clearly more or less often than all rows do, alone, or than
     is expected of a row, in pairs."""
-    at, share = np.concatenate(places), labels.mean()
-    lengths = [len(p) for p in places]
-    rows = np.bincount(at, minlength=size)
-    ones = np.bincount(at, np.repeat(labels, lengths), size)
+    share = labels.mean()
+    rows, ones = np.zeros(size), np.zeros(size)
+    for start, row, at in _blocks(places):
+        rows += np.bincount(at, minlength=size)
+        ones += np.bincount(at, labels[start + row], size)
     spread = np.sqrt(np.maximum(rows * share * (1 - share), 1e-9))
     alone = np.flatnonzero((rows >= fit.least_rows) & (np.abs(ones - rows * share) >= fit.telling * spread))
 
@@ -191,14 +203,14 @@ def _telling(places: list[np.ndarray], labels: np.ndarray, expected: np.ndarray,
     number = np.full(size, -1)
     number[frequent] = np.arange(len(frequent))
     more, spread = np.zeros((len(frequent),) * 2, np.float32), np.zeros((len(frequent),) * 2, np.float32)
-    for start in range(0, len(places), 512):  # dense in blocks of rows
-        own = [number[p] for p in places[start : start + 512]]
-        holds = np.zeros((len(own), len(frequent)), np.float32)
-        for k, p in enumerate(own):
-            holds[k, p[p >= 0]] = 1
-        left, chance = labels[start : start + 512] - expected[start : start + 512], expected[start : start + 512]
-        more += holds.T @ (holds * left[:, None].astype(np.float32))
-        spread += holds.T @ (holds * (chance * (1 - chance))[:, None].astype(np.float32))
+    for start, row, at in _blocks(places):
+        known = number[at] >= 0
+        chance = expected[start : start + BLOCK].astype(np.float32)
+        left = labels[start : start + BLOCK].astype(np.float32) - chance
+        holds = np.zeros((len(chance), len(frequent)), np.float32)
+        holds[row[known], number[at[known]]] = 1
+        more += holds.T @ (holds * left[:, None])
+        spread += holds.T @ (holds * (chance * (1 - chance))[:, None])
     score = np.abs(more) / np.sqrt(np.maximum(spread, 1.0))
     single = np.diag(score)
     tells = score >= fit.telling_pairs + 1.5 * np.maximum(single[:, None], single[None])
@@ -247,7 +259,10 @@ def learn(
     packed = arrow_stage(rows, _pack_terms, "id long, label int, terms binary")
     once = packed.groupBy("id").agg(F.min(F.struct("terms", "label")).alias("r")).orderBy("id").select("r.*").toArrow()
     terms = [np.frombuffer(t.as_buffer(), "<i4") for t in once["terms"]]
-    return fit_machine(terms, (once["label"].to_numpy() > 0).astype(float), fit)
+    machine = fit_machine(terms, (once["label"].to_numpy() > 0).astype(float), fit)
+    del terms, once
+    pa.default_memory_pool().release_unused()
+    return machine
 
 
 def _score(machine: Machine, kinds: str):
