@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from vectorloom.functions.vectors import l2_norm
 from vectorloom.registry import REGISTRY, ModelFacts, models_table
@@ -32,12 +32,22 @@ def vector_checks(vectors: DataFrame, vector: str, expected_dim: Column | int) -
 
 def all_vectors_pass(checked: DataFrame) -> DataFrame:
     """One row: how many vectors there are, how many fail, and whether none does."""
+    return checked.agg(*_vector_totals())
+
+
+def observe_vectors(checked: DataFrame, totals: Observation) -> DataFrame:
+    """``checked`` as it is; what :func:`all_vectors_pass` tells is in ``totals`` once it was
+    written, from the same pass."""
+    return checked.observe(totals, *_vector_totals())
+
+
+def _vector_totals() -> list[Column]:
     good = F.col("dim_ok") & F.col("norm_ok")
-    return checked.agg(
+    return [
         F.count(F.lit(1)).alias("n_vectors"),
         F.count_if(~good).alias("n_bad"),
         F.coalesce(F.bool_and(good), F.lit(True)).alias("passed"),
-    )
+    ]
 
 
 def count_checks(responses: DataFrame) -> DataFrame:
@@ -45,6 +55,17 @@ def count_checks(responses: DataFrame) -> DataFrame:
     return responses.withColumn("count_ok", F.size("embeddings") == F.size("payloads"))
 
 
+def observe_counts(responses: DataFrame, totals: Observation) -> DataFrame:
+    """:func:`count_checks`, with the number of requests, of those that fail and of vectors in
+    ``totals`` once the result was written."""
+    return count_checks(responses).observe(
+        totals,
+        F.count(F.lit(1)).alias("n_requests"),
+        F.count_if(~F.col("count_ok")).alias("n_bad"),
+        F.coalesce(F.sum(F.size("embeddings")), F.lit(0)).alias("n_vectors"),
+    )
+
+
 def long_count_checks(rows: DataFrame, vectors: DataFrame) -> DataFrame:
     """The same in long form: ``n_payloads``, ``n_vectors``, ``count_ok`` per request. The
     row that stands for an empty request counts as no payload."""

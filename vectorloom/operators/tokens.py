@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from vectorloom.encoders.base import EncoderFactory
 from vectorloom.functions.binding import let
@@ -87,8 +87,18 @@ def _counted(
 
 def truncation_report(usage: DataFrame, *group: str) -> DataFrame:
     """Texts, truncated texts and lost tokens per group."""
-    return usage.groupBy(*group).agg(
+    return usage.groupBy(*group).agg(*_totals())
+
+
+def observe_truncation(usage: DataFrame, totals: Observation) -> DataFrame:
+    """``usage`` as it is; the report on all of it is in ``totals`` once it was written, so a job
+    that writes vectors from it need not count again."""
+    return usage.observe(totals, *_totals())
+
+
+def _totals() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("n_texts"),
         F.count_if("truncated").alias("n_truncated"),
         F.sum(F.col("n_tokens") - F.col("kept_tokens")).cast("long").alias("tokens_lost"),
-    )
+    ]

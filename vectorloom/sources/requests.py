@@ -11,6 +11,9 @@ from vectorloom.schemas import REQUEST
 _ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
 
 
+# Fixed value: the largest variant that Spark makes.
+VARIANT_BYTES = 128 << 20
+
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """Array-form requests from Parquet. A null width means "not given" here."""
     return spark.read.schema(REQUEST).parquet(path)
@@ -33,7 +36,8 @@ def parse_requests(
     absent from one that is null, and a string from a number. A width may also be given
     as an integral float, a string holding an integer, or a boolean, and is refused
     otherwise. What cannot be accepted is a 422 in ``body_error``, and the text itself is then
-    in ``request_line``, so that it can be found again. A request without an integer ``request_id`` is
+    in ``request_line``, so that it can be found again. A line beyond Spark's limit for one
+    variant (``VARIANT_BYTES``) is refused with that as its reason. A request without an integer ``request_id`` is
     a 422 unless ``require_id`` is false, for lines that are told apart by other columns.
     """
     value = F.col(column)
@@ -68,9 +72,11 @@ def parse_requests(
     bounded = F.when(number.isNotNull(), F.greatest(F.least(number, F.lit(1e15)), F.lit(-1e15)))
     integral = bounded.isNotNull() & (bounded == F.floor(bounded))
     broken = F.col("_body").isNull()
+    too_long = broken & (F.octet_length(value) > VARIANT_BYTES)
     not_object = ~F.startswith(F.schema_of_variant(F.col("_body")), F.lit("OBJECT"))
     error = (
-        F.when(broken, refusal(422, "body: JSON decode error"))
+        F.when(too_long, refusal(422, f"body: a line of more than {VARIANT_BYTES >> 20} MiB cannot be read as one value"))
+        .when(broken, refusal(422, "body: JSON decode error"))
         .when(not_object, refusal(422, "body: input should be a valid dictionary"))
         .when(
             kind.isNotNull() & ~F.coalesce(integral, F.lit(False)),
