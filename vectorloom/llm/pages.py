@@ -34,21 +34,36 @@ ENDS_P = frozenset(
 )
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-# Elements and names that never hold main text.
+# Elements that never hold main text.
 DROPPED = frozenset(
-    "head script style title noscript template nav footer aside form button select option input textarea dialog menu"
-    " iframe object embed svg canvas audio video map noembed noframes datalist search header".split()
+    "head script style title noscript template button select option input textarea iframe object embed svg canvas audio"
+    " video map noembed noframes datalist".split()
 )
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-DROPPED_NAMES = frozenset(
+# Elements, roles and names that tell of boilerplate. All but comments and elements of such a
+# kind are outweighed by holding most of the text.
+MARKED_TAGS = frozenset("nav footer aside form dialog menu search header".split())
+MARKED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+COMMENT_NAMES = frozenset("comment comments reply replies disqus respond discussion".split())
+MARKED_NAMES = COMMENT_NAMES | frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion sidebar menu"
     " nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup"
-    " modal overlay newsletter subscribe subscription signup comment comments reply replies disqus respond discussion share"
-    " sharing social related recommended recommendations widget toolbar pagination pager login copyright topbar outbrain taboola"
-    " paywall disclaimer skip".split()
+    " modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations widget"
+    " toolbar pagination pager login copyright topbar outbrain taboola paywall disclaimer skip".split()
 )
+# Words that a name of boilerplate may hold besides: "site-footer" is one, "share-price" is not.
+NEUTRAL_NAMES = frozenset(
+    "area articles bar block bottom box btn buttons col column container content desktop fixed form global group header holder"
+    " icons inner item items left link links list main mobile module outer page panel post posts primary right row secondary"
+    " section side site slot sticky strip thread title top unit wrap wrapper zone".split()
+)
+CONTENT = frozenset({"article", "main"})
+CONTENT_WEIGHT = 3.0  # of paths in an article or main element that holds most of the text
+# Elements that are parts of a text, so the content is what stands around them.
+PARTS = frozenset("p li ul ol dl dt dd blockquote pre figure figcaption".split()) | HEADINGS
+PAGE = frozenset({"body", "html", "#root"})
+FEW = 300  # characters that marked elements hold at least, and the page beside them at most, to be content after all
 WORD = re.compile(r"[A-Za-z]+")
-NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
+HUMP = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 PUNCTUATION = re.compile(r"[,.;:!?…、。，！？；：]")
 
@@ -59,9 +74,10 @@ class Element:
     parent: Element | None
     path: str
     dropped: bool
-    shielded: bool = False  # holds an article or main element, so its name does not count
-    named: bool = False  # dropped by its name alone
-    chars: float = 0.0
+    mark: str = ""  # "kind" or "name" of boilerplate
+    content: bool = False  # an article or main element
+    held: int = 0  # characters outside of links
+    weight: float = 0.0
 
 
 @dataclass
@@ -72,22 +88,34 @@ class Block:
     text: str = ""
 
 
-def _named_as_boilerplate(attrs: str) -> tuple[str, bool, bool]:
-    """Class text of a tag, whether its names tell of boilerplate, and whether it is hidden."""
-    classes, named, hidden = "", False, False
+def _words(token: str) -> list[str]:
+    """The words of one name, parted by signs or by capitals."""
+    words: list[str] = []
+    for part in WORD.findall(token):
+        known = part.lower() in MARKED_NAMES or part.lower() in NEUTRAL_NAMES
+        words += [part] if known else HUMP.findall(part)
+    return [w.lower() for w in words if len(w) > 1]
+
+
+def _described(attrs: str) -> tuple[str, str, str, bool]:
+    """Class text of a tag, its role, the mark that its names give, and whether it is hidden.
+    A name counts only if all its words are of boilerplate or neutral."""
+    classes, role, mark, hidden = "", "", "", False
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name in ("class", "id"):
             classes = value if name == "class" else classes
-            words = [w.lower() for w in WORD.findall(value) + NAME.findall(value)]
-            named = named or not DROPPED_NAMES.isdisjoint(words)
+            for token in value.split():
+                words = set(_words(token))
+                if words & MARKED_NAMES and words <= MARKED_NAMES | NEUTRAL_NAMES and mark != "kind":
+                    mark = "kind" if words & COMMENT_NAMES else "name"
         elif name == "role":
-            named = named or value.lower() in DROPPED_ROLES
+            role = value.lower()
         elif name == "style":
             hidden = hidden or bool(HIDDEN.search(value))
         else:
             hidden = hidden or name == "hidden" or value.lower() == "true"
-    return classes, named, hidden
+    return classes, "kind" if role in MARKED_ROLES else role, mark, hidden
 
 
 def blocks_of(html: str) -> list[Block]:
@@ -162,16 +190,15 @@ def blocks_of(html: str) -> list[Block]:
                 current = None
             continue
         parent = stack[-1]
-        classes, named, hidden = _named_as_boilerplate(m["attrs"]) if len(m["attrs"]) > 1 else ("", False, False)
-        within = tag == "header" and any(e.tag in ("article", "main") for e in stack)
+        classes, role, mark, hidden = _described(m["attrs"]) if len(m["attrs"]) > 1 else ("", "", "", False)
+        within = tag == "header" and any(e.content for e in stack)
+        if role == "kind" or (tag in MARKED_TAGS and not within):
+            mark = "kind"
         element = Element(
             tag, parent,
             parent.path if tag in INLINE else f"{parent.path}/{tag}.{classes}" if classes else f"{parent.path}/{tag}",
-            parent.dropped or hidden or (tag in DROPPED and not within), named=named and tag not in ("html", "body"),
+            parent.dropped or hidden or tag in DROPPED, "" if tag in PAGE else mark, tag in CONTENT or role in CONTENT,
         )
-        if tag in ("article", "main") and not (named and tag == "article"):
-            for e in stack:
-                e.shielded = True
         stack.append(element)
         links += tag == "a"
         if tag not in INLINE:
@@ -182,20 +209,50 @@ def blocks_of(html: str) -> list[Block]:
     kept = []
     for block in blocks:
         block.text = " ".join("".join(block.pieces).split())
-        if block.text and not _dropped(block.owner):
+        if block.text and not block.owner.dropped:
             kept.append(block)
     return kept
 
 
-def _dropped(element: Element) -> bool:
-    if element.dropped:
-        return True
+def _above(element: Element) -> Iterator[Element]:
+    """The element and all that it stands in."""
     e: Element | None = element
     while e is not None:
-        if e.named and not e.shielded:
-            return True
+        yield e
         e = e.parent
-    return False
+
+
+def _unlinked(block: Block) -> int:
+    return max(len(block.text) - block.linked, 0)
+
+
+def _unmarked(blocks: list[Block]) -> list[Block]:
+    """The blocks that stand in no marked element, after marks are lifted from elements that
+    are the content of the page all the same, and hold ``FEW`` characters at least. A name is
+    lifted from what holds more than half of the text, unless an article or main element elsewhere holds a quarter as much; kinds
+    (navigation, footers, forms, comments), which often are longer than the text, only if
+    next to nothing stands outside."""
+    marked: dict[int, Element] = {}
+    total = 0
+    for b in blocks:
+        size = _unlinked(b)
+        total += size
+        for e in _above(b.owner):
+            e.held += size
+            if e.mark:
+                marked[id(e)] = e
+    for e in marked.values():
+        if e.mark == "kind" and e.held >= FEW and total - e.held < min(FEW, e.held / 8):
+            e.mark = ""
+    rest = [b for b in blocks if not any(e.mark == "kind" for e in _above(b.owner))]
+    total = sum(map(_unlinked, rest))
+    for top in [e for e in marked.values() if e.mark == "name"]:
+        own = sum(_unlinked(b) for b in rest if _below(b.owner, top)) if 2 * top.held > total else 0
+        if own >= FEW and 2 * own > total:
+            others = (b for b in rest if any(e.content for e in _above(b.owner)) and not any(e.mark for e in _above(b.owner)))
+            if 4 * sum(map(_unlinked, others)) < own:
+                top.mark = ""
+    return [b for b in rest if not any(e.mark for e in _above(b.owner))]
 
 
 def _smoothed(values: list[float]) -> list[float]:
@@ -216,7 +273,7 @@ def path_scores(blocks: list[Block]) -> dict[str, float]:
     sums: dict[str, list[float]] = {}
     for block in blocks:
         entry = sums.setdefault(block.owner.path, [0.0, 0.0, 0.0])
-        entry[0] += max(len(block.text) - block.linked, 0)
+        entry[0] += _unlinked(block)
         entry[1] += len(PUNCTUATION.findall(block.text)) * (1 if block.linked * 2 < len(block.text) else 0)
         entry[2] += 1
     length = [s[0] / s[2] for s in sums.values()]
@@ -226,73 +283,79 @@ def path_scores(blocks: list[Block]) -> dict[str, float]:
     return {path: n * (p + 0.1) for path, n, p in zip(sums, length, marks)}
 
 
-def _marked_content(blocks: list[Block]) -> Element | None:
-    """The article or main element that holds most text outside of links, if there is one:
-    an article, unless it holds less than half of the main element around it."""
-    held: dict[int, tuple[Element, int]] = {}
+def _own_content(blocks: list[Block]) -> Element | None:
+    """The innermost article or main element that holds at least half of the text, if any."""
+    held: dict[int, list] = {}
     for b in blocks:
-        e: Element | None = b.owner
-        while e is not None:
-            if e.tag in ("article", "main"):
-                held[id(e)] = (e, held.get(id(e), (e, 0))[1] + max(len(b.text) - b.linked, 0))
-            e = e.parent
-    best = None
-    for tag in ("main", "article"):
-        own = [h for h in held.values() if h[0].tag == tag and h[1]]
-        if own:
-            largest = max(own, key=lambda h: h[1])
-            if best is None or not _below(largest[0], best[0]) or 2 * largest[1] >= best[1]:
-                best = largest
-    return best[0] if best else None
+        for e in _above(b.owner):
+            if e.content:
+                held.setdefault(id(e), [e, 0])[1] += _unlinked(b)
+    total = sum(map(_unlinked, blocks))
+    most = [h[0] for h in held.values() if 2 * h[1] >= total > 0]
+    return max(most, key=lambda e: sum(1 for _ in _above(e)), default=None)
 
 
 def main_blocks(blocks: list[Block]) -> list[Block]:
-    """The content nodes among the blocks of a page."""
+    """The content nodes among the blocks of a page: those of a high path score, and what
+    stands around them in the element that holds nearly all of the score."""
+    blocks = _unmarked(blocks)
     if not blocks:
         return []
-    marked_up = _marked_content(blocks)
-    if marked_up is not None:
-        blocks = [b for b in blocks if _below(b.owner, marked_up)]
+    own = _own_content(blocks)
     scores = path_scores(blocks)
-    values = [scores[b.owner.path] for b in blocks]
+    values = [scores[b.owner.path] * (CONTENT_WEIGHT if own and _below(b.owner, own) else 1.0) for b in blocks]
     limit = min(_deviation(values) * 0.5, max(values)) if len(values) > 1 else 0.0
-    chosen = [b for b, v in zip(blocks, values) if v >= limit and v > 0] or blocks
+    chosen = [(b, v) for b, v in zip(blocks, values) if v >= limit and v > 0] or list(zip(blocks, values))
     # the deepest element that holds nearly all of the chosen text
     total = 0.0
-    for b in chosen:
-        weight = max(len(b.text) - b.linked, 1) * (scores[b.owner.path] + 1e-9)
+    for b, v in chosen:
+        weight = max(_unlinked(b), 1) * (v + 1e-9)
         total += weight
-        e: Element | None = b.owner
-        while e is not None:
-            e.chars += weight
-            e = e.parent
-    top = max(chosen, key=lambda b: b.owner.chars).owner
-    while top.parent is not None and top.chars < 0.8 * total:
+        for e in _above(b.owner):
+            e.weight += weight
+    top = max(chosen, key=lambda c: c[0].owner.weight)[0].owner
+    while top.parent is not None and top.weight < 0.8 * total:
         top = top.parent
-    semantic = marked_up is not None
-    top = marked_up or top
-    if top.tag in ("p", "li", *HEADINGS) and top.parent is not None:
+    if own is not None and own.tag != "main" and _below(top, own):
+        top = own
+    leaf = top.tag not in CONTENT and all(b.owner is top for b, _ in chosen if _below(b.owner, top))
+    if leaf and top.parent is not None and top.parent.tag not in PAGE:
         top = top.parent
-    inside = [b for b in blocks if _below(b.owner, top)]
-    marked = {id(b) for b in chosen}
-    order = [k for k, b in enumerate(inside) if id(b) in marked] or [0]
+    while top.tag in PARTS and top.parent is not None:
+        top = top.parent
+    inside = [k for k, b in enumerate(blocks) if _below(b.owner, top)]
+    marked = {id(b) for b, _ in chosen}
+    order = [k for k in inside if id(blocks[k]) in marked]
+    first, last = (order[0], order[-1]) if order else (inside[0], inside[-1])
+    if top.tag in PAGE:  # what stands beside the text is part of it only where it is no section of its own
+        while first > 0 and blocks[first - 1].owner.tag in HEADINGS and blocks[first - 1].owner.parent is blocks[first].owner.parent:
+            first -= 1
+        while last + 1 < len(blocks) and not _linked(blocks[last + 1]) and _part_of(blocks[last + 1].owner, top):
+            last += 1
+    else:
+        first, last = inside[0], inside[-1]
+        while first > 0 and blocks[first - 1].owner.tag in HEADINGS and blocks[first - 1].owner.parent is top.parent:
+            first -= 1
+            inside.insert(0, first)
     result = []
-    for k, b in enumerate(inside):
-        dense = b.linked * 2 >= len(b.text)
-        between = order[0] <= k <= order[-1]
-        heading = b.owner.tag in HEADINGS
-        if id(b) in marked or heading or (not dense and (semantic or between)):
+    for k in inside:
+        b = blocks[k]
+        if id(b) in marked or (first <= k <= last and (b.owner.tag in HEADINGS or not _linked(b))):
             result.append(b)
     return result
 
 
+def _linked(block: Block) -> bool:
+    return block.linked * 2 >= len(block.text)
+
+
+def _part_of(element: Element, top: Element) -> bool:
+    """Whether only parts of a text stand between the two."""
+    return _below(element, top) and all(e.tag in PARTS for e in _above(element) if e is not top and _below(e, top))
+
+
 def _below(element: Element, top: Element) -> bool:
-    e: Element | None = element
-    while e is not None:
-        if e is top:
-            return True
-        e = e.parent
-    return False
+    return any(e is top for e in _above(element))
 
 
 def main_text(html: str) -> str:
