@@ -2,6 +2,8 @@ import hashlib
 import re
 from dataclasses import replace
 
+from vectorloom.llm import secrets
+from vectorloom.llm.common import arrow_stage
 from vectorloom.llm.secrets import RULES, op7_secrets, read_ledger, scan
 
 
@@ -50,6 +52,23 @@ def test_a_second_run_scans_what_is_new(spark, tmp_path):
     assert read_ledger(spark, ledger).count() == again
 
 
+def test_seen_texts_do_not_move(spark, tmp_path, monkeypatch):
+    ledger = str(tmp_path / "ledger")
+    run(spark, TEXTS, ledger)
+    plans = []
+
+    def spy(df, function, schema):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return arrow_stage(df, function, schema)
+
+    monkeypatch.setattr(secrets, "arrow_stage", spy)
+    run(spark, [*TEXTS, "token = 1234567"], ledger)
+    # the join stands below the only exchange of texts and gets the addresses by broadcast
+    (plan,) = plans
+    below = plan[plan.index("Exchange hashpartitioning"):]
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in below and "SortMergeJoin" not in plan
+
+
 def test_the_whole_table(spark, small):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     rows = op7_secrets(spark, small).collect()

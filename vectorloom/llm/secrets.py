@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vectorloom.llm.common import arrow_schema, arrow_stage, table
-from vectorloom.session import scratch_path
+from vectorloom.session import materialize, scratch_path
 
 
 @dataclass(frozen=True)
@@ -87,21 +87,23 @@ def scan_unseen(
     """Scan each distinct text for the rule versions that the ledger lacks, and write the
     findings, empty ones included, to ``into`` in the ledger's form.
 
-    A text is addressed by the SHA-256 of its UTF-8 bytes; null counts as empty. Equal texts
-    meet before they move, so a group of copies is one blob in every task and one scan in all.
+    A text is addressed by the SHA-256 of its UTF-8 bytes; null counts as empty. Only addresses
+    meet the ledger; texts are looked up for those that it lacks, which Spark broadcasts while
+    they are few, so that seen texts are hashed and never moved. Equal texts meet before they
+    move, so a group of copies is one blob in every task and one scan in all.
     """
     spark = versions.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     blobs = versions.select(F.unhex(F.sha2(text.cast("binary"), 256)).alias("blob"), text.alias("text"))
-    blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"))
+    every = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
     if ledger is None:
-        every = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
-        wanted = blobs.withColumn("wanted", every)
+        wanted = blobs.groupBy("blob").agg(F.first("text").alias("text")).withColumn("wanted", every)
     else:
         seen = read_ledger(spark, ledger).groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("seen"))
-        every = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
         left = F.filter(every, lambda p: ~F.array_contains(F.coalesce("seen", F.array().cast(seen.schema["seen"].dataType)), p))
-        wanted = blobs.join(seen, "blob", "left").withColumn("wanted", left).filter(F.size("wanted") > 0)
+        missing = blobs.select("blob").distinct().join(seen, "blob", "left").withColumn("wanted", left)
+        missing = materialize(missing.filter(F.size("wanted") > 0).select("blob", "wanted"), "unseen")
+        wanted = blobs.join(missing, "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
     arrow_stage(wanted.select("blob", "text", "wanted"), _scan(rules), FINDINGS).write.mode("append").parquet(into)
 
 
@@ -146,8 +148,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in every document, by a ledger that starts empty."""
-    found = scan(table(spark, sf_dir, "documents"), ["doc_id"], "text", scratch_path(spark, "ledger"))
+    """Secrets in every document, in two deliveries to a ledger that starts empty: first the
+    documents of the most frequent source, then all, of which only unseen ones are scanned."""
+    docs, ledger = table(spark, sf_dir, "documents"), scratch_path(spark, "ledger")
+    largest = docs.groupBy("source").count().orderBy(F.desc("count"), "source").first()
+    if largest is not None:
+        scan_unseen(docs.filter(F.col("source").eqNullSafe(F.lit(largest["source"]))), "text", None, ledger)
+    found = scan(docs, ["doc_id"], "text", ledger)
     listed = F.array_join(
         F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
     )
