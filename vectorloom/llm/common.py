@@ -42,11 +42,13 @@ def fresh_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def keep_by_decision(docs: DataFrame, decisions: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` for which ``decisions`` has a row of the same id and text.
+def by_decision(docs: DataFrame, decisions: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    """The rows of ``docs`` for which ``decisions`` has a row of the same id and text
+    (``how="left_semi"``), or those for which it has none (``how="left_anti"``).
 
-    ``decisions`` holds the columns ``id`` and ``key`` (:func:`text_key`). A null id equals
-    a null id. Every column of ``docs`` is kept and none is added.
+    ``decisions`` holds the columns ``id`` and ``key`` (:func:`text_key`); where it is a stored
+    table of few rows, as rejections are, Spark broadcasts it and no text moves. A null id
+    equals a null id. Every column of ``docs`` is kept and none is added.
     """
     wanted = decisions.select(
         F.col("id").isNull().alias("_none"), F.coalesce("id", F.lit(0)).alias("_id"), F.col("key").alias("_key")
@@ -57,4 +59,4 @@ def keep_by_decision(docs: DataFrame, decisions: DataFrame, id_col: str, text_co
         & (F.coalesce(F.col(f"d.{id_col}"), F.lit(0)) == F.col("w._id"))
         & (text_key(F.col(f"d.{text_col}")) == F.col("w._key"))
     )
-    return left.join(wanted.alias("w"), on, "left_semi")
+    return left.join(wanted.alias("w"), on, how)

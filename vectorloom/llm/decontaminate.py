@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from vectorloom.llm.common import arrow_stage, keep_by_decision, table, text_key
+from vectorloom.llm.common import arrow_stage, by_decision, table, text_key
 from vectorloom.session import materialize
 
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -279,8 +279,8 @@ def contamination(
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated, columns as they are."""
-    clean = contamination(docs, items, id_col, text_col).filter(~F.col("contaminated")).select("id", "key")
-    return keep_by_decision(docs, clean, id_col, text_col)
+    rejected = contamination(docs, items, id_col, text_col).filter("contaminated").select("id", "key")
+    return by_decision(docs, materialize(rejected, "rejected"), id_col, text_col, "left_anti")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectorloom.llm.common import arrow_schema, arrow_stage, keep_by_decision, table, text_key
+from vectorloom.llm.common import arrow_schema, arrow_stage, by_decision, table, text_key
 from vectorloom.llm.components import connected_components
 from vectorloom.session import materialize
 
@@ -336,9 +336,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     once."""
     found = materialize(near_duplicates(docs, id_col, text_col), "near")
     first = F.struct(F.col("id").isNull().alias("none"), "id", "key")
-    roots = found.groupBy(F.coalesce("component", "mark").alias("g"), F.col("component").isNull().alias("n"))
-    kept = roots.agg(F.min(first).alias("first")).select("first.id", "first.key")
-    return keep_by_decision(docs, kept, id_col, text_col).dropDuplicates()
+    group = [F.coalesce("component", "mark").alias("g"), F.col("component").isNull().alias("n")]
+    groups = found.groupBy(*group).agg(F.min(first).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    rows = found.select("id", "key", *group).join(materialize(groups, "groups"), ["g", "n"])
+    is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))
+    rows = materialize(rows.groupBy("id", "key").agg(F.max(is_first).alias("is_first"), F.count("*").alias("times")), "copies")
+    # rows outside of these are alone in their group; only rows of one id and text can be alike
+    repeated = rows.filter("is_first and times > 1")
+    others = by_decision(docs, rows.filter("not is_first or times > 1"), id_col, text_col, "left_anti")
+    return others.unionByName(by_decision(docs, repeated, id_col, text_col, "left_semi").dropDuplicates())
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
