@@ -1,5 +1,6 @@
 """Encoders whose results can be traced back to their inputs."""
 
+import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,6 +61,19 @@ class ShortFactory:
         return np.ones((len(texts) - 1, 2), np.float32)
 
 
+@dataclass(frozen=True)
+class SlowDocuments:
+    """Every call with a document of the first model takes a while."""
+
+    def __call__(self, model):
+        return self
+
+    def encode(self, texts):
+        if any("title: none" in t for t in texts):
+            time.sleep(0.7)
+        return np.ones((len(texts), 2), np.float32)
+
+
 class CharacterEncoder(TokenEncoder):
     """Characters as tokens between a start (1) and an end (2): counts, first and last id."""
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from vectorloom.functions.vectors import l2_norm
-from vectorloom.registry import REGISTRY, ModelFacts, models_table
+from vectorloom.registry import REGISTRY, ModelFacts, models_table, parse_active
 
 # Fixed value: how far from 1 a length may be.
 NORM_TOLERANCE = 1e-3
@@ -93,18 +93,12 @@ def status_rollup(
     that fails with 500 says nothing about readiness. ``healthy`` is true everywhere if every active model is ``ok``.
     """
     models = models_table(outcomes.sparkSession, active, overrides, registry)
-    gone = F.col("kind") == "unavailable"
     # Restricted to active models first, so the counts have at most MAX_MODELS rows
     # however many unknown names the requests bring.
     counts = (
         outcomes.join(F.broadcast(models.select("model")), "model", "left_semi")
         .groupBy("model")
-        .agg(
-            F.count_if(F.col("status") == 200).alias("n_ok"),
-            F.count_if(F.col("status") >= 500).alias("n_failed"),
-            F.count_if(gone).alias("n_unreachable"),
-            F.count_if((F.col("status") == 503) & ~F.coalesce(gone, F.lit(False))).alias("n_loading"),
-        )
+        .agg(*[F.count_if(counted).alias(name) for name, counted in _answers().items()])
     )
     zero = F.lit(0).cast("long")
     per_model = models.join(F.broadcast(counts), "model", "left").select(
@@ -122,3 +116,44 @@ def status_rollup(
     return per_model.agg(
         F.bool_and(F.col("status") == "ok").alias("healthy"), F.collect_list(facts).alias("models")
     ).select("healthy", F.inline("models"))
+
+
+def _answers() -> dict[str, Column]:
+    """What readiness counts among the outcomes of a model."""
+    gone = F.col("kind") == "unavailable"
+    return {
+        "n_ok": F.col("status") == 200,
+        "n_failed": F.col("status") >= 500,
+        "n_unreachable": gone,
+        "n_loading": (F.col("status") == 503) & ~F.coalesce(gone, F.lit(False)),
+    }
+
+
+def status_totals(
+    active: str | Sequence[str] | None = None, registry: Sequence[ModelFacts] = REGISTRY
+) -> list[Column]:
+    """The counts behind :func:`status_rollup` as aggregates to observe, four per active model.
+
+    For a pass over ``model, status, kind`` that is made anyway, of a batch or a stream;
+    :func:`readiness` reads the result.
+    """
+    names = [m.key for m in registry] if active is None else parse_active(active, registry)
+    return [
+        F.count_if((F.col("model") == model) & counted).alias(f"{name}_{place}")
+        for place, model in enumerate(names)
+        for name, counted in _answers().items()
+    ]
+
+
+def readiness(
+    totals: Mapping[str, int], active: str | Sequence[str] | None = None, registry: Sequence[ModelFacts] = REGISTRY
+) -> list[dict]:
+    """``model, n_ok, n_failed, status`` of every active model from observed ``status_totals``,
+    by the rule of :func:`status_rollup`. A few numbers on the driver; no job runs."""
+    names = [m.key for m in registry] if active is None else parse_active(active, registry)
+    found = []
+    for place, model in enumerate(names):
+        n = {name: totals[f"{name}_{place}"] for name in _answers()}
+        status = "unreachable" if n["n_unreachable"] else "loading" if n["n_loading"] else "ok"
+        found.append({"model": model, "n_ok": n["n_ok"], "n_failed": n["n_failed"], "status": status})
+    return found

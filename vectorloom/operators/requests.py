@@ -135,11 +135,15 @@ def split_by_size(
     requests: DataFrame, row_bytes: int, registry: Sequence[ModelFacts] = REGISTRY
 ) -> tuple[DataFrame, DataFrame]:
     """Requests whose vectors fit into one row of ``row_bytes``, and the rest in long form."""
+    fits = fits_row(row_bytes, registry)
+    return requests.where(fits), request_rows(requests.where(~fits))
+
+
+def fits_row(row_bytes: int, registry: Sequence[ModelFacts] = REGISTRY) -> Column:
+    """Whether the vectors of an array-form request fit into one row of ``row_bytes``."""
     native = F.coalesce(*[F.when(F.col("model") == m.key, m.native_dim) for m in registry], F.lit(1))
     width = F.greatest(F.least(effective_dimensions(F.col("dimensions")), native.cast("long")), F.lit(1))
-    size = F.coalesce(F.size("payloads"), F.lit(0)).cast("long") * width * 8
-    fits = size <= row_bytes
-    return requests.where(fits), request_rows(requests.where(~fits))
+    return F.coalesce(F.size("payloads"), F.lit(0)).cast("long") * width * 8 <= row_bytes
 
 
 def first_failures(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,19 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from vectorloom.encoders import EncoderFactory, HashingFactory
 from vectorloom.functions.failures import classify_failure
 from vectorloom.functions.prompts import apply_prompt
 from vectorloom.functions.tokens import fit_text
-from vectorloom.operators.embedding import encode_requests, encode_texts
-from vectorloom.operators.requests import EMPTY_LIST, first_failures, validate_requests
+from vectorloom.operators.embedding import ROW_BYTES, encode_requests, encode_texts
+from vectorloom.operators.requests import (
+    EMPTY_LIST,
+    first_failures,
+    fits_row,
+    regroup_responses,
+    request_rows,
+    validate_requests,
+)
 from vectorloom.registry import DEFAULT_DIMENSIONS, REGISTRY, TASKS, ModelFacts
-from vectorloom.schemas import OUTCOME
+from vectorloom.schemas import ERROR, OUTCOME
 from vectorloom.session import attach, materialize
 
 
+# The kind of an outcome whose vectors exceed one row.
+LARGE = "large"
+
+
 def stand_in(registry: Sequence[ModelFacts] = REGISTRY) -> HashingFactory:
     """The hashing encoder at the native width of every model."""
     return HashingFactory(tuple((m.key, m.native_dim) for m in registry))
@@ -86,6 +97,7 @@ def embed_requests(
     factory: EncoderFactory | None = None,
     registry: Sequence[ModelFacts] = REGISTRY,
     truncate: bool = True,
+    row_bytes: int = ROW_BYTES,
     **options,
 ) -> DataFrame:
     """Array-form requests to one outcome row each, in one pass without a shuffle.
@@ -94,7 +106,8 @@ def embed_requests(
     detail, kind``, and the ``request_line`` of requests that could not be read, if they have one. Status is 200, or what validation or the encoder reported; failed requests
     have no embeddings and do not affect others. A request without payloads succeeds with
     no vectors and no call. Refused requests pass the encoder stage with null texts, so
-    the input is scanned once.
+    the input is scanned once. So do requests whose vectors exceed ``row_bytes``: their kind is
+    ``large``, and :func:`embed_large_requests` answers them.
     """
     attach(requests.sparkSession)
     if "request_line" in requests.columns and "request_line" not in keys:
@@ -103,6 +116,7 @@ def embed_requests(
     valid = validate_requests(requests, active, registry, overrides, body_error)
     prompted = F.transform("payloads", lambda p: _routed_text(p, truncate))
     kept = [*keys, "model", "task", "build", "dimensions"]
+    valid = valid.withColumn("error", F.coalesce("error", F.when(~fits_row(row_bytes, registry), _too_large())))
     callable_ = F.col("error").isNull() & (F.size("payloads") > 0)
     prepared = valid.select(*kept, "error", F.when(callable_, prompted).alias("texts"))
     encoded = encode_requests(
@@ -119,6 +133,48 @@ def embed_requests(
     )
 
 
+def _too_large() -> Column:
+    detail = "the vectors of this request exceed one row; pass it in long form"
+    return F.struct(F.lit(500).alias("status"), F.lit(detail).alias("detail"), F.lit(LARGE).alias("kind")).cast(ERROR)
+
+
+def embed_large_requests(
+    requests: DataFrame, *, keys: Sequence[str] = ("request_id",), part_texts: int = 1024, **options
+) -> tuple[DataFrame, DataFrame]:
+    """Array-form requests whose answers exceed one row, to ``(outcomes, parts)``.
+
+    ``outcomes`` are those of :func:`embed_requests` without vectors: ``embeddings`` is null
+    for every one. ``parts`` holds the keys, ``part`` and ``embeddings`` of the good ones, at most
+    ``part_texts`` vectors a row; the parts of a request, in order, are its answer. Requests are
+    told apart by a number of their own, so null and repeated keys are fine. For the few large
+    requests of a job: they are stored, encoded once in long form, and what moves behind
+    the encoder are slices of ``part_texts`` vectors.
+    """
+    if "request_line" in requests.columns and "request_line" not in keys:
+        keys = [*keys, "request_line"]
+    checks = {k: options[k] for k in ("active", "registry", "overrides") if options.get(k) is not None}
+    body_error = F.col("body_error") if "body_error" in requests.columns else None
+    numbered = materialize(requests.withColumn("_request", F.monotonically_increasing_id()), "large")
+    rows = request_rows(numbered.select(F.col("_request").alias("request_id"), "model", "task", "dimensions", "payloads"))
+    failures, vectors = embed_request_texts(rows, **options)
+    failed = failures.select(F.col("request_id").alias("_request"), F.struct("status", "detail", "kind").cast(ERROR).alias("_failure"))
+    kept = ["model", "task", "build", "dimensions"]
+    none = F.lit(None).cast(T.ArrayType(vectors.schema["embedding"].dataType))
+    outcomes = (
+        validate_requests(numbered, body_error=body_error, **checks)
+        .select("_request", *keys, *kept, "error")
+        .join(failed, "_request", "left")
+        .withColumn("_failure", F.coalesce("error", "_failure"))
+        .select(
+            *keys, *kept, none.alias("embeddings"), F.coalesce("_failure.status", F.lit(200)).alias("status"),
+            F.col("_failure.detail").alias("detail"), F.col("_failure.kind").alias("kind"),
+        )
+    )
+    answered = regroup_responses(vectors, part_texts).withColumnRenamed("request_id", "_request")
+    parts = numbered.select("_request", *keys).join(answered, "_request").select(*keys, "part", "embeddings")
+    return outcomes, parts
+
+
 def encode_request_texts(
     rows: DataFrame,
     *,

@@ -303,6 +303,15 @@ FROM seen WHERE width < 1 OR model = 'nomodel' OR fault IS NOT NULL""",
 SELECT conv_id, turn, CAST(1 AS BIGINT) AS n_outcomes,
   CAST(CASE WHEN width < 1 THEN 422 WHEN model = 'nomodel' THEN 404 WHEN fault IS NULL THEN 200 ELSE {_FAULT_STATUS} END AS BIGINT) AS status
 FROM seen""",
+    "stream_readiness": f"""WITH {_MODELS}, {_TURNS},
+  valid AS (SELECT model FROM turns WHERE width IS NULL OR width >= 1)
+SELECT model, CAST(CASE model WHEN 'gemma' THEN count(v.model) ELSE 0 END AS BIGINT) AS n_ok,
+  CAST(CASE model WHEN 'qwen' THEN count(v.model) ELSE 0 END AS BIGINT) AS n_failed,
+  CASE WHEN model = 'qwen' AND count(v.model) > 0 THEN 'unreachable' END AS failed_as
+FROM models m LEFT JOIN valid v USING (model) GROUP BY model""",
+    "stream_lanes": """SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'query' ELSE 'document' END AS lane,
+  CASE WHEN turn % 3 = 2 THEN 'response_parts' ELSE 'outcomes' END AS place, CAST(turn % 3 + 1 AS BIGINT) AS n_vectors
+FROM conversations""",
     "plugin_tokens": f"""WITH seen AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'qwen' ELSE 'gemma' END AS model,
       CASE WHEN lang = 'en' THEN text ELSE {_GEMMA_DOC} || text END AS prompted FROM documents),
   counted AS (SELECT doc_id, model, (length(prompted) + 1) // 2 + CASE model WHEN 'gemma' THEN 2 ELSE 1 END AS n,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -43,6 +44,7 @@ from vectorloom.sources.requests import parse_requests
 from vectorloom.sources.sinks import write_errors, write_responses, write_vectors
 from vectorloom.sources.texts import read_texts
 from vectorloom.streaming.jobs import (
+    embed_lanes,
     embed_stream,
     embed_stream_with_dead_letters,
     read_request_stream,
@@ -693,6 +695,51 @@ def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readiness of every model from a stream that counts while it writes; one model does not load."""
+    out = scratch_path(spark, "stream")
+    embed_stream_with_dead_letters(
+        _turn_requests(_turn_stream(spark, sf_dir)), out, f"{out}/checkpoint",
+        keys=("conv_id", "turn"), factory=FaultyFactory(stand_in(), missing=("qwen",)),
+    ).awaitTermination()
+    rows = spark.read.parquet(f"{out}/readiness")
+    return rows.groupBy("model").agg(
+        F.sum("n_ok").alias("n_ok"), F.sum("n_failed").alias("n_failed"),
+        F.max(F.when(F.col("n_failed") > 0, F.col("status"))).alias("failed_as"),
+    )
+
+
+def stream_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as queries and as documents, in streams side by side; some answers exceed a row of
+    the size given here and come in parts."""
+    out = scratch_path(spark, "stream")
+    turns = _turn_stream(spark, sf_dir).select(
+        "conv_id", "turn", F.lit("gemma").alias("model"),
+        F.when(F.col("role") == "user", "query").otherwise("document").alias("task"),
+        F.array_repeat("text", (F.col("turn") % 3 + 1).cast("int")).alias("payloads"),
+        F.lit(16).cast("long").alias("dimensions"),
+    )
+    lanes = embed_lanes(
+        turns, out, f"{out}/checkpoint", keys=("conv_id", "turn"), row_bytes=2 * 16 * 8,
+        pool="{lane}" if spark.sparkContext.getConf().get("spark.scheduler.mode", "FIFO") == "FAIR" else None,
+    )
+    for lane in lanes.values():
+        lane.awaitTermination()
+    answers = [
+        spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{out}/{lane}/{table}")
+        .select("conv_id", "turn", F.lit(lane).alias("lane"), F.lit(table).alias("place"), F.size("embeddings").alias("n"))
+        for lane in lanes
+        for table, schema in (("outcomes", _LANE_ROW), ("response_parts", _LANE_ROW))
+    ]
+    return (
+        reduce(DataFrame.unionByName, answers).where("n >= 0").groupBy("conv_id", "turn", "lane", "place")
+        .agg(F.sum("n").cast("long").alias("n_vectors"))
+    )
+
+
+_LANE_ROW = "conv_id bigint, turn bigint, embeddings array<array<float>>"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "embed_documents": embed_documents,
     "embed_pages": embed_pages,
@@ -735,4 +782,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_embed": stream_embed,
     "stream_dead_letters": stream_dead_letters,
     "stream_once": stream_once,
+    "stream_readiness": stream_readiness,
+    "stream_lanes": stream_lanes,
 }

@@ -23,6 +23,7 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.scheduler.mode", "FAIR")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

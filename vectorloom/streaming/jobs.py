@@ -9,13 +9,17 @@ by its key, which the state store keeps for a while, and is not answered again.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
-
-from vectorloom.plans.bulk import embed_requests, encode_request_texts
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
+
+from vectorloom.operators.embedding import ROW_BYTES
+from vectorloom.operators.quality import readiness, status_totals
+from vectorloom.operators.requests import fits_row
+from vectorloom.plans.bulk import LARGE, embed_large_requests, embed_requests, encode_request_texts
+from vectorloom.registry import REGISTRY
 from vectorloom.schemas import REQUEST
 
 
@@ -74,11 +78,14 @@ def embed_stream(
     """Long-form requests to a Parquet table of vectors and errors, one row per payload.
 
     A payload that is delivered again within ``once_within`` is not encoded again; None
-    keeps no state and encodes every row.
+    keeps no state and encodes every row. What the models answered is counted in the same pass;
+    a :class:`ReadinessListener` reports it after every micro-batch.
     """
     if once_within:
         rows = first_deliveries(rows, ("request_id", "payload_index"), once_within)
     encoded = encode_request_texts(rows, **options)
+    told = encoded.withColumns({"status": F.coalesce("error.status", F.lit(200)), "kind": F.col("error.kind")})
+    encoded = told.observe(READINESS, *status_totals(**_models(options))).drop("status", "kind")
     writer = encoded.writeStream.format("parquet").outputMode("append").option("path", out)
     return _start(writer, checkpoint, every)
 
@@ -92,9 +99,10 @@ def embed_stream_with_dead_letters(
     every: str | None = None,
     join_output: bool = False,
     once_within: str | None = ONCE_WITHIN,
+    row_bytes: int = ROW_BYTES,
     **options,
 ) -> StreamingQuery:
-    """Array-form requests to two tables below ``out``: ``outcomes`` and ``dead_letters``.
+    """Array-form requests to tables below ``out``: ``outcomes``, ``dead_letters`` and ``readiness``.
 
     A micro-batch is encoded and written once. Its failures are then copied from that
     stored result, never from a second run that might turn out differently. Both writes
@@ -106,6 +114,11 @@ def embed_stream_with_dead_letters(
     A request that is delivered again within ``once_within`` of its first delivery, in the same
     batch, a later one or after a restart, has the one outcome it had; requests without a key
     are answered each time. None keeps no state and answers every row.
+
+    ``readiness`` holds what the models answered in each batch (``model, n_ok, n_failed, status``),
+    counted by the pass that writes the outcomes. A request whose vectors exceed ``row_bytes`` is
+    answered in long form: its outcome has no vectors, they are in ``response_parts``, which is
+    there only for batches with such requests. Nothing is read again in a batch without them.
     """
 
     spark = requests.sparkSession
@@ -118,7 +131,22 @@ def embed_stream_with_dead_letters(
         session = batch.sparkSession
         place = f"stream_id={_stream_id(session, checkpoint)}/batch_id={number}"
         outcomes = f"{out}/outcomes/{place}"
-        embed_requests(batch, keys=keys, **options).write.mode("overwrite").parquet(outcomes)
+        counts = status_totals(**_models(options))
+        answers = embed_requests(batch, keys=keys, row_bytes=row_bytes, **options)
+        large = F.coalesce(F.col("kind") == LARGE, F.lit(False))
+        found, seen = Observation(), Observation()
+        answers = answers.observe(found, F.count_if(large).alias("n_large")).where(~large)
+        answers.observe(seen, *counts).write.mode("overwrite").parquet(outcomes)
+        totals = seen.get
+        if found.get["n_large"]:
+            rest = batch.where(~fits_row(row_bytes, options.get("registry") or REGISTRY))
+            late, parts = embed_large_requests(rest, keys=keys, **options)
+            added = Observation()
+            late.observe(added, *counts).write.mode("append").parquet(outcomes)
+            parts.write.mode("overwrite").parquet(f"{out}/response_parts/{place}")
+            totals = {name: n + added.get[name] for name, n in totals.items()}
+        ready = session.createDataFrame(readiness(totals, **_models(options)), _READINESS_ROW)
+        ready.coalesce(1).write.mode("overwrite").parquet(f"{out}/readiness/{place}")
         written = session.read.parquet(outcomes)
         line = [c for c in ("request_line",) if c in written.columns and c not in keys]
         failed = written.where(F.col("status") != 200).select(*keys, "status", "detail", *line)
@@ -129,6 +157,76 @@ def embed_stream_with_dead_letters(
     return _start(requests.writeStream.foreachBatch(store), checkpoint, every)
 
 
+# Fixed value: the name of the counts among a stream's observed metrics.
+READINESS = "readiness"
+_READINESS_ROW = "model string, n_ok long, n_failed long, status string"
+
+
+class ReadinessListener(StreamingQueryListener):
+    """Calls ``report(query name or id, batch number, rows)`` after every micro-batch of
+    :func:`embed_stream`, with the ``readiness`` of its active models.
+
+    The counts come with the progress event: no outcome is read again and no job runs.
+    Give it the ``active`` and ``registry`` of the stream.
+    """
+
+    def __init__(self, report: Callable[[str, int, list[dict]], None], **models):
+        self.report, self.models = report, models
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        totals = (progress.observedMetrics or {}).get(READINESS)
+        if totals is not None:
+            self.report(progress.name or str(progress.id), progress.batchId, readiness(totals.asDict(), **self.models))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def _models(options: dict) -> dict:
+    """Those of the options that say which models are active."""
+    return {k: options[k] for k in ("active", "registry") if options.get(k) is not None}
+
+
+def embed_lanes(
+    requests: DataFrame, out: str, checkpoint: str, *, pool: str | None = "{lane}", **options
+) -> dict[str, StreamingQuery]:
+    """One source of array-form requests as two streams side by side, ``query`` and ``document``.
+
+    Each lane is an :func:`embed_stream_with_dead_letters` with its own checkpoint and tables, in
+    folders of its name below ``checkpoint`` and ``out``, so that a large batch of documents never
+    delays the next batch of queries. Their jobs run in the scheduler pools that ``pool`` names, which
+    share the cores task by task; that needs ``spark.scheduler.mode=FAIR`` (weights go into
+    ``spark.scheduler.allocation.file``). ``pool=None`` leaves the pool as it is. Requests of
+    no known task are answered, with their error, in the document lane. Both lanes read the
+    source; each passes over the other's rows. A request is answered once within its lane.
+    """
+    spark = requests.sparkSession
+    context = spark.sparkContext
+    if pool is not None and context.getConf().get("spark.scheduler.mode", "FIFO").upper() != "FAIR":
+        raise ValueError("lanes share cores only with spark.scheduler.mode=FAIR; pass pool=None to run them without pools")
+    is_query = F.coalesce(F.col("task") == "query", F.lit(False))
+    before = context.getLocalProperty("spark.scheduler.pool")
+    started = {}
+    try:
+        for lane, rows in (("query", is_query), ("document", ~is_query)):
+            if pool is not None:
+                # a stream keeps the properties of the thread that starts it
+                context.setLocalProperty("spark.scheduler.pool", pool.format(lane=lane))
+            started[lane] = embed_stream_with_dead_letters(
+                requests.where(rows), f"{out}/{lane}", f"{checkpoint}/{lane}", **options
+            )
+    finally:
+        context.setLocalProperty("spark.scheduler.pool", before)
+    return started
+
+
 def _stream_id(spark: SparkSession, checkpoint: str) -> str | None:
     """The id that Spark keeps in a checkpoint, None if it has not been used yet."""
     try:
