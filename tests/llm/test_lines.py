@@ -25,6 +25,16 @@ def test_later_occurrences_go(spark):
     )
 
 
+def test_words_are_parted_by_any_white_space(spark):
+    for blank in "\t", "\u00a0", "\u2003", "\u3000", " \t ":
+        long = blank.join(f"w{k}" for k in range(51))
+        assert run(spark, [(1, long), (2, f"a\n{long}")]) == [(1, long, 0), (2, "a", 1)]
+    padded = "a" + " " * 60 + "b"
+    assert run(spark, [(1, padded), (2, padded)]) == [(1, padded, 0), (2, padded, 0)]
+    fifty = " ".join(f"w{k}" for k in range(50))
+    assert run(spark, [(1, fifty), (2, fifty)]) == [(1, fifty, 0), (2, fifty, 0)]
+
+
 def test_repeated_rows_null_ids_and_no_rows(spark):
     text = "one\ntwo\nthree"
     assert run(spark, [(1, text), (1, text), (None, text), (None, text)]) == sorted(

@@ -11,10 +11,12 @@ from vectorloom.session import materialize
 WINDOW = 3  # lines of a window
 LONG = 50  # words above which one or two lines are a window too
 BLANKS = " \t\r\x0b\x0c"
+# A word: no control characters and no white space of any script in it.
+WORD = r"[^\x00-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 def _words(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return F.regexp_count(line, F.lit(WORD))
 
 
 def _windows(text: Column) -> Column:
@@ -59,7 +61,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, key, lines)``: the lines of each document that a later occurrence covers.
 
     Windows are three consecutive lines that are not blank, and one or two such lines of more
-    than 50 words. Occurrences are ordered by id (null last), text key and line; all but the
+    than 50 words, whatever white space parts them. Occurrences are ordered by id (null last), text key and line; all but the
     first are later ones. Rows of equal id and text are one document here.
     """
     found = docs.select(
@@ -126,13 +128,14 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(docs, removed_col="n_removed").select("doc_id", "n_removed", "text")
 
 
-OP5_SQL = r"""
+OP5_SQL = rf"""
 WITH lines AS (
   SELECT doc_id, pos, trim(line, E' \t\r\x0b\x0c') AS line FROM (
     SELECT doc_id, unnest(string_split(text, E'\n')) AS line,
            generate_subscripts(string_split(text, E'\n'), 1) - 1 AS pos FROM documents)
 ), solid AS (
-  SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS words,
+  SELECT *, len(regexp_extract_all(line, '{WORD}')) AS words,
+         len(regexp_extract_all(lead(line, 1) OVER w, '{WORD}')) AS words2,
          lead(line, 1) OVER w AS line2, lead(line, 2) OVER w AS line3,
          lead(pos, 1) OVER w AS at2, lead(pos, 2) OVER w AS at3
   FROM lines WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
@@ -140,7 +143,7 @@ WITH lines AS (
   SELECT doc_id, pos AS first, at3 AS last, ['3', line, line2, line3] AS held FROM solid WHERE line3 IS NOT NULL
   UNION ALL
   SELECT doc_id, pos, at2, ['2', line, line2] FROM solid
-  WHERE line2 IS NOT NULL AND words + length(line2) - length(replace(line2, ' ', '')) + 1 > 50
+  WHERE line2 IS NOT NULL AND words + words2 > 50
   UNION ALL
   SELECT doc_id, pos, pos, ['1', line] FROM solid WHERE words > 50
 ), later AS (
