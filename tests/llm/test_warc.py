@@ -3,6 +3,8 @@ import hashlib
 import tempfile
 from pathlib import Path
 
+import pytest
+
 from vectorloom.llm.warc import VERSION, read_archives, segments, write_archives
 
 MARK = f"{VERSION}\r\n"
@@ -64,6 +66,23 @@ def test_chunks_hold_no_marker_and_whole_characters():
     assert all(VERSION.encode() not in p and p.decode() is not None for p in parts) and list(segments(b"")) == [b""]
 
 
+def test_foreign_records_and_lost_responses_stop_the_job(spark):
+    path = tempfile.mkdtemp()
+    record = f"{VERSION}\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    Path(path, "a.warc").write_bytes(record.encode())
+    with pytest.raises(Exception, match="was not written by write_archives"):
+        read_archives(spark, path).collect()
+    pages = spark.createDataFrame([(1, "u", "x" * 2000), (2, "u", "x" * 2000)], "page_id long, url string, html string")
+    whole, part = tempfile.mkdtemp() + "/archives", tempfile.mkdtemp()
+    write_archives(pages.repartitionByRange(2, "page_id"), whole)
+    for file in Path(whole).glob("*.gz"):
+        data = gzip.open(file).read()
+        records = [VERSION.encode() + r for r in data.split(VERSION.encode()) if b"WARC-Type: revisit" in r]
+        Path(part, f"{file.stem}.warc").write_bytes(b"".join(records))
+    with pytest.raises(Exception, match="no response for the revisit of page 1"):
+        read_archives(spark, part).collect()
+
+
 def test_an_oversized_page(spark):
     rows = [(1, "u", "<p>long</p>" * 700_000), (2, "u", "short")]
     assert round_trip(spark, rows, 1 << 20)[1] == expected(rows)

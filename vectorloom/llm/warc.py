@@ -155,6 +155,8 @@ def _read_records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for value in batch.column(0).cast(pa.binary()):
             head, _, rest = value.as_py().partition(END.encode())
             fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n"))
+            if "Page-Row" not in fields:
+                raise ValueError(f"record {fields.get('WARC-Record-ID')} was not written by write_archives")
             block = rest[: int(fields["Content-Length"])]
             if len(block) != int(fields["Content-Length"]):
                 raise ValueError(f"record {fields['WARC-Record-ID']} is cut off")
@@ -216,7 +218,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     Lengths and digests are those of the bytes read, and are compared with the digests in
     the headers; a revisit has them from the record that it refers to. Only chunks of
-    oversized payloads move, in the order of their number. An empty folder gives no rows.
+    oversized payloads move, in the order of their number. An empty folder gives no rows. A record of
+    another writer, and a revisit whose response is not among the archives, stop the job.
     """
     rows = materialize(read_chunks(spark, path), "records")
     chunks = rows.filter("number is not null").select("row", "page", "label", "number", "data")
@@ -227,7 +230,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     stored = materialize(whole.unionByName(joined), "payloads")
     again = rows.filter("type = 'revisit'").select("page", "refers", "label")
     base = stored.select(F.col("page").alias("refers"), "label", "digest", "bytes").distinct()
-    found = again.join(base, ["refers", "label"], "left")
+    lost = F.concat(F.lit("no response for the revisit of page "), F.coalesce(F.col("page").cast("string"), F.lit("null")))
+    found = again.join(base, ["refers", "label"], "left").withColumn(
+        "bytes", F.when(F.col("bytes").isNull(), F.raise_error(lost)).otherwise(F.col("bytes"))
+    )
     return stored.select(
         "page", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
         F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"),
