@@ -66,6 +66,15 @@ def test_against_plain_python(spark):
     assert ssn == f"{area:03d}-{a % 99 + 1:02d}-{b + 1:04d}"
 
 
+def test_dates_keep_their_zeros(spark):
+    (bare, _), (padded, _), (dots, _), (equal, _) = run(spark, ["3/4/2024", "03/04/2024", "3.4.2024", "4.3.2024"])
+    assert [int(x) for x in bare.split("/")] == [int(x) for x in padded.split("/")]
+    assert re.fullmatch(r"\d\d/\d\d/\d{4}", padded) and not re.search(r"(^|/)0", bare)
+    # the same day, written day first
+    month, day, year = bare.split("/")
+    assert equal == f"{day}.{month}.{year}" and dots != equal
+
+
 def test_checks_decide_and_formats_stay(spark):
     texts = [
         "4111111111111112 300.1.1.1 2023-02-29 666-12-1234 DE89370400440532013001 0641917ea4e9feb9cda83477b57ac265",

@@ -252,7 +252,8 @@ def _ssn(key: str, found: Column) -> Column:
 
 def _date(key: str, found: Column) -> Column:
     """Days of 1900 to 2099 to such days, written alike. With slashes the month comes first
-    unless it can only be the day; with dots the day comes first."""
+    unless it can only be the day; with dots the day comes first. A day or month of one
+    digit says that no zeros are written in front; then the new date has none either."""
     iso = found.contains("-")
     dotted = found.contains(".")
 
@@ -268,11 +269,13 @@ def _date(key: str, found: Column) -> Column:
         def shown(s: Column) -> Column:
             other = F.date_add(F.lit(FIRST_DAY).cast("date"), (s["a"] * DAYS[1] + s["b"]).cast("int"))
             y, m, d = F.year(other), F.month(other), F.dayofmonth(other)
-            return (
-                F.when(iso, F.format_string("%04d-%02d-%02d", y, m, d))
-                .when(dotted, F.format_string("%02d.%02d.%04d", d, m, y))
-                .when(day_first & (d > 12), F.format_string("%02d/%02d/%04d", d, m, y))
-                .otherwise(F.format_string("%02d/%02d/%04d", m, d, y))
+            bare = (F.length(F.get(p, F.lit(0))) == 1) | (F.length(F.get(p, F.lit(1))) == 1)
+            swap = dotted | (day_first & (d > 12))
+            parts = [F.when(swap, d).otherwise(m), F.when(swap, m).otherwise(d)]
+            parts = [F.when(bare, x.cast("string")).otherwise(F.format_string("%02d", x)) for x in parts]
+            mark = F.when(dotted, ".").otherwise("/")
+            return F.when(iso, F.format_string("%04d-%02d-%02d", y, m, d)).otherwise(
+                F.concat(parts[0], mark, parts[1], mark, F.format_string("%04d", y))
             )
 
         def of(n: Column) -> Column:
