@@ -11,12 +11,20 @@ from vectorloom.session import materialize
 WINDOW = 3  # lines of a window
 LONG = 50  # words above which one or two lines are a window too
 BLANKS = " \t\r\x0b\x0c"
-# A word: no control characters and no white space of any script in it.
-WORD = r"[^\x00-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+# The white space of Unicode that may part the words of a line.
+SPACES = " \t\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+SPACE = "[" + "".join(rf"\x{{{ord(c):X}}}" for c in SPACES) + "]+"
+WORD = "[^" + SPACE[1:]
 
 
 def _words(line: Column) -> Column:
-    return F.regexp_count(line, F.lit(WORD))
+    """Words of a trimmed line. Where single blanks alone part them they are counted as that."""
+    odd = F.contains(line, F.lit("  "))
+    for space in SPACES[1:]:
+        odd = odd | F.contains(line, F.lit(space))
+    parts = F.size(F.filter(F.split(line, SPACE, -1), lambda word: word != ""))
+    blanks = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.when(odd, parts).otherwise(blanks + 1)
 
 
 def _windows(text: Column) -> Column:
