@@ -17,14 +17,29 @@ SPACE = "[" + "".join(rf"\x{{{ord(c):X}}}" for c in SPACES) + "]+"
 WORD = "[^" + SPACE[1:]
 
 
-def _words(line: Column) -> Column:
+def _may_be_odd(text: Column) -> Column:
+    """Whether a text can hold words that are not parted by single blanks: false only if it holds
+    none of ``SPACES`` but single blanks. Looks for the bytes with which the rare ones begin."""
+    raw = text.cast("binary")
+    found = F.contains(text, F.lit("  "))
+    for space in SPACES[1:]:
+        if ord(space) < 128:
+            found = found | F.contains(text, F.lit(space))
+    heads = sorted({c.encode()[:2] for c in SPACES if ord(c) >= 128})
+    rare = F.lit(False)
+    for head in heads:
+        rare = rare | F.contains(raw, F.lit(head))
+    return found | ((F.length(text) != F.octet_length(text)) & rare)
+
+
+def _words(line: Column, may_be_odd: Column) -> Column:
     """Words of a trimmed line. Where single blanks alone part them they are counted as that."""
     odd = F.contains(line, F.lit("  "))
     for space in SPACES[1:]:
         odd = odd | F.contains(line, F.lit(space))
     parts = F.size(F.filter(F.split(line, SPACE, -1), lambda word: word != ""))
     blanks = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    return F.when(odd, parts).otherwise(blanks + 1)
+    return F.when(may_be_odd & odd, parts).otherwise(blanks + 1)
 
 
 def _windows(text: Column) -> Column:
@@ -34,12 +49,12 @@ def _windows(text: Column) -> Column:
         trimmed = F.trim(line, F.lit(BLANKS))
         return F.struct(number.alias("at"), trimmed.alias("line"))
 
-    def hashed(x: Column) -> Column:
+    def hashed(x: Column, may_be_odd: Column) -> Column:
         return F.struct(
             x["at"].alias("at"),
             F.xxhash64(x["line"]).alias("a"),
             F.xxhash64(F.lit(1), x["line"]).alias("b"),
-            _words(x["line"]).alias("words"),
+            _words(x["line"], may_be_odd).alias("words"),
         )
 
     def of(lines: Column) -> Column:
@@ -62,7 +77,7 @@ def _windows(text: Column) -> Column:
         return F.filter(F.flatten(each), lambda w: w.isNotNull())
 
     lines = F.filter(F.transform(F.split(text, "\n", -1), one), lambda x: x["line"] != "")
-    return let(F.transform(lines, hashed), of)
+    return let(_may_be_odd(text), lambda odd: let(F.transform(lines, lambda x: hashed(x, odd)), of))
 
 
 def repeated_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
