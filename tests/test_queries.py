@@ -62,3 +62,25 @@ def test_bulk_embedding_does_not_shuffle(spark, tmp_path):
     requests = embed_requests(spark.read.schema(REQUEST).parquet(path))
     shown = requests._jdf.queryExecution().executedPlan().toString()
     assert shown.count("Exchange") == shown.count("BroadcastExchange") and shown.count("FileScan") == 1
+
+
+@pytest.mark.parametrize("files", [1, 3])
+@pytest.mark.parametrize("name", ["stream_embed", "stream_dead_letters", "stream_readiness", "stream_lanes"])
+def test_streams_read_a_table_of_any_number_of_files(spark, tmp_path, name, files):
+    from vectorloom.streaming.jobs import read_request_stream
+
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    rows = [(i // 3, i % 3, ("user", "assistant")[i % 2], f"words of turn {i} " * (i % 4 + 1)) for i in range(60)]
+    folder = tmp_path / "conversations.parquet"
+    spark.createDataFrame(rows, schema).repartition(files).write.parquet(str(folder))
+    parts = str(folder / "*.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW conversations AS SELECT * FROM '{parts}'")
+    frame = QUERIES[name](spark, str(tmp_path))
+    relation = connection.sql(ORACLE_SQL[name])
+    mine = [tuple(map(_plain, r)) for r in frame.select(*sorted(frame.columns)).collect()]
+    order = [relation.columns.index(c) for c in sorted(relation.columns)]
+    theirs = [tuple(_plain(r[i]) for i in order) for r in relation.fetchall()]
+    assert len(mine) > 0 and sorted(map(repr, mine)) == sorted(map(repr, theirs))
+    one = next(folder.glob("*.parquet"))
+    assert read_request_stream(spark, str(one), schema).isStreaming

@@ -644,12 +644,13 @@ def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streaming ------------------------------------------------------------------------
 
 _TURN_SCHEMA = "conv_id bigint, turn bigint, role string, text string"
+# What a micro-batch takes in: enough to keep every core busy, however many files that is.
+_TRIGGER_BYTES = 256 * 2**20
 
 
 def _turn_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_request_stream(
-        spark, sf_dir, _TURN_SCHEMA, files_per_trigger=1, glob="conversations.parquet"
-    )
+    """The conversations, one file or a folder of many, as a stream."""
+    return read_request_stream(spark, f"{sf_dir}/conversations.parquet", _TURN_SCHEMA, bytes_per_trigger=_TRIGGER_BYTES)
 
 
 def stream_embed(spark: SparkSession, sf_dir: str) -> DataFrame:

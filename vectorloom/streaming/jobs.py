@@ -33,8 +33,12 @@ def read_request_stream(
     glob: str | None = None,
     format: str = "parquet",
 ) -> DataFrame:
-    """A folder of request files as a stream; how much one batch takes in can be limited by
-    files or by bytes, but not by both."""
+    """A folder of request files, or one file, as a stream; how much one batch takes in can be
+    limited by files or by bytes, but not by both."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(place) and files.getFileStatus(place).isFile():
+        path = f"{place.getParent()}/{{{place.getName()}}}"  # Spark streams a file only by a pattern
     reader = spark.readStream.format(format).schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
