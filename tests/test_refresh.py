@@ -148,3 +148,48 @@ def test_a_table_without_an_index_gets_one(spark, tmp_path):
     assert _stored(spark, other).count() == 6
     index = KeyIndex(spark, other, SPACE)
     assert index.exists and index.table().count() == 6
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_a_refresh_passes_over_its_texts_twice(spark, tmp_path, copies):
+    """``copies`` of 40 rows come twice; a row with a null id equals no other."""
+    path, read = str(tmp_path / "vectors"), spark.sparkContext.accumulator(0)
+
+    def given(rows):
+        def count(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        return _texts(spark, rows).mapInArrow(count, "id long, text string")
+
+    rows = [(i, str(i)) for i in range(40)]
+    rows += rows[:copies] + [(None, "5"), (None, "5"), (0, "77")]
+    refresh(given(rows), path, "gemma", "query", 2, factory=NumbersFactory(), normalize=False)
+    want = sorted([(i, float(i)) for i in range(40)] + [(-1, 5.0), (-1, 5.0), (0, 77.0)])
+
+    def held():
+        return sorted((-1 if r.id is None else r.id, r.embedding[0]) for r in _stored(spark, path).collect())
+
+    assert held() == want
+    passes, more = read.value, [(i, str(i + 100)) for i in range(40)]
+    changed = [r for r in rows if r[0] is not None] + more + more
+    refresh(given(changed), path, "gemma", "query", 2, factory=NumbersFactory(), normalize=False)
+    assert held() == sorted(want + [(i, float(i + 100)) for i in range(40)])
+    assert read.value - passes <= 2 * len(changed)  # for their fingerprints, then the stale ones
+
+
+def test_a_first_build_counts_ids_without_reading_texts(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i % 30, str(i % 30)) for i in range(60)], "id long, text string").write.parquet(str(tmp_path / "in"))
+    plans = []
+    stored = refreshing.materialize
+
+    def seen(frame, label):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return stored(frame, label)
+
+    monkeypatch.setattr(refreshing, "materialize", seen)
+    path = str(tmp_path / "vectors")
+    refresh(spark.read.parquet(str(tmp_path / "in")), path, "gemma", "query", 2, factory=NumbersFactory())
+    assert len(plans) == 1 and "struct<id:bigint>" in plans[0] and "md5" not in plans[0]
+    assert _stored(spark, path).count() == 30

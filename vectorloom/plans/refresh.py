@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from vectorloom.encoders import EncoderFactory
 from vectorloom.functions.failures import classify_failure
 from vectorloom.functions.validation import check_payloads
-from vectorloom.operators.provenance import matching, stale_keys
+from vectorloom.operators.provenance import FEW_KEYS, matching, stale_keys
 from vectorloom.plans.bulk import embed, model_text
 from vectorloom.registry import DEFAULT_DIMENSIONS, REGISTRY, ModelFacts
 from vectorloom.session import materialize
@@ -75,24 +75,27 @@ def refresh(
     dimensions = min(dimensions, facts.native_dim)
     spark = texts.sparkSession
     space = {"model": model, "build": build, "task": task, "dimensions": dimensions}
-    hashed = texts.select("id", "text", seen_hash(F.col("text"), facts, task, truncate).alias("text_hash"))
-    hashed = hashed.where(F.col("text").isNotNull())
+    fingerprint = seen_hash(F.col("text"), facts, task, truncate).alias("text_hash")
+    given = texts.where(F.col("text").isNotNull())
+    hashed = given.select("id", "text", fingerprint)
     index = _open_index(spark, path, space)
-    keys = index.dealt(hashed.select(*KEY)).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
     if not index.exists:
-        # The first build of a space embeds everything: only repeated rows are looked for.
-        todo, repeated = hashed, materialize(keys.where("n > 1"), "repeated")
+        # The first build of a space embeds everything: only repeated rows are looked for. Rows
+        # are equal only if their ids are, and counting those reads no text.
+        counted = materialize(texts.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "counted")
+        todo = _once(hashed, counted, ["id"])
     else:
+        keys = index.dealt(hashed.select(*KEY)).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
         stale = materialize(stale_keys(keys, index.table()), "stale")
-        todo, repeated = matching(hashed, stale, [*KEY]), stale.where("n > 1")
-        cores = spark.sparkContext.defaultParallelism
-        if stale.count() <= cores * FEW_TEXTS:
+        n_stale, cores = stale.count(), spark.sparkContext.defaultParallelism
+        if n_stale <= FEW_KEYS:
+            # The ids are broadcast: other texts need no fingerprint a second time.
+            hashed = matching(given, stale, ["id"]).select("id", "text", fingerprint)
+        todo = _once(matching(hashed, stale, [*KEY]), stale, [*KEY])
+        if n_stale <= cores * FEW_TEXTS:
             # Few texts, perhaps all from a few input splits: deal them out evenly. More
             # texts keep every core busy as they are, and are not shuffled.
             todo = todo.repartition(cores)
-    if not repeated.isEmpty():
-        rare = matching(todo, repeated, [*KEY]).dropDuplicates([*KEY])
-        todo = matching(todo, repeated, [*KEY], keep=False).unionByName(rare)
     run = uuid.uuid4().hex
     encoded = embed(
         todo, "text", model, task, dimensions, keys=[*KEY],
@@ -112,6 +115,26 @@ def refresh(
     return failed.unionByName(empty).select("id", "error.status", "error.detail")
 
 
+def _once(rows: DataFrame, counted: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``rows`` with one of each ``(id, text_hash)``; a row with a null id equals no other.
+
+    ``counted`` is stored and says how many rows ``n`` have the same ``on``. Where most rows are
+    repeated, all meet in one shuffle, read once; otherwise the repeated ones alone, and no other text moves.
+    """
+    many = (F.col("n") > 1) & F.col("id").isNotNull()
+    repeated = counted.where(many)
+    total, copies, nameless = counted.agg(
+        F.sum("n"), F.sum(F.when(many, F.col("n"))), F.count_if(F.col("id").isNull())
+    ).first()
+    if not copies:
+        return rows
+    if 2 * copies < total:
+        rare = matching(rows, repeated, on).dropDuplicates([*KEY])
+        return matching(rows, repeated, on, keep=False).unionByName(rare)
+    rare = rows.where(F.col("id").isNotNull()).dropDuplicates([*KEY])
+    return rare.unionByName(rows.where(F.col("id").isNull())) if nameless else rare
+
+
 def _stored_keys(spark: SparkSession, path: str, space: dict[str, object]) -> DataFrame:
     """Keys and runs of the vectors of a space."""
     stored = spark.read.schema(_KEYS).parquet(path)
